@@ -12,6 +12,9 @@ SCHEMA_VERSION = "1.0"
 
 DISALLOWED_URL_CHARS = r"[^a-zA-Z0-9/\-_\.~:?#\[\]@!$&'()*+,;=% ]"
 SHELL_CHARS = ";|&`$(){}<>\n\r\0"
+# What allowlist and shell strip drop together: everything but printable ASCII, and these.
+NOT_PRINTABLE = r"[^ -~]"
+UNSAFE_PRINTABLE = r"""["$&();<>\\^`{|}]"""
 DISALLOWED_INDICATOR_CHARS = r"[^a-zA-Z0-9.:/\-_?&=@%+~,;#\[\]() ]"
 
 INJECTION_PHRASES = [
@@ -40,6 +43,10 @@ INJECTION_TOKENS = [
     "</function>",
 ]
 
+# Every literal above holds at least one of these, which makes a cheap first test.
+INJECTION_MARKS = r"[:<\[]"
+INJECTION_STEMS = ["ignore ", "you are "]
+
 # --- fixed values: path classes, first match wins, case-insensitive ----------------------------
 
 PATH_CLASSES = [

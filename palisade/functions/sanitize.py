@@ -16,13 +16,37 @@ def quote(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
 
 
-def first_match(value: Column, table: list[tuple[str, str]], default: Column | None = None,
-                flags: str = "(?i)") -> Column:
-    """Ordered CASE over (label, regex); the first hit decides and later regexes are not run."""
+def literal_alternatives(pattern: str) -> list[str] | None:
+    """The words of a regex that is only a choice of plain words; None for any other regex."""
+    shape = re.fullmatch(r"([^()|]*)\(([^()]*)\)([^()|]*)", pattern)
+    head, body, tail = shape.groups() if shape else ("", pattern, "")
+    raw = [head + word + tail for word in body.split("|")]
+    words = [re.sub(r"\\([.+])", r"\1", r) for r in raw]
+    return words if [quote(w) for w in words] == raw else None
+
+
+def finds(lowered: Column, pattern: str) -> Column:
+    """Whether a case-insensitive regex is found, tested on text that is already lower case.
+
+    Most listed regexes are choices of words, which byte search answers several times faster
+    than the regex engine.
+    """
+    pattern = pattern.lower()
+    anchored = pattern.startswith("^")
+    words = literal_alternatives(pattern.removeprefix("^"))
+    if words is None:
+        return lowered.rlike(pattern)
+    tests = [lowered.startswith(w) if anchored else lowered.contains(w) for w in words]
+    return reduce(lambda x, y: x | y, tests)
+
+
+def first_match(lowered: Column, table: list[tuple[str, str]],
+                default: Column | None = None) -> Column:
+    """Ordered CASE over (label, regex); the first hit decides and later tests are not run."""
     (label, pattern), *rest = table
-    case = F.when(value.rlike(flags + pattern), F.lit(label))
+    case = F.when(finds(lowered, pattern), F.lit(label))
     for label, pattern in rest:
-        case = case.when(value.rlike(flags + pattern), F.lit(label))
+        case = case.when(finds(lowered, pattern), F.lit(label))
     return case.otherwise(default) if default is not None else case
 
 
@@ -45,24 +69,35 @@ def label_of(position: Column, order: list[str]) -> Column:
 
 def hex_decode(value: Column) -> Column:
     """Hex text to UTF-8; white space may stand between byte pairs, anything else gives ''."""
-    value = F.trim(F.coalesce(value, F.lit("")))
+    def text(digits: Column) -> Column:
+        return F.make_valid_utf8(F.unhex(digits).cast("string"))
+
     left_over = F.regexp_replace(value, "[0-9A-Fa-f]{2}", "")
-    digits = F.regexp_replace(value, r"[ \t\n\r\x0B\f]", "")
-    text = F.make_valid_utf8(F.unhex(digits).cast("string"))
-    return F.when(left_over.rlike(r"[^ \t\n\r\x0B\f]"), F.lit("")).otherwise(
-        F.coalesce(text, F.lit("")))
+    spaced = F.when(~left_over.rlike(r"[^ \t\n\r\x0B\f]"),
+                    F.regexp_replace(value, r"[ \t\n\r\x0B\f]", ""))
+    # The second arm only runs where the first gives NULL: on spaced or broken values.
+    return F.coalesce(text(F.when(F.length(value) % 2 == 0, value)), text(spaced), F.lit(""))
+
+
+INJECTIONS = C.INJECTION_PHRASES + C.INJECTION_TOKENS
 
 
-def strip_injection(value: Column) -> Column:
+def may_hold_injection(lowered: Column) -> Column:
+    marked = lowered.rlike(C.INJECTION_MARKS)
+    stems = [lowered.contains(x) for x in C.INJECTION_STEMS]
+    literals = [lowered.contains(x.lower()) for x in INJECTIONS]
+    return (reduce(lambda x, y: x | y, stems, marked)) & reduce(lambda x, y: x | y, literals)
+
+
+def strip_injection(value: Column, suspect: Column | None = None) -> Column:
     """Remove each listed literal until it is gone, literals in list order.
 
-    Nearly all rows hold none of them: one combined test lets those skip the fold.  The fold
-    binds its running text to a lambda variable, so the plan stays small whatever the list length.
+    Nearly all rows hold none of them: ``suspect`` (a byte search on lower-cased text, given as a
+    column where there is one) lets those skip the fold.  The fold binds its running text to a
+    lambda variable, so the plan stays small whatever the list length.
     """
-    literals = C.INJECTION_PHRASES + C.INJECTION_TOKENS
-    quoted = ["(?i)" + quote(x) for x in literals]
-    anything = "(?i)(" + "|".join(quote(x) for x in literals) + ")"
-    shortest = min(len(x) for x in literals)
+    suspect = may_hold_injection(F.lower(value)) if suspect is None else suspect
+    shortest = min(len(x) for x in INJECTIONS)
 
     def drop(text: Column, pattern: Column) -> Column:
         passes = F.sequence(F.lit(1), F.greatest(
@@ -71,8 +106,8 @@ def strip_injection(value: Column) -> Column:
             F.regexp_like(t, pattern), F.regexp_replace(t, pattern, F.lit(""))).otherwise(t))
         return F.when(F.regexp_like(text, pattern), gone).otherwise(text)
 
-    folded = F.aggregate(F.array(*[F.lit(q) for q in quoted]), value, drop)
-    return F.when(value.rlike(anything), folded).otherwise(value)
+    quoted = F.array(*[F.lit("(?i)" + quote(x)) for x in INJECTIONS])
+    return F.when(suspect, F.aggregate(quoted, value, drop)).otherwise(value)
 
 
 def strip_templates(value: Column) -> Column:
@@ -83,7 +118,7 @@ def strip_templates(value: Column) -> Column:
         (r"`[^`]*`", ""),
     ]
     cleaned = reduce(lambda v, s: F.regexp_replace(v, s[0], s[1]), steps, value)
-    return F.when(value.rlike(r"[$`]"), cleaned).otherwise(value)
+    return F.when(value.contains("$") | value.contains("`"), cleaned).otherwise(value)
 
 
 def apply_allowlist(value: Column) -> Column:
@@ -94,13 +129,21 @@ def strip_shell_meta(value: Column) -> Column:
     return F.translate(value, C.SHELL_CHARS, "")
 
 
+def drop_unsafe(value: Column) -> Column:
+    """Allowlist and shell strip at once: dropping single characters commutes.
+
+    Two small character classes are several times faster than the one long class they equal.
+    """
+    return F.regexp_replace(F.regexp_replace(value, C.NOT_PRINTABLE, ""), C.UNSAFE_PRINTABLE, "")
+
+
 def truncate(value: Column, size: int = C.MAX_FIELD_LEN) -> Column:
     return F.substring(value, 1, size)
 
 
 def clean_text(value: Column) -> Column:
     """The fixed cleaning order for text that is already decoded."""
-    return truncate(strip_shell_meta(apply_allowlist(strip_templates(strip_injection(value)))))
+    return truncate(drop_unsafe(strip_templates(strip_injection(value))))
 
 
 def hex_encode(value: Column) -> Column:
@@ -137,13 +180,14 @@ def hash_ip(addr: Column, salt: str) -> Column:
 
 # --- classifying -------------------------------------------------------------------------------
 
-def classify_path(path: Column) -> Column:
-    return first_match(path, C.PATH_CLASSES, F.lit("unknown"))
+def classify_path(lowered: Column) -> Column:
+    """Class of a cleaned path, given in lower case."""
+    return first_match(lowered, C.PATH_CLASSES, F.lit("unknown"))
 
 
-def scanner_family(ua: Column) -> Column:
-    return F.when((ua == "") | (ua == "-"), F.lit(None).cast("string")).otherwise(
-        first_match(ua, C.SCANNERS))
+def scanner_family(lowered: Column) -> Column:
+    """Scanner named by a cleaned user agent, given in lower case; NULL when none is."""
+    return F.when((lowered != "") & (lowered != "-"), first_match(lowered, C.SCANNERS))
 
 
 def ua_family(ua: Column, scanner: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators.numbering import number_rows
+from palisade.session import materialize
 
 KEY4 = ["path_class", "user_agent_family", "method_class", "status_bucket"]
 KEY5 = KEY4 + ["remote_addr"]
@@ -25,27 +26,25 @@ def l1_group(rows: DataFrame) -> DataFrame:
 
 def sanitize_events(rows: DataFrame) -> DataFrame:
     """Typed columns from raw ones; narrow, so it runs inside the scan stage."""
-    trimmed = rows.select(
+    decoded = rows.select(
         "ord", F.trim("remote_addr").alias("remote_addr"), F.trim("timestamp").alias("timestamp"),
         *([F.col("ts")] if "ts" in rows.columns else []),
         S.validate_method(F.col("method")).alias("method_class"),
-        S.status_bucket(F.col("status")).alias("status_bucket"),
-        F.col("count"),
-        S.hex_decode(F.col("hex_path")).alias("path"), S.hex_decode(F.col("hex_user_agent")).alias("ua"))
-    cleaned = (
-        trimmed.withColumn("path", S.strip_injection(F.col("path")))
-        .withColumn("ua", S.strip_injection(F.col("ua")))
-        .withColumn("path", _after_injection("path")).withColumn("ua", _after_injection("ua")))
-    return (
-        cleaned.withColumn("path_class", S.classify_path(F.col("path")))
-        .withColumn("scanner_family", S.scanner_family(F.col("ua")))
-        .withColumn("user_agent_family", S.ua_family(F.col("ua"), F.col("scanner_family")))
-        .withColumn("remote_addr_class", S.classify_ip(F.col("remote_addr")))
-    )
-
-
-def _after_injection(name: str):
-    return S.truncate(S.strip_shell_meta(S.apply_allowlist(S.strip_templates(F.col(name)))))
+        S.status_bucket(F.col("status")).alias("status_bucket"), F.col("count"),
+        S.hex_decode(F.trim("hex_path")).alias("path"),
+        S.hex_decode(F.trim("hex_user_agent")).alias("ua"))
+    # Each stage is its own projection: later ones read a column, not a copy of its expression.
+    searched = decoded.withColumns({f"_{f}": F.lower(f) for f in ("path", "ua")})
+    stripped = searched.withColumns({
+        f: S.strip_injection(F.col(f), S.may_hold_injection(F.col(f"_{f}"))) for f in ("path", "ua")})
+    safe = stripped.withColumns({f: S.truncate(S.drop_unsafe(S.strip_templates(F.col(f))))
+                                 for f in ("path", "ua")})
+    lowered = safe.withColumns({"_path": F.lower("path"), "_ua": F.lower("ua")})
+    named = lowered.withColumns({"path_class": S.classify_path(F.col("_path")),
+                                 "scanner_family": S.scanner_family(F.col("_ua"))})
+    return named.withColumns({
+        "user_agent_family": S.ua_family(F.col("ua"), F.col("scanner_family")),
+        "remote_addr_class": S.classify_ip(F.col("remote_addr"))}).drop("_path", "_ua")
 
 
 def dedup_events(clean: DataFrame) -> DataFrame:
@@ -59,10 +58,15 @@ def dedup_events(clean: DataFrame) -> DataFrame:
                      "ord").alias("first")
     groups = (clean.groupBy(*KEY5).agg(first, F.min("ord").alias("ord"),
                                        F.sum("count").alias("total"))
-              .select(*KEY5, "ord", "total", "first.*"))
-    repeats = groups.groupBy(*KEY4).agg(F.sum(F.col("total") - F.col("count")).alias("repeats"),
-                                        F.min("ord").alias("leader"))
-    merged = groups.join(F.broadcast(repeats), KEY4)
+              .select(*KEY5, "ord", "total", "first"))
+    # The leader carries the whole first row: both uses of ``groups`` then need the same columns
+    # and Spark computes its shuffle once.
+    groups = groups.withColumn("first", F.struct("ord", "first"))
+    repeats = (groups.groupBy(*KEY4).agg(
+        F.sum(F.col("total") - F.col("first.first.count")).alias("repeats"),
+        F.min("first").alias("leader")).withColumn("leader", F.col("leader.ord")))
+    merged = groups.join(F.broadcast(repeats), KEY4).select(
+        *KEY5, "ord", "repeats", "leader", "first.first.*")
     own = F.col("count")
     return merged.select(
         "ord", "timestamp",
@@ -80,8 +84,12 @@ def dedup_events(clean: DataFrame) -> DataFrame:
 
 
 def event_numbering(events: DataFrame, buckets: int = 64) -> DataFrame:
-    """``evt-YYYYMMDD-NNNN`` with one counter over all events in first-seen order."""
-    numbered = number_rows(events, "ord", into="_n", buckets=buckets)
+    """``evt-YYYYMMDD-NNNN`` with one counter over all events in first-seen order.
+
+    Numbering reads its input three times (bounds, counts, rows), so the events, which are far
+    fewer than the rows they came from, are checkpointed first.
+    """
+    numbered = number_rows(materialize(events), "ord", into="_n", buckets=buckets)
     number = F.col("_n").cast("string")
     padded = F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0"))
     return numbered.withColumn("event_id", F.concat(

