@@ -25,34 +25,32 @@ def literal_alternatives(pattern: str) -> list[str] | None:
     return words if [quote(w) for w in words] == raw else None
 
 
-def finds(lowered: Column, pattern: str) -> Column:
-    """Whether a case-insensitive regex is found, tested on text that is already lower case.
+def finds(lowered: str, pattern: str) -> str:
+    """SQL test: is a case-insensitive regex found in a column of lower-case text?
 
     Most listed regexes are choices of words, which byte search answers several times faster
     than the regex engine.
     """
     pattern = pattern.lower()
-    anchored = pattern.startswith("^")
     words = literal_alternatives(pattern.removeprefix("^"))
     if words is None:
-        return lowered.rlike(pattern)
-    tests = [lowered.startswith(w) if anchored else lowered.contains(w) for w in words]
-    return reduce(lambda x, y: x | y, tests)
+        return f"{lowered} RLIKE r'{pattern}'"
+    test = "startswith" if pattern.startswith("^") else "contains"
+    return "(" + " OR ".join(f"{test}({lowered}, r'{w}')" for w in words) + ")"
 
 
-def first_match(lowered: Column, table: list[tuple[str, str]],
-                default: Column | None = None) -> Column:
-    """Ordered CASE over (label, regex); the first hit decides and later tests are not run."""
-    (label, pattern), *rest = table
-    case = F.when(finds(lowered, pattern), F.lit(label))
-    for label, pattern in rest:
-        case = case.when(finds(lowered, pattern), F.lit(label))
-    return case.otherwise(default) if default is not None else case
+def first_match(lowered: str, table: list[tuple[str, str]], default: str = "NULL") -> Column:
+    """Ordered CASE over (label, regex); the first hit decides and later tests are not run.
+
+    Built as one SQL text: hundreds of Column calls would cost more than the query's planning.
+    """
+    arms = " ".join(f"WHEN {finds(lowered, p)} THEN '{label}'" for label, p in table)
+    return F.expr(f"CASE {arms} ELSE {default} END")
 
 
 def lookup(key: Column, table: dict, default) -> Column:
     """Constant map lookup; the map is a literal, so no join and no shuffle."""
-    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    entries = F.expr("map(" + ", ".join(f"r'{k}', r'{v}'" for k, v in table.items()) + ")")
     return F.coalesce(F.element_at(entries, key), F.lit(default))
 
 
@@ -82,21 +80,20 @@ def hex_decode(value: Column) -> Column:
 INJECTIONS = C.INJECTION_PHRASES + C.INJECTION_TOKENS
 
 
-def may_hold_injection(lowered: Column) -> Column:
-    marked = lowered.rlike(C.INJECTION_MARKS)
-    stems = [lowered.contains(x) for x in C.INJECTION_STEMS]
-    literals = [lowered.contains(x.lower()) for x in INJECTIONS]
-    return (reduce(lambda x, y: x | y, stems, marked)) & reduce(lambda x, y: x | y, literals)
+def may_hold_injection(lowered: str) -> Column:
+    stems = " OR ".join(f"contains({lowered}, '{x}')" for x in C.INJECTION_STEMS)
+    literals = " OR ".join(f"contains({lowered}, '{x.lower()}')" for x in INJECTIONS)
+    return F.expr(f"({lowered} RLIKE r'{C.INJECTION_MARKS}' OR {stems}) AND ({literals})")
 
 
 def strip_injection(value: Column, suspect: Column | None = None) -> Column:
     """Remove each listed literal until it is gone, literals in list order.
 
-    Nearly all rows hold none of them: ``suspect`` (a byte search on lower-cased text, given as a
-    column where there is one) lets those skip the fold.  The fold binds its running text to a
-    lambda variable, so the plan stays small whatever the list length.
+    Nearly all rows hold none of them: ``suspect`` (see ``may_hold_injection``) lets those skip
+    the fold.  The fold binds its running text to a lambda variable, so the plan stays small
+    whatever the list length.
     """
-    suspect = may_hold_injection(F.lower(value)) if suspect is None else suspect
+    suspect = value.rlike("(?i)(" + "|".join(map(quote, INJECTIONS)) + ")") if suspect is None else suspect
     shortest = min(len(x) for x in INJECTIONS)
 
     def drop(text: Column, pattern: Column) -> Column:
@@ -106,7 +103,7 @@ def strip_injection(value: Column, suspect: Column | None = None) -> Column:
             F.regexp_like(t, pattern), F.regexp_replace(t, pattern, F.lit(""))).otherwise(t))
         return F.when(F.regexp_like(text, pattern), gone).otherwise(text)
 
-    quoted = F.array(*[F.lit("(?i)" + quote(x)) for x in INJECTIONS])
+    quoted = F.expr("array(" + ", ".join(f"r'(?i){quote(x)}'" for x in INJECTIONS) + ")")
     return F.when(suspect, F.aggregate(quoted, value, drop)).otherwise(value)
 
 
@@ -180,14 +177,14 @@ def hash_ip(addr: Column, salt: str) -> Column:
 
 # --- classifying -------------------------------------------------------------------------------
 
-def classify_path(lowered: Column) -> Column:
-    """Class of a cleaned path, given in lower case."""
-    return first_match(lowered, C.PATH_CLASSES, F.lit("unknown"))
+def classify_path(lowered: str) -> Column:
+    """Class of a cleaned path, given by the name of a lower-case column."""
+    return first_match(lowered, C.PATH_CLASSES, "'unknown'")
 
 
-def scanner_family(lowered: Column) -> Column:
-    """Scanner named by a cleaned user agent, given in lower case; NULL when none is."""
-    return F.when((lowered != "") & (lowered != "-"), first_match(lowered, C.SCANNERS))
+def scanner_family(lowered: str) -> Column:
+    """Scanner named by a cleaned, lower-case user agent column; NULL when none is."""
+    return F.when(~F.col(lowered).isin("", "-"), first_match(lowered, C.SCANNERS))
 
 
 def ua_family(ua: Column, scanner: Column) -> Column:

@@ -36,12 +36,12 @@ def sanitize_events(rows: DataFrame) -> DataFrame:
     # Each stage is its own projection: later ones read a column, not a copy of its expression.
     searched = decoded.withColumns({f"_{f}": F.lower(f) for f in ("path", "ua")})
     stripped = searched.withColumns({
-        f: S.strip_injection(F.col(f), S.may_hold_injection(F.col(f"_{f}"))) for f in ("path", "ua")})
+        f: S.strip_injection(F.col(f), S.may_hold_injection(f"_{f}")) for f in ("path", "ua")})
     safe = stripped.withColumns({f: S.truncate(S.drop_unsafe(S.strip_templates(F.col(f))))
                                  for f in ("path", "ua")})
     lowered = safe.withColumns({"_path": F.lower("path"), "_ua": F.lower("ua")})
-    named = lowered.withColumns({"path_class": S.classify_path(F.col("_path")),
-                                 "scanner_family": S.scanner_family(F.col("_ua"))})
+    named = lowered.withColumns({"path_class": S.classify_path("_path"),
+                                 "scanner_family": S.scanner_family("_ua")})
     return named.withColumns({
         "user_agent_family": S.ua_family(F.col("ua"), F.col("scanner_family")),
         "remote_addr_class": S.classify_ip(F.col("remote_addr"))}).drop("_path", "_ua")
@@ -51,22 +51,19 @@ def dedup_events(clean: DataFrame) -> DataFrame:
     """One event per (class, agent, method, status, address), first row by ``ord`` kept.
 
     Counts of repeats go to the first event that shares all but the address.  Rows shrink to one
-    per key by partial aggregation before anything is compared; the repeat totals have one row per
-    combination of closed label sets (33 x 33 x 10 x 5 at most), which bounds the broadcast.
+    per key by partial aggregation and are checkpointed: they are read twice here and again by
+    numbering, and the checkpoint spares each reader the scan and the cleaning.  Repeat totals have
+    one row per combination of closed label sets (33 x 33 x 10 x 5 at most), which bounds the
+    broadcast.
     """
     first = F.min_by(F.struct("timestamp", "path", "count", "scanner_family", "remote_addr_class"),
                      "ord").alias("first")
-    groups = (clean.groupBy(*KEY5).agg(first, F.min("ord").alias("ord"),
-                                       F.sum("count").alias("total"))
-              .select(*KEY5, "ord", "total", "first"))
-    # The leader carries the whole first row: both uses of ``groups`` then need the same columns
-    # and Spark computes its shuffle once.
-    groups = groups.withColumn("first", F.struct("ord", "first"))
-    repeats = (groups.groupBy(*KEY4).agg(
-        F.sum(F.col("total") - F.col("first.first.count")).alias("repeats"),
-        F.min("first").alias("leader")).withColumn("leader", F.col("leader.ord")))
-    merged = groups.join(F.broadcast(repeats), KEY4).select(
-        *KEY5, "ord", "repeats", "leader", "first.first.*")
+    groups = materialize(
+        clean.groupBy(*KEY5).agg(first, F.min("ord").alias("ord"), F.sum("count").alias("total"))
+        .select(*KEY5, "ord", "total", "first.*"))
+    repeats = groups.groupBy(*KEY4).agg(F.sum(F.col("total") - F.col("count")).alias("repeats"),
+                                        F.min("ord").alias("leader"))
+    merged = groups.join(F.broadcast(repeats), KEY4)
     own = F.col("count")
     return merged.select(
         "ord", "timestamp",
@@ -86,10 +83,10 @@ def dedup_events(clean: DataFrame) -> DataFrame:
 def event_numbering(events: DataFrame, buckets: int = 64) -> DataFrame:
     """``evt-YYYYMMDD-NNNN`` with one counter over all events in first-seen order.
 
-    Numbering reads its input three times (bounds, counts, rows), so the events, which are far
-    fewer than the rows they came from, are checkpointed first.
+    Reads its input three times (bounds, counts, rows): give it checkpointed events, such as
+    those of ``dedup_events``.
     """
-    numbered = number_rows(materialize(events), "ord", into="_n", buckets=buckets)
+    numbered = number_rows(events, "ord", into="_n", buckets=buckets)
     number = F.col("_n").cast("string")
     padded = F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0"))
     return numbered.withColumn("event_id", F.concat(
@@ -107,8 +104,20 @@ def published_events(events: DataFrame, source_type: str = "access_log",
         "provenance", "ttl_recommendation", "safe_notes", "count")
 
 
+def hits_by_label(clean: DataFrame, label: str) -> DataFrame:
+    """Hits per value of a label column, ready to be joined.
+
+    The label comes out as an aggregate of itself (a second pass over a handful of rows, without
+    a shuffle).  Join planning would otherwise trace a join key back through the whole
+    classification and inline it many times over.
+    """
+    counts = clean.groupBy(label).agg(F.sum("count").alias("hits"))
+    return (counts.groupBy(label).agg(F.first(label).alias("_label"), F.sum("hits").alias("hits"))
+            .select(F.col("_label").alias(label), "hits"))
+
+
 def hits_by_class(clean: DataFrame) -> DataFrame:
-    return clean.groupBy("path_class").agg(F.sum("count").alias("hits"))
+    return hits_by_label(clean, "path_class")
 
 
 def traffic_summary(clean: DataFrame, approximate: bool = False) -> DataFrame:

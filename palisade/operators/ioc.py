@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators.matching import contains_join, prefix_join, regex_join
+from palisade.session import materialize
 
 
 def indicator_consolidate(indicators: DataFrame) -> DataFrame:
@@ -68,13 +69,14 @@ def ioc_match_url(requests: DataFrame, indicators: DataFrame) -> DataFrame:
 def ioc_match_pattern(clean: DataFrame, indicators: DataFrame) -> DataFrame:
     """Path indicators as prefixes of paths, agent indicators as parts of agents.
 
-    Only distinct values are matched; hits go back to counts by equality.
+    Only distinct values are matched; hits go back to counts by equality.  The distinct values are
+    checkpointed because both steps read them.
     """
     wanted = (indicators.where("type IN ('path', 'ua')").select("type", "value").distinct()
               .withColumn("needle", S.clean_text(F.col("value"))).where("needle <> ''"))
 
     def match(kind: str, text: str, how) -> DataFrame:
-        seen = _sightings(clean, text)
+        seen = materialize(_sightings(clean, text))
         of_kind = wanted.where(F.col("type") == kind)
         hits = how(seen.select(text), text, of_kind.select("needle").distinct(), "needle")
         return (hits.join(seen, text).groupBy("needle").agg(
@@ -127,14 +129,15 @@ def uncovered_indicators(indicators: DataFrame, rules: DataFrame) -> DataFrame:
 def rule_impact(clean: DataFrame, rules: DataFrame) -> DataFrame:
     """Traffic each proposed rule would have taken.
 
-    Hits are joined to traffic summed per path; sources are counted over distinct (path, address),
-    so no path, however busy, is expanded row by row.
+    Hits are joined to traffic summed per path; sources are counted over distinct (path, address)
+    rows, checkpointed because every step reads them, so no path is expanded row by row.
     """
-    hits = rule_hits(clean.select("path"), "path", rules)
-    per_path = clean.groupBy("path").agg(
+    pairs = materialize(clean.groupBy("path", "remote_addr").agg(
         F.sum("count").alias("hits"),
-        F.sum(F.when(F.col("status_bucket") == "2xx", F.col("count")).otherwise(0)).alias("ok"))
-    sources = clean.select("path", "remote_addr").distinct()
+        F.sum(F.when(F.col("status_bucket") == "2xx", F.col("count")).otherwise(0)).alias("ok")))
+    per_path = pairs.groupBy("path").agg(F.sum("hits").alias("hits"), F.sum("ok").alias("ok"))
+    hits = rule_hits(per_path.select("path"), "path", rules)
+    sources = pairs.select("path", "remote_addr")
     rule = ["modifier", "pattern"]
     counted = hits.join(per_path, "path").groupBy(*rule).agg(
         F.sum("hits").alias("hits"), F.sum("ok").alias("ok"))
