@@ -95,19 +95,34 @@ def _regex_hits(texts: DataFrame, text: str, rows: list, pattern: str,
                     F.get(flags, F.col("_i")).alias(ignore_case)))
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def location_hits(modifiers: pd.Series, patterns: pd.Series, paths: pd.Series) -> pd.Series:
-    """For each location, whether it would take each of a short list of test paths."""
-    cache: dict = {}
-
-    def one(modifier, pattern, tests):
-        if modifier == "=":
-            return [pattern == t for t in tests]
-        if modifier in ("~", "~*"):
-            key = (modifier, pattern)
-            if key not in cache:
-                cache[key] = _compile([(0, pattern, modifier == "~*")])
-            return [any(rx.search(t) for _, rx in cache[key]) for t in tests]
-        return [t.startswith(pattern) for t in tests]
-
-    return pd.Series([one(m, p, list(t)) for m, p, t in zip(modifiers, patterns, paths)])
+def _location_test(modifier: str, pattern: str):
+    if modifier == "=":
+        return lambda path: pattern == path
+    if modifier in ("~", "~*"):
+        compiled = _compile([(0, pattern, modifier == "~*")])
+        return lambda path: any(rx.search(path) is not None for _, rx in compiled)
+    return lambda path: path.startswith(pattern)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def location_takes(modifiers: pd.Series, patterns: pd.Series, paths: pd.Series) -> pd.Series:
+    """Per file: for each of its locations, which of a short list of test paths it takes."""
+    return pd.Series([
+        [[t for t in tests if test(t)] for test in map(_location_test, mods, pats)]
+        for mods, pats, tests in zip(modifiers, patterns, paths)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("regex", T.IntegerType()),
+                                        T.StructField("prefix", T.IntegerType())])))
+def shadowing(modifiers: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Per file: (regex, plain prefix) location numbers where the regex takes the prefix."""
+    def one(mods, pats):
+        plain = [(i, p) for i, (m, p) in enumerate(zip(mods, pats)) if m == ""]
+        out = []
+        for i, (m, p) in enumerate(zip(mods, pats)):
+            if m in ("~", "~*"):
+                test = _location_test(m, p)
+                out += [{"regex": i, "prefix": j} for j, path in plain if test(path)]
+        return out
+
+    return pd.Series([one(m, p) for m, p in zip(modifiers, patterns)])

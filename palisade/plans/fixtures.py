@@ -307,7 +307,8 @@ _SITE_PARTS = [
     _when("k % 12 = 7", _block("/old/", "proxy_pass http://127.0.0.1:9;", "return 404;")),
     _when("k % 7 = 2", _block("/static/", "add_header Cache-Control \"no-store\";",
                               "if (¤request_method = POST) {", "    return 405;", "}")),
-    _when("k % 9 = 4", _block("/static/", "root /srv/a;") + _block("/static/", "root /srv/b;")),
+    _when("k % 9 = 4", _block("/static/", "root /srv/a;") + _block("/static/", "root /srv/b;")
+          + _block("/wp-admin/", "root /srv/c;")),
     "'}¶¶server {¶    listen 80;¶    return 301 https://example.com;¶}¶'",
 ]
 _SITE_TEXT = "concat(" + ", ".join(
