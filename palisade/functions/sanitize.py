@@ -97,10 +97,14 @@ def strip_injection(value: Column, suspect: Column | None = None) -> Column:
     shortest = min(len(x) for x in INJECTIONS)
 
     def drop(text: Column, pattern: Column) -> Column:
+        """Passes until nothing is found; after that the remaining steps only hand on the text."""
         passes = F.sequence(F.lit(1), F.greatest(
             F.lit(1), (F.length(text) / F.lit(shortest)).cast("int")))
-        gone = F.aggregate(passes, text, lambda t, _: F.when(
-            F.regexp_like(t, pattern), F.regexp_replace(t, pattern, F.lit(""))).otherwise(t))
+        state = F.struct(text.alias("t"), F.lit(True).alias("more"))
+        gone = F.aggregate(passes, state, lambda s, _: F.when(
+            s["more"], F.struct(
+                F.regexp_replace(s["t"], pattern, F.lit("")).alias("t"),
+                F.regexp_like(s["t"], pattern).alias("more"))).otherwise(s), lambda s: s["t"])
         return F.when(F.regexp_like(text, pattern), gone).otherwise(text)
 
     quoted = F.expr("array(" + ", ".join(f"r'(?i){quote(x)}'" for x in INJECTIONS) + ")")

@@ -252,6 +252,8 @@ def inv_destructive_git(commands: DataFrame) -> DataFrame:
 
 def with_hits(parsed: DataFrame) -> DataFrame:
     """Adds ``hits``: per location, the test paths it takes."""
+    if "hits" in parsed.columns:
+        return parsed
     tests = F.array(*[F.lit(p) for p in [C.ACME_PATH, *C.HEALTH_PATHS]])
     return parsed.withColumn("hits", location_takes(
         F.transform("locs", lambda b: b["modifier"]), F.transform("locs", lambda b: b["path"]), tests))
@@ -263,7 +265,7 @@ def location_match(parsed: DataFrame) -> DataFrame:
         *ID, F.col("x.b.line").alias("line"), F.col("x.b.expr").alias("expr"), F.explode("x.h").alias("test_path"))
 
 
-def compat_acme(parsed: DataFrame) -> DataFrame:
+def _mark_acme(parsed: DataFrame) -> DataFrame:
     zipped = "arrays_zip(locs, hits)"
     takes = f"array_contains(z.hits, '{C.ACME_PATH}')"
     marked = with_hits(parsed).withColumns({
@@ -271,36 +273,39 @@ def compat_acme(parsed: DataFrame) -> DataFrame:
         "_over": F.expr(f"exists({zipped}, z -> {takes} AND z.locs.modifier IN ('=', '^~') AND NOT z.locs.body RLIKE r'{DENY}')")})
     status = (F.when(F.size("servers") == 0, F.lit("skip"))
               .when((F.size("_block") > 0) & ~F.col("_over"), F.lit("fail")).otherwise(F.lit("pass")))
-    return marked.select(*ID, *_row("acme_paths", status, F.when(status == "fail", F.col("_block")).otherwise(F.array())))
+    return marked.withColumn(
+        "c_acme_paths", F.struct(*_row("acme_paths", status, F.when(status == "fail", F.col("_block")).otherwise(F.array()))))
 
 
-def compat_health(parsed: DataFrame) -> DataFrame:
+def _mark_health(parsed: DataFrame) -> DataFrame:
     issues = F.expr(f"""flatten(transform(filter(arrays_zip(locs, hits), z -> z.locs.body RLIKE r'{DENY}'),
         z -> transform(filter(z.hits, h -> h <> '{C.ACME_PATH}'), h -> concat(h, ' blocked by ', z.locs.expr))))""")
-    return with_hits(parsed).withColumn("_i", issues).select(
-        *ID, *_row("health_endpoints", _fail_if_any(F.col("_i")), F.col("_i")))
+    return with_hits(parsed).withColumn("_i", issues).withColumn(
+        "c_health_endpoints", F.struct(*_row("health_endpoints", _fail_if_any(F.col("_i")), F.col("_i"))))
 
 
 def _proxied(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("_p", F.expr(r"filter(locs, b -> b.body RLIKE r'\bproxy_pass\b')"))
 
 
-def compat_proxy_headers(parsed: DataFrame) -> DataFrame:
+def _mark_proxy_headers(parsed: DataFrame) -> DataFrame:
     names = "array(" + ", ".join(f"'{h}'" for h in C.REQUIRED_PROXY_HEADERS) + ")"
     issues = F.expr(rf"""flatten(transform(_p, b -> transform(filter({names},
         h -> NOT b.body RLIKE concat(r'proxy_set_header\s+', h, r'\b')), h -> concat(b.expr, ' missing ', h))))""")
     status = (F.when(F.size("_i") > 0, F.lit("fail")).when(F.size("_p") == 0, F.lit("skip")).otherwise(F.lit("pass")))
-    return _proxied(parsed).withColumn("_i", issues).select(*ID, *_row("proxy_headers", status, F.col("_i")))
+    return _proxied(parsed).withColumn("_i", issues).withColumn(
+        "c_proxy_headers", F.struct(*_row("proxy_headers", status, F.col("_i"))))
 
 
-def compat_websocket(parsed: DataFrame) -> DataFrame:
+def _mark_websocket(parsed: DataFrame) -> DataFrame:
     up, conn = r"proxy_set_header\s+Upgrade\b", r"proxy_set_header\s+Connection\b"
     marked = _proxied(parsed).withColumns({
         "_ws": F.expr(f"exists(_p, b -> b.body RLIKE r'{up}' OR b.body RLIKE r'{conn}')"),
         "_i": F.expr(rf"""transform(filter(_p, b -> (b.body RLIKE r'{up}' AND NOT b.body RLIKE r'{conn}')
             OR (NOT b.body RLIKE r'{up}' AND b.body RLIKE r'proxy_set_header\s+Connection\s+"[Uu]pgrade"')), b -> b.expr)""")})
     status = (F.when(~F.col("_ws"), F.lit("skip")).when(F.size("_i") > 0, F.lit("fail")).otherwise(F.lit("pass")))
-    return marked.select(*ID, *_row("websocket_upgrade", status, F.col("_i")))
+    return marked.withColumn(
+        "c_websocket_upgrade", F.struct(*_row("websocket_upgrade", status, F.col("_i"))))
 
 
 def _repeats(body: str) -> str:
@@ -316,23 +321,23 @@ def _repeats(body: str) -> str:
             f"n -> concat(n, ' x', cast(size(filter(ns, x -> x = n)) AS string)))))")
 
 
-def compat_duplicates(parsed: DataFrame) -> DataFrame:
+def _mark_duplicates(parsed: DataFrame) -> DataFrame:
     issues = F.expr(f"""concat(
         flatten(transform(servers, s -> transform({_repeats('s.body')}, i -> concat(i, ' in server')))),
         CASE WHEN size(servers) = 0 THEN transform({_repeats('clean')}, i -> concat(i, ' at top level')) ELSE cast(array() AS array<string>) END,
         flatten(transform(locs, b -> transform({_repeats('b.body')}, i -> concat(i, ' in ', b.expr)))))""")
-    return parsed.withColumn("_i", issues).select(
-        *ID, *_row("duplicate_directives", _fail_if_any(F.col("_i"), "warn"), F.col("_i")))
+    return parsed.withColumn("_i", issues).withColumn(
+        "c_duplicate_directives", F.struct(*_row("duplicate_directives", _fail_if_any(F.col("_i"), "warn"), F.col("_i"))))
 
 
-def compat_header_inheritance(parsed: DataFrame) -> DataFrame:
+def _mark_header_inheritance(parsed: DataFrame) -> DataFrame:
     issues = F.expr(r"""CASE WHEN size(servers) > 0 THEN
         flatten(transform(filter(servers, s -> s.body RLIKE r'\badd_header\b'), s -> transform(filter(locs,
           b -> b.open > s.open AND b.close < s.close AND b.body RLIKE r'\badd_header\b'), b -> b.expr)))
       WHEN clean RLIKE r'(?m)^[ \t]*add_header\b' THEN transform(filter(locs, b -> b.body RLIKE r'\badd_header\b'), b -> b.expr)
       ELSE cast(array() AS array<string>) END""")
-    return parsed.withColumn("_i", issues).select(
-        *ID, *_row("header_inheritance", _fail_if_any(F.col("_i"), "warn"), F.col("_i")))
+    return parsed.withColumn("_i", issues).withColumn(
+        "c_header_inheritance", F.struct(*_row("header_inheritance", _fail_if_any(F.col("_i"), "warn"), F.col("_i"))))
 
 
 def location_shadow(parsed: DataFrame) -> DataFrame:
@@ -351,17 +356,17 @@ def duplicate_location(parsed: DataFrame) -> DataFrame:
                     F.col("x.b.line").alias("line")))
 
 
-def compat_precedence(parsed: DataFrame) -> DataFrame:
+def _mark_precedence(parsed: DataFrame) -> DataFrame:
     pairs = shadowing(F.transform("locs", lambda b: b["modifier"]), F.transform("locs", lambda b: b["path"]))
     issues = F.expr("""concat(
         transform(_s, p -> concat(element_at(locs, p.regex + 1).expr, ' shadows ', element_at(locs, p.prefix + 1).expr)),
         transform(filter(locs, b -> element_at(filter(locs, x -> x.modifier = b.modifier AND x.path = b.path), 1).open < b.open),
                   b -> concat('duplicate ', b.expr)))""")
-    return parsed.withColumn("_s", pairs).withColumn("_i", issues).select(
-        *ID, *_row("location_precedence", _fail_if_any(F.col("_i"), "warn"), F.col("_i")))
+    return parsed.withColumn("_s", pairs).withColumn("_i", issues).withColumn(
+        "c_location_precedence", F.struct(*_row("location_precedence", _fail_if_any(F.col("_i"), "warn"), F.col("_i"))))
 
 
-def compat_deny_allow(parsed: DataFrame) -> DataFrame:
+def _mark_deny_allow(parsed: DataFrame) -> DataFrame:
     """Order counts by the last line that starts with each word."""
     last = lambda w: (f"array_max(transform(filter(transform(split(b.body, r'\\n'), (l, i) -> named_struct('l', l, 'i', i)), "
                       f"z -> z.l RLIKE r'^[ \\t]*{w}\\b'), z -> z.i))")
@@ -369,8 +374,8 @@ def compat_deny_allow(parsed: DataFrame) -> DataFrame:
         transform(filter(locs, b -> {last('deny')} < {last('allow')}), b -> concat('deny before allow in ', b.expr)),
         CASE WHEN clean RLIKE r'(?m)^\s*deny\s+all\s*;' THEN transform(filter(locs, b -> b.body RLIKE r'\ballow\b'),
              b -> concat('top-level deny against ', b.expr)) ELSE cast(array() AS array<string>) END)""")
-    return parsed.withColumn("_i", issues).select(
-        *ID, *_row("deny_allow_conflicts", _fail_if_any(F.col("_i"), "warn"), F.col("_i")))
+    return parsed.withColumn("_i", issues).withColumn(
+        "c_deny_allow_conflicts", F.struct(*_row("deny_allow_conflicts", _fail_if_any(F.col("_i"), "warn"), F.col("_i"))))
 
 
 # --- includes ----------------------------------------------------------------------------------
@@ -563,13 +568,28 @@ def profile_detect(files: DataFrame) -> DataFrame:
     return seen.select("host", "snapshot_id", profile.alias("profile"))
 
 
+IN_FILE_CHECKS = {
+    "acme_paths": _mark_acme, "health_endpoints": _mark_health, "proxy_headers": _mark_proxy_headers,
+    "websocket_upgrade": _mark_websocket, "duplicate_directives": _mark_duplicates,
+    "header_inheritance": _mark_header_inheritance, "location_precedence": _mark_precedence,
+    "deny_allow_conflicts": _mark_deny_allow,
+}
+
+
+def compat_check(parsed: DataFrame, name: str) -> DataFrame:
+    return IN_FILE_CHECKS[name](parsed).select(*ID, f"c_{name}.*")
+
+
 def compat_checks(parsed: DataFrame) -> DataFrame:
-    """All nine checks, one row per (file, check)."""
-    out = compat_includes(parsed)
-    for check in (compat_acme, compat_health, compat_proxy_headers, compat_websocket, compat_duplicates,
-                  compat_header_inheritance, compat_precedence, compat_deny_allow):
-        out = out.unionByName(check(parsed))
-    return out
+    """All nine checks, one row per (file, check).
+
+    The eight that look at one file at a time are columns of a single pass over the corpus.
+    """
+    marked = parsed
+    for mark in IN_FILE_CHECKS.values():
+        marked = mark(marked)
+    return (marked.select(*ID, F.inline(F.array(*[F.col(f"c_{n}") for n in IN_FILE_CHECKS])))
+            .unionByName(compat_includes(parsed)))
 
 
 def check_overall(checks: DataFrame) -> DataFrame:

@@ -15,22 +15,27 @@ from palisade.operators.events import hits_by_label
 SLICE = 3600
 
 
-def sliced(rows: DataFrame, reach: int, size: int = SLICE) -> DataFrame:
-    """Rows with ``_slice``; rows within ``reach`` seconds of a slice's end also lead the next one."""
+def sliced(rows: DataFrame, reach: int, keep: Column | None = None, size: int = SLICE) -> DataFrame:
+    """Rows with ``_slice``; rows within ``reach`` seconds of a slice's end also lead the next one.
+
+    Rows that fail ``keep`` get no slice.  A filter on a label would be pushed below the columns
+    that compute it and run the whole classification twice.
+    """
     size = max(size, reach)
     micros = F.unix_micros("ts")
     at = F.floor(micros / (size * 1_000_000))
     carried = F.floor((micros + reach * 1_000_000) / (size * 1_000_000))
     return (rows.withColumn("_us", micros).withColumn("_own", at)
-            .withColumn("_slice", F.explode(F.sequence(at, carried))))
+            .withColumn("_slice", F.explode(F.when(F.lit(True) if keep is None else keep,
+                                                   F.sequence(at, carried)))))
 
 
 def burst_detect(clean: DataFrame, seconds: int = 2, at_least: int = 3) -> DataFrame:
     """Rows that complete ``at_least`` probes of one class by one source within ``seconds``."""
     window = (Window.partitionBy("remote_addr", "path_class", "_slice").orderBy("_us")
               .rangeBetween(-seconds * 1_000_000, 0))
-    probes = clean.where("path_class <> 'unknown'").select("ord", "remote_addr", "path_class", "ts")
-    return (sliced(probes, seconds).withColumn("probes", F.count(F.lit(1)).over(window))
+    probes = clean.select("ord", "remote_addr", "path_class", "ts")
+    return (sliced(probes, seconds, F.col("path_class") != "unknown").withColumn("probes", F.count(F.lit(1)).over(window))
             .where((F.col("_slice") == F.col("_own")) & (F.col("probes") >= at_least))
             .select("ord", "remote_addr", "path_class", "probes"))
 

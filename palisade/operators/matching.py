@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REGEX_BLOCK = 256
 
+# The helpers below travel with the query: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def prefix_join(texts: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """(text, prefix) where the text starts with the prefix; both inputs hold distinct values.

@@ -153,19 +153,19 @@ _ACME = _check("acme_paths", f"""SELECT file_id, expr AS issue FROM h_hits h WHE
     AND EXISTS (SELECT 1 FROM b_servers s WHERE s.file_id = h.file_id)
     AND NOT EXISTS (SELECT 1 FROM h_hits o WHERE o.file_id = h.file_id AND o.test_path = '{C.ACME_PATH}' AND o.modifier IN ('=', '^~') AND NOT regexp_matches(o.body, {DENY}))""",
     f"CASE WHEN {_NO_SERVER} THEN 'skip' WHEN i.n > 0 THEN 'fail' ELSE 'pass' END")
-add("compat_acme", lambda s, d: K.compat_acme(parsed(s, d)), over(_ACME, *HITS))
+add("compat_acme", lambda s, d: K.compat_check(parsed(s, d), "acme_paths"), over(_ACME, *HITS))
 _HEALTH = _check("health_endpoints", f"""SELECT file_id, concat(test_path, ' blocked by ', expr) AS issue FROM h_hits
     WHERE test_path <> '{C.ACME_PATH}' AND regexp_matches(body, {DENY})""")
-add("compat_health", lambda s, d: K.compat_health(parsed(s, d)), over(_HEALTH, *HITS))
+add("compat_health", lambda s, d: K.compat_check(parsed(s, d), "health_endpoints"), over(_HEALTH, *HITS))
 _PROXY = _check("proxy_headers", rf"""SELECT file_id, concat(expr, ' missing ', h) AS issue FROM b_locs, (VALUES {', '.join(f"('{h}')" for h in C.REQUIRED_PROXY_HEADERS)}) v(h)
     WHERE regexp_matches(body, '\bproxy_pass\b') AND NOT regexp_matches(body, concat('proxy_set_header\s+', h, '\b'))""",
     r"CASE WHEN i.n > 0 THEN 'fail' WHEN NOT EXISTS (SELECT 1 FROM b_locs b WHERE b.file_id = f.file_id AND regexp_matches(b.body, '\bproxy_pass\b')) THEN 'skip' ELSE 'pass' END")
-add("compat_proxy_headers", lambda s, d: K.compat_proxy_headers(parsed(s, d)), over(_PROXY, *CLEAN))
+add("compat_proxy_headers", lambda s, d: K.compat_check(parsed(s, d), "proxy_headers"), over(_PROXY, *CLEAN))
 _UP, _CO = r"regexp_matches(body, 'proxy_set_header\s+Upgrade\b')", r"regexp_matches(body, 'proxy_set_header\s+Connection\b')"
 _WS = _check("websocket_upgrade", rf"""SELECT file_id, expr AS issue FROM b_locs WHERE regexp_matches(body, '\bproxy_pass\b') AND (({_UP} AND NOT {_CO})
     OR (NOT {_UP} AND regexp_matches(body, 'proxy_set_header\s+Connection\s+"[Uu]pgrade"')))""",
     rf"CASE WHEN NOT EXISTS (SELECT 1 FROM b_locs b WHERE b.file_id = f.file_id AND regexp_matches(body, '\bproxy_pass\b') AND ({_UP} OR {_CO})) THEN 'skip' WHEN i.n > 0 THEN 'fail' ELSE 'pass' END")
-add("compat_websocket", lambda s, d: K.compat_websocket(parsed(s, d)), over(_WS, *CLEAN))
+add("compat_websocket", lambda s, d: K.compat_check(parsed(s, d), "websocket_upgrade"), over(_WS, *CLEAN))
 
 # Lines at depth 0 of each context: the running brace count before a line is zero and it opens none.
 _LISTED = ", ".join(f"'{d}'" for d in C.REPEATABLE_DIRECTIVES)
@@ -181,13 +181,13 @@ CONTEXTS = CLEAN + (
         FROM x_dirs WHERE dir <> '' AND dir NOT IN ({_LISTED}) GROUP BY file_id, ctx, label, dir HAVING count(*) > 1"""),
 )
 _DUPES = _check("duplicate_directives", "SELECT file_id, issue FROM x_dupes", WARN)
-add("compat_duplicates", lambda s, d: K.compat_duplicates(parsed(s, d)), over(_DUPES, *CONTEXTS))
+add("compat_duplicates", lambda s, d: K.compat_check(parsed(s, d), "duplicate_directives"), over(_DUPES, *CONTEXTS))
 _INHERIT = _check("header_inheritance", r"""
   SELECT b.file_id, b.expr AS issue FROM b_locs b JOIN b_servers s ON s.file_id = b.file_id AND b.open > s.open AND b.close < s.close
    WHERE regexp_matches(s.body, '\badd_header\b') AND regexp_matches(b.body, '\badd_header\b')
   UNION ALL SELECT b.file_id, b.expr FROM b_locs b JOIN c_text t ON t.file_id = b.file_id WHERE NOT EXISTS (SELECT 1 FROM b_servers s WHERE s.file_id = b.file_id)
    AND regexp_matches(t.clean, '(?m)^[ \t]*add_header\b') AND regexp_matches(b.body, '\badd_header\b')""", WARN)
-add("compat_header_inheritance", lambda s, d: K.compat_header_inheritance(parsed(s, d)), over(_INHERIT, *CLEAN))
+add("compat_header_inheritance", lambda s, d: K.compat_check(parsed(s, d), "header_inheritance"), over(_INHERIT, *CLEAN))
 SHADOW = CLEAN + (
     ("w_shadow", """SELECT r.file_id, r.host, r.path, r.snapshot_id, r.expr AS regex_location, p.expr AS prefix_location FROM b_locs r JOIN b_locs p ON p.file_id = r.file_id
         WHERE p.modifier = '' AND ((r.modifier = '~' AND regexp_matches(p.location, r.location)) OR (r.modifier = '~*' AND regexp_matches(p.location, concat('(?i)', r.location))))"""),
@@ -198,14 +198,14 @@ add("location_shadow", lambda s, d: K.location_shadow(parsed(s, d)), over("SELEC
 add("duplicate_location", lambda s, d: K.duplicate_location(parsed(s, d)), over("SELECT * FROM w_dup", *SHADOW))
 _PREC = _check("location_precedence", """SELECT file_id, concat(regex_location, ' shadows ', prefix_location) AS issue FROM w_shadow
     UNION ALL SELECT file_id, concat('duplicate ', expr) FROM w_dup""", WARN)
-add("compat_precedence", lambda s, d: K.compat_precedence(parsed(s, d)), over(_PREC, *SHADOW))
+add("compat_precedence", lambda s, d: K.compat_check(parsed(s, d), "location_precedence"), over(_PREC, *SHADOW))
 _ORDER = _check("deny_allow_conflicts", r"""
   SELECT file_id, concat('deny before allow in ', expr) AS issue FROM (SELECT file_id, open, expr,
      max(CASE WHEN regexp_matches(l, '^[ \t]*deny\b') THEN n END) AS d, max(CASE WHEN regexp_matches(l, '^[ \t]*allow\b') THEN n END) AS a
      FROM (SELECT file_id, open, expr, unnest(string_split(body, chr(10))) AS l, unnest(range(len(string_split(body, chr(10))))) AS n FROM b_locs) x GROUP BY 1, 2, 3) y WHERE d < a
   UNION ALL SELECT b.file_id, concat('top-level deny against ', b.expr) FROM b_locs b JOIN c_text t ON t.file_id = b.file_id
      WHERE regexp_matches(t.clean, '(?m)^\s*deny\s+all\s*;') AND regexp_matches(b.body, '\ballow\b')""", WARN)
-add("compat_deny_allow", lambda s, d: K.compat_deny_allow(parsed(s, d)), over(_ORDER, *CLEAN))
+add("compat_deny_allow", lambda s, d: K.compat_check(parsed(s, d), "deny_allow_conflicts"), over(_ORDER, *CLEAN))
 
 # --- includes and blast radius -----------------------------------------------------------------
 

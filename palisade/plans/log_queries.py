@@ -150,8 +150,8 @@ add("redaction_counts", redaction_counts, _redaction_oracle())
 
 # --- events ------------------------------------------------------------------------------------
 
-add("l1_group", lambda s, d: E.l1_group(access(s, d)), O.over_access("""
-SELECT method, hex_path, status, hex_user_agent, CAST(sum(count) AS BIGINT) AS count, min(timestamp) AS timestamp,
+add("l1_group", lambda s, d: E.l1_group(access(s, d)).withColumn("status", c("status").cast("bigint")), O.over_access("""
+SELECT method, hex_path, CAST(status AS BIGINT) AS status, hex_user_agent, CAST(sum(count) AS BIGINT) AS count, min(timestamp) AS timestamp,
        arg_min(remote_addr, ord) AS remote_addr, min(ord) AS ord
 FROM access_events GROUP BY 1, 2, 3, 4"""))
 add("sanitize_events", lambda s, d: clean(s, d).drop("ts"), O.over_sanitized("SELECT * EXCLUDE (ts) FROM sanitized"))
@@ -199,10 +199,10 @@ FROM (SELECT *, coalesce(scanner_family, 'none') AS scanner FROM sanitized) s GR
 add("status_distribution", lambda s, d: E.status_distribution(clean(s, d)), O.over_sanitized("""
 SELECT path_class, status_bucket, hits, round(CAST(hits AS DOUBLE) / CAST(sum(hits) OVER (PARTITION BY path_class) AS DOUBLE), 6) AS share
 FROM (SELECT path_class, status_bucket, CAST(sum(count) AS BIGINT) AS hits FROM sanitized GROUP BY 1, 2) x"""))
-add("top_groups", lambda s, d: E.top_groups(access(s, d)), O.over_access("""
-SELECT method, hex_path, status, hex_user_agent, CAST(sum(count) AS BIGINT) AS count FROM access_events
+add("top_groups", lambda s, d: E.top_groups(access(s, d)).withColumn("status", c("status").cast("bigint")), O.over_access("""
+SELECT method, hex_path, CAST(status AS BIGINT) AS status, hex_user_agent, CAST(sum(count) AS BIGINT) AS count FROM access_events
 GROUP BY 1, 2, 3, 4 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 20"""))
-add("lookback", lambda s, d: E.hits_by_class(E.lookback(clean(s, d), "2024-01-20 00:00:00", 72)), O.over_sanitized("""
+add("lookback", lambda s, d: E.hits_by_class(E.sanitize_events(E.lookback(access(s, d), "2024-01-20 00:00:00", 72))), O.over_sanitized("""
 SELECT path_class, CAST(sum(count) AS BIGINT) AS hits FROM sanitized
 WHERE ts > TIMESTAMP '2024-01-17 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1"""))
 

@@ -6,9 +6,11 @@ same rows is the reference for the stream's output.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +19,9 @@ from palisade.operators.ioc import address_part
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
+# The state function travels with the query: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def watermarked(df: DataFrame, delay: str) -> DataFrame:
     return df.withWatermark("ts", delay) if df.isStreaming else df
@@ -32,9 +37,10 @@ def hourly_classes(clean: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 def burst(clean: DataFrame, size: str = "2 seconds", slide: str = "1 second", at_least: int = 3,
           delay: str = "1 minute") -> DataFrame:
-    probes = watermarked(clean, delay).where("path_class <> 'unknown'")
-    return (probes.groupBy(F.window("ts", size, slide).alias("w"), "remote_addr", "path_class")
-            .agg(F.count(F.lit(1)).alias("probes")).where(F.col("probes") >= at_least)
+    # Counted, not filtered: a filter on the class would be pushed below what computes it.
+    return (watermarked(clean, delay)
+            .groupBy(F.window("ts", size, slide).alias("w"), "remote_addr", "path_class")
+            .agg(F.count_if(F.col("path_class") != "unknown").alias("probes")).where(F.col("probes") >= at_least)
             .select(F.date_format("w.start", ISO).alias("start"), "remote_addr", "path_class", "probes"))
 
 
