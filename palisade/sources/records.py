@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = r"(?s)\A---(.*?)\n---"
-ENTRY = r"(?m)^([a-z_][a-z0-9_]*):[ \t]*(?:(?:\[\])?[ \t]*((?:\n  - .*)+)|(.*)$)"
+KEY = r"[a-z_][a-z0-9_]*:"
+ITEMS = r"^((?:  - [^\n]*(?:\n|$))*)"
 INT = r"^[+-]?\d+(_\d+)*$"
 FLOAT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
@@ -19,35 +20,41 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def parse_frontmatter(records: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``entries`` array<struct<key, kind, value, items>> and ``parse_errors``.
 
-    ``kind`` is list, bool, int, float or string; ``items`` holds list values.
+    ``kind`` is list, bool, int, float or string; ``items`` holds list values.  The block is cut
+    once, before each key; list items stay with their key, stray lines become errors.
     """
-    body = F.regexp_extract(F.trim(F.regexp_replace(text, r"^\s+", "")), BLOCK, 1)
-    blocked = records.withColumn("_block", body).withColumn(
-        "_has", F.regexp_replace(text, r"^\s+", "").rlike(BLOCK))
-    parts = blocked.withColumn("_parts", F.arrays_zip(
-        F.regexp_extract_all("_block", F.lit(ENTRY), F.lit(1)).alias("key"),
-        F.regexp_extract_all("_block", F.lit(ENTRY), F.lit(2)).alias("listed"),
-        F.regexp_extract_all("_block", F.lit(ENTRY), F.lit(3)).alias("scalar")))
-    entries = F.expr(rf"""
-      transform(_parts, p -> named_struct('key', p.key, 'v', trim(p.scalar), 'listed', p.listed))""")
+    block = F.regexp_extract(F.regexp_replace(text, r"\A\s+", ""), BLOCK, 1)
+    cut = records.withColumn("_block", F.concat(F.lit("\n"), block)).withColumn(
+        "_parts", F.split("_block", r"\n(?=" + KEY + ")"))
+    raw = F.expr(r"""
+      transform(transform(slice(_parts, 2, size(_parts)), e -> named_struct('e', e, 'head', substring_index(e, '\n', 1))),
+        x -> named_struct('key', substring_index(x.head, ':', 1), 'v', trim(substring(x.head, instr(x.head, ':') + 1)),
+                          'tail', substring(x.e, length(x.head) + 2)))""")
+    listed = F.expr(rf"""
+      transform(_raw, x -> named_struct('key', x.key, 'v', x.v, 'tail', x.tail,
+        'items', CASE WHEN startswith(x.tail, '  - ') AND x.v IN ('', '[]') THEN regexp_extract(x.tail, r'{ITEMS}', 1) ELSE '' END))""")
     typed = F.expr(rf"""
       transform(_e, e -> CASE
-        WHEN e.listed <> '' THEN named_struct('key', e.key, 'kind', 'list', 'value', '',
-             'items', transform(split(substring(e.listed, 2), r'\n'), x -> trim(substring(x, 5))))
-        WHEN e.v RLIKE r'^\[.*\]$' THEN named_struct('key', e.key, 'kind', 'list', 'value', '',
-             'items', filter(transform(split(substring(e.v, 2, length(e.v) - 2), ','), x -> trim(x)), x -> x <> ''))
+        WHEN e.items <> '' THEN named_struct('key', e.key, 'kind', 'list', 'value', '',
+             'items', transform(split(rtrim(e.items), '\n'), x -> trim(substring(x, 5))))
+        WHEN startswith(e.v, '[') AND endswith(e.v, ']') THEN named_struct('key', e.key, 'kind', 'list', 'value', '',
+             'items', CASE WHEN trim(substring(e.v, 2, length(e.v) - 2)) = '' THEN cast(array() AS array<string>)
+                      ELSE transform(split(substring(e.v, 2, length(e.v) - 2), ','), x -> trim(BOTH "'" FROM trim(BOTH '"' FROM trim(x)))) END)
         ELSE named_struct('key', e.key,
-             'kind', CASE WHEN e.v IN ('true', 'True', 'false', 'False') THEN 'bool' WHEN e.v RLIKE r'{INT}' THEN 'int'
-                          WHEN e.v RLIKE r'{FLOAT}' THEN 'float' ELSE 'string' END,
-             'value', CASE WHEN length(e.v) >= 2 AND (e.v RLIKE r'^".*"$' OR e.v RLIKE r"^'.*'$")
+             'kind', CASE WHEN e.v IN ('true', 'True', 'false', 'False') THEN 'bool'
+                          WHEN NOT contains('0123456789+-.iInN', substring(e.v, 1, 1)) OR e.v = '' THEN 'string'
+                          WHEN e.v RLIKE r'{INT}' THEN 'int' WHEN e.v RLIKE r'{FLOAT}' THEN 'float' ELSE 'string' END,
+             'value', CASE WHEN length(e.v) >= 2 AND ((startswith(e.v, '"') AND endswith(e.v, '"')) OR (startswith(e.v, "'") AND endswith(e.v, "'")))
                            THEN substring(e.v, 2, length(e.v) - 2) ELSE e.v END,
              'items', cast(array() AS array<string>)) END)""")
-    left = F.regexp_replace(F.regexp_replace("_block", ENTRY, ""), r"(?m)^[ \t]*#.*$", "")
-    bad_lines = F.filter(F.split(left, "\n"), lambda x: F.trim(x) != "")
-    errors = F.when(~F.col("_has"), F.array(F.lit("no frontmatter"))).otherwise(
-        F.transform(bad_lines, lambda x: F.concat(F.lit("unparseable: "), x)))
-    return (parts.withColumn("_e", entries).withColumn("entries", typed)
-            .withColumn("parse_errors", errors).drop("_block", "_has", "_parts", "_e"))
+    stray = F.expr(r"""
+      filter(flatten(concat(array(split(_parts[0], '\n')), transform(filter(_e, e -> length(e.tail) > length(e.items)),
+        e -> split(substring(e.tail, length(e.items) + 1), '\n')))), x -> trim(x) <> '' AND NOT startswith(trim(x), '#'))""")
+    errors = F.when(~F.regexp_replace(text, r"\A\s+", "").rlike(BLOCK), F.array(F.lit("no frontmatter"))).otherwise(
+        F.transform(stray, lambda x: F.concat(F.lit("unparseable: "), x)))
+    return (cut.withColumn("_raw", raw).withColumn("_e", listed)
+            .withColumns({"entries": typed, "parse_errors": errors})
+            .drop("_block", "_parts", "_raw", "_e"))
 
 
 def key_values(records: DataFrame, key: str) -> DataFrame:
