@@ -45,7 +45,7 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
     sized = needles.where(F.length(needle) > 0).withColumn(
         "_size", F.least(F.length(needle), F.lit(gram)))
     sizes = sized.agg(F.collect_set("_size").alias("s")).scalar()
-    index = (texts.withColumn("_size", F.explode(sizes))
+    index = (texts.withColumn("_size", F.explode(sizes)).where(F.length(text) >= F.col("_size"))
              .withColumn("_gram", F.explode(grams(text, F.col("_size")))).select(text, "_gram"))
     frequency = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
     rarest = (sized.withColumn("_gram", F.explode(grams(needle, F.col("_size"))))

@@ -89,9 +89,8 @@ def stream_rule_expiry(rules: DataFrame, delay: str = "1 hour") -> DataFrame:
             state.remove()
             yield pd.DataFrame({"rule_id": [key[0]], "expired_at_ms": [end]})
             return
-        end = max(int((b["ts"].astype("int64") // 1_000_000 if str(b["ts"].dtype) == "datetime64[ns]"
-                       else b["ts"].astype("datetime64[ms]").astype("int64")).add(
-                           b["ttl_h"] * 3_600_000).max()) for b in batches)
+        end = max(int((b["ts"].astype("datetime64[ms]").astype("int64")
+                       + b["ttl_h"].astype("int64") * 3_600_000).max()) for b in batches)
         if state.exists:
             end = max(end, state.get[0])
         state.update((end,))
