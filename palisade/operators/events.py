@@ -80,7 +80,7 @@ def dedup_events(clean: DataFrame) -> DataFrame:
     )
 
 
-def event_numbering(events: DataFrame, buckets: int = 64) -> DataFrame:
+def event_numbering(events: DataFrame, buckets: int | None = None) -> DataFrame:
     """``evt-YYYYMMDD-NNNN`` with one counter over all events in first-seen order.
 
     Reads its input three times (bounds, counts, rows): give it checkpointed events, such as

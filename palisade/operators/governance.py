@@ -169,8 +169,7 @@ def finding_id_assign(new: DataFrame, existing_ids: DataFrame) -> DataFrame:
     numbered = number_rows(new, "ord", ["source", "category"], into="_n")
     n = (F.col("_n") + F.coalesce("_top", F.lit(0))).cast("string")
     padded = F.lpad(n, F.greatest(F.length(n), F.lit(4)), F.lit("0"))
-    # One row per (source, category): 3 x 35 at most.
-    return (numbered.join(F.broadcast(taken), ["source", "category"], "left")
+    return (numbered.join(taken, ["source", "category"], "left")
             .withColumn("finding_id", F.concat_ws("-", F.lit("NH"), "source", "category", padded))
             .drop("_n", "_top"))
 

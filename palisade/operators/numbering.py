@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,24 +12,40 @@ def range_bucket(df: DataFrame, order: str, buckets: int) -> Column:
     """Bucket number by approximate quantiles of a numeric order column.
 
     The bounds are fixed literals once computed, so every later pass, retry or recomputation sees
-    the same buckets; they only balance the work, the numbering is exact whatever they are.
+    the same buckets; they only balance the work, the numbering is exact whatever they are.  The
+    search has two levels, about 2 x sqrt(buckets) comparisons a row.
     """
     bounds = sorted(set(df.approxQuantile(
         order, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order)))
+    step = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+
+    def literals(values) -> str:
+        return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+    coarse = literals(c[0] for c in chunks[1:]) if len(chunks) > 1 else "cast(array() AS array<double>)"
+    fine = "array(" + ", ".join(map(literals, chunks)) + ")"
+    at = f"size(filter({coarse}, b -> b <= {order}))"
+    return F.expr(f"{at} * {step} + size(filter(element_at({fine}, {at} + 1), b -> b <= {order}))")
+
+
+def default_buckets(df: DataFrame) -> int:
+    """As many ranges as shuffle tasks; the upper end only bounds the size of the literals."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(tasks, 64), 4096)
 
 
 def number_rows(df: DataFrame, order: str, group: list[str] | None = None, into: str = "n",
-                buckets: int = 64) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """``row_number`` from 1 within each group, in ``order``.
 
     A group may hold most of the rows: it is cut into order ranges, each range is numbered by its
     own task, and the rows before a range (a table of at most groups x buckets rows) are added.
     """
     group = group or []
-    cut = df.withColumn("_bucket", range_bucket(df, order, buckets))
+    cut = df.withColumn("_bucket", range_bucket(df, order, buckets or default_buckets(df)))
     keys = group + ["_bucket"]
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)

@@ -2,7 +2,8 @@
 
 Each view is one SQL text that Spark and DuckDB both run, so an oracle starts from the same rows as
 the Spark job.  Every view scans a whole given table; the only other inputs are literal lists joined
-by modulo.  In literals wrapped by ``txt`` the characters ¶ § ¤ stand for newline, backslash and
+by modulo.  The one difference in spelling, ``unnest(list_value(`` against Spark's
+``explode(array(``, is put right in ``view``.  In literals wrapped by ``txt`` the characters ¶ § ¤ stand for newline, backslash and
 dollar, which the two dialects would otherwise read differently.
 """
 
@@ -233,7 +234,8 @@ WITH {_values('r', 'n, category, pattern, modifier',
 SELECT concat('host-', CAST(s.s_suppkey AS STRING)) AS host, CAST(10 + r.n * 4 AS BIGINT) AS line_number,
        r.category AS category, r.pattern AS pattern, r.modifier AS modifier,
        CASE WHEN r.n % 3 = 0 THEN 'deny_all' ELSE 'return_404' END AS action
-FROM supplier s JOIN r ON (s.s_suppkey + r.n) % 5 <> 0
+FROM (SELECT s_suppkey, unnest(list_value({', '.join(str(i) for i in range(len(RULE_ROWS)))})) AS i FROM supplier) s
+JOIN r ON r.n = s.i WHERE (s.s_suppkey + r.n) % 5 <> 0
 """
 
 COMMANDS = """
@@ -334,8 +336,8 @@ FROM (
   SELECT k, CASE f WHEN 1 THEN '{SITE}' WHEN 2 THEN '{SNIPPET}' ELSE '{MAIN}' END AS path,
          CASE n WHEN 1 THEN '{BACKUP}' ELSE '{PROPOSED}' END AS snapshot_id,
          CASE f WHEN 1 THEN {_SITE_TEXT} WHEN 2 THEN {_SNIPPET_TEXT} ELSE {_MAIN_TEXT} END AS raw
-  FROM (SELECT s_suppkey AS k, n, f FROM supplier
-        JOIN (VALUES (1,1),(1,2),(1,3),(2,1),(2,2),(2,3)) AS v(n, f) ON TRUE) s
+  FROM (SELECT k, n, unnest(list_value(1, 2, 3)) AS f
+        FROM (SELECT s_suppkey AS k, unnest(list_value(1, 2)) AS n FROM supplier) a) s
 ) t
 """
 
@@ -545,4 +547,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for base in TABLES:
         if base in used:
             table(spark, sf_dir, base).createOrReplaceTempView(base)
-    return spark.sql(with_views(f"SELECT * FROM {name}", name))
+    sql = with_views(f"SELECT * FROM {name}", name)
+    return spark.sql(sql.replace("unnest(list_value(", "explode(array("))
