@@ -295,14 +295,18 @@ def finding_family(category: Column) -> Column:
 
 
 def profile_severity(profile: Column, severity: Column, ua: Column, addr_class: Column,
-                     method: Column) -> Column:
+                     method: Column, path_class: Column) -> Column:
     """Re-grade by environment profile; NULL means the row is left out of findings."""
     internal = profile == "internal-only"
     lockdown = profile == "high-risk-lockdown"
+    static = profile == "static-site"
+    abuse = method.isin("TRACE", "CONNECT", "INVALID") | (path_class == "path_traversal")
     return (
         F.when(internal & (addr_class == "private_ipv4"), F.lit(None).cast("string"))
         .when(internal & ua.isin("go-http-client", "python-requests", "curl"), F.lit("info"))
-        .when((profile == "static-site") & method.isin("POST", "PUT", "DELETE"), F.lit("high"))
+        .when(static & (method == "PUT"), F.lit("critical"))
+        .when(static & method.isin("POST", "DELETE"), F.lit("high"))
+        .when((profile == "api-gateway") & abuse, F.lit("high"))
         .when(lockdown & (severity == "medium"), F.lit("high"))
         .when(lockdown & (severity == "high"), F.lit("critical"))
         .otherwise(severity)

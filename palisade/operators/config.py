@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators.matching import location_takes, shadowing
+from palisade.session import materialize
 
 ID = ["file_id", "host", "path", "snapshot_id"]
 ROOT = "/etc/nginx/"
@@ -92,10 +93,13 @@ def extract_blocks(parsed: DataFrame) -> DataFrame:
 # --- comparing two snapshots -------------------------------------------------------------------
 
 def snapshot_pairs(parsed: DataFrame, backup: str, proposed: str) -> DataFrame:
-    """One row per (host, path) that has both snapshots."""
+    """One row per (host, path) of either snapshot; a side without the file is an empty text."""
     side = lambda sid, p: parsed.where(F.col("snapshot_id") == sid).select(
         "host", "path", F.col("text").alias(f"{p}_text"), F.col("raw_locs").alias(f"{p}_locs"))
-    return side(backup, "old").join(side(proposed, "new"), ["host", "path"])
+    both = side(backup, "old").join(side(proposed, "new"), ["host", "path"], "full")
+    none = F.array().cast(both.schema["old_locs"].dataType)
+    return both.withColumns({f"{p}_text": F.coalesce(f"{p}_text", F.lit("")) for p in ("old", "new")} |
+                            {f"{p}_locs": F.coalesce(f"{p}_locs", none) for p in ("old", "new")})
 
 
 def _blocking_keys(locs: str) -> Column:
@@ -410,36 +414,46 @@ def resolve_includes(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def compat_includes(files: DataFrame) -> DataFrame:
-    """Missing include fails, a glob without any file warns."""
+    """Missing includes and includes that lead back to their file fail; a glob without any file, and an
+    include from outside the config folders, warn."""
     edges = include_edges(files)
     key = ["host", "snapshot_id", "includer", "target"]
-    lost = edges.join(resolve_includes(edges, files).select(*key).distinct(), key, "left_anti")
-    found = lost.groupBy("host", "snapshot_id", "includer").agg(
-        F.bool_or(~F.col("is_glob")).alias("_missing"), F.array_sort(F.collect_set("target")).alias("_targets"))
-    status = (F.when(F.col("_missing"), F.lit("fail")).when(F.col("_targets").isNotNull(), F.lit("warn"))
+    lost = edges.join(resolve_includes(edges, files).select(*key).distinct(), key, "left_anti").select(
+        *key[:3], (~F.col("is_glob")).alias("_bad"), F.col("target").alias("_issue"))
+    outside = edges.where(~F.col("target").startswith(ROOT)).select(
+        *key[:3], F.lit(False).alias("_bad"), F.concat(F.lit("outside: "), "target").alias("_issue"))
+    loops = include_expand(files).where("cycle").select(
+        "host", "snapshot_id", F.col("root").alias("includer"), F.lit(True).alias("_bad"), F.lit("circular").alias("_issue"))
+    found = lost.unionByName(outside).unionByName(loops).groupBy(*key[:3]).agg(
+        F.bool_or("_bad").alias("_bad"), F.array_sort(F.collect_set("_issue")).alias("_issues"))
+    status = (F.when(F.col("_bad"), F.lit("fail")).when(F.col("_issues").isNotNull(), F.lit("warn"))
               .otherwise(F.lit("pass")))
     return (files.select(*ID).join(found.withColumnRenamed("includer", "path"), ["host", "snapshot_id", "path"], "left")
             .select(*ID, F.lit("include_integrity").alias("check_name"), status.alias("status"),
-                    F.coalesce(F.array_join("_targets", "; "), F.lit("")).alias("detail")))
+                    F.coalesce(F.array_join("_issues", "; "), F.lit("")).alias("detail")))
 
 
-def include_expand(files: DataFrame, depth: int = 6) -> DataFrame:
-    """Every file reached from each file within ``depth`` includes; ``cycle`` marks a way back.
+def include_expand(files: DataFrame) -> DataFrame:
+    """Every file reached from each file, with the fewest includes; ``cycle`` marks a way back.
 
-    Each round joins only the newest reaches on (host, snapshot, file) and drops repeats.
+    Each round joins only the pairs that the round before reached first, and drops pairs already
+    known, so cycles come to an end; the rounds are as many as the longest chain.
     """
-    edges = resolve_includes(include_edges(files), files).select("host", "snapshot_id", "includer", "included").distinct()
-    reach = edges.select("host", "snapshot_id", F.col("includer").alias("root"), F.col("included").alias("file"),
-                         F.lit(1).alias("depth"))
-    frontier, out = reach, reach
+    edges = materialize(resolve_includes(include_edges(files), files)
+                        .select("host", "snapshot_id", "includer", "included").distinct())
+    pair = ["host", "snapshot_id", "root", "file"]
+    out = frontier = edges.select("host", "snapshot_id", F.col("includer").alias("root"),
+                                  F.col("included").alias("file"), F.lit(1).cast("bigint").alias("depth"))
     step = edges.select("host", "snapshot_id", F.col("includer").alias("file"), F.col("included").alias("_next"))
-    for level in range(2, depth + 1):
-        frontier = (frontier.where("root <> file").join(step, ["host", "snapshot_id", "file"])
-                    .select("host", "snapshot_id", "root", F.col("_next").alias("file"), F.lit(level).alias("depth"))
-                    .distinct())
+    level = 1
+    while not frontier.isEmpty():
+        level += 1
+        reached = (frontier.where("root <> file").join(step, ["host", "snapshot_id", "file"])
+                   .select("host", "snapshot_id", "root", F.col("_next").alias("file"),
+                           F.lit(level).cast("bigint").alias("depth")).distinct())
+        frontier = materialize(reached.join(out, pair, "left_anti").select(*pair, "depth"))
         out = out.unionByName(frontier)
-    return (out.groupBy("host", "snapshot_id", "root", "file").agg(F.min("depth").cast("bigint").alias("depth"))
-            .withColumn("cycle", F.col("root") == F.col("file")))
+    return out.withColumn("cycle", F.col("root") == F.col("file"))
 
 
 # --- blast radius ------------------------------------------------------------------------------
@@ -517,7 +531,9 @@ def max_blast_radius(radii: DataFrame) -> DataFrame:
 # --- audit -------------------------------------------------------------------------------------
 
 AUDIT = [
-    ("tls_protocols", 5, r"(?m)^\s*ssl_protocols\s+TLSv1\.2\s+TLSv1\.3\s*;"),
+    ("tls_protocols", 5, r"(?m)^\s*ssl_protocols(\s+TLSv1\.[23])+\s*;"),
+    ("cipher_list_set", 2, r"(?m)^\s*ssl_ciphers\s+\S"),
+    ("server_ciphers_preferred", 1, r"(?m)^\s*ssl_prefer_server_ciphers\s+on\s*;"),
     ("server_tokens_off", 2, r"(?m)^\s*server_tokens\s+off\s*;"),
     ("body_size_set", 1, r"\bclient_max_body_size\b"),
     ("method_limit", 2, r"\$request_method\b"),
@@ -603,14 +619,22 @@ def check_overall(checks: DataFrame) -> DataFrame:
             .withColumn("overall", S.label_of(F.col("_r"), ["pass", "warn", "fail"])).drop("_r"))
 
 
-def deploy_gate(invariants: DataFrame, overall: DataFrame, blocked_hosts: DataFrame, profile: str) -> DataFrame:
-    """Per (host, path): blocked when an invariant fails, compatibility is critical or an exception blocks."""
-    bad = invariants.where("status = 'fail'").select("host", "path", F.concat(F.lit("invariant:"), "check_name").alias("reason"))
+def deploy_gate(checks: DataFrame, overall: DataFrame, profile: str, by_path: dict[str, DataFrame],
+                by_host: dict[str, DataFrame]) -> DataFrame:
+    """Per (host, path) of either snapshot: blocked when anything about the change fails.
+
+    ``checks`` holds (host, path, check_name, status) of all invariants, ``overall`` compatibility per
+    profile.  ``by_path`` and ``by_host`` name a reason and the paths or hosts it blocks: expired
+    exceptions, invalid records, destructive commands.
+    """
+    bad = checks.where("status = 'fail'").select("host", "path", F.concat(F.lit("invariant:"), "check_name").alias("reason"))
     bad = bad.unionByName(overall.where((F.col("profile") == profile) & (F.col("overall") == "fail"))
                           .select("host", "path", F.lit("compat:critical").alias("reason")))
-    targets = invariants.select("host", "path").distinct()
-    bad = bad.unionByName(targets.join(blocked_hosts.select("host").distinct(), "host", "left_semi")
-                          .select("host", "path", F.lit("exception:expired").alias("reason")))
+    targets = checks.select("host", "path").distinct()
+    for key, blocks in (("path", by_path), ("host", by_host)):
+        for reason, rows in blocks.items():
+            bad = bad.unionByName(targets.join(rows.select(key).distinct(), key, "left_semi")
+                                  .select("host", "path", F.lit(reason).alias("reason")))
     reasons = bad.distinct().groupBy("host", "path").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"))
     return (targets.join(reasons, ["host", "path"], "left")
             .select("host", "path", F.col("reasons").isNotNull().alias("blocked"), F.coalesce("reasons", F.lit("")).alias("reasons")))

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from palisade.functions import sanitize as S
 from palisade.operators.events import hits_by_label
 
-SLICE = 3600
+#: Slices are this many times the reach, so that a row is carried once in as many slices at most.
+REACHES = 30
 
 
-def sliced(rows: DataFrame, reach: int, keep: Column | None = None, size: int = SLICE) -> DataFrame:
+def sliced(rows: DataFrame, reach: int, keep: Column | None = None) -> DataFrame:
     """Rows with ``_slice``; rows within ``reach`` seconds of a slice's end also lead the next one.
 
     Rows that fail ``keep`` get no slice.  A filter on a label would be pushed below the columns
     that compute it and run the whole classification twice.
     """
-    size = max(size, reach)
+    size = REACHES * reach
     micros = F.unix_micros("ts")
     at = F.floor(micros / (size * 1_000_000))
     carried = F.floor((micros + reach * 1_000_000) / (size * 1_000_000))
@@ -112,17 +113,23 @@ def uncovered_patterns(clean: DataFrame, rules: DataFrame, to_classes: Column) -
 
 
 def upstream_correlation(gateway: DataFrame, upstream: DataFrame, seconds: int = 300) -> DataFrame:
-    """Gateway errors (502/503) near upstream errors in time.
+    """Gateway errors (502/503) within ``seconds`` of an upstream's errors, per slot and upstream.
 
-    Both sides are counted per slot of ``seconds`` first; a slot meets itself and its neighbours by
-    equality, then only whole-slot counts are compared, so busy moments do not multiply.
+    Both sides are counted per second first, so busy moments do not multiply; a second meets those of
+    its own and the two neighbouring slots by equality, and only pairs within reach count.
     """
-    slot = F.floor(F.unix_micros("ts") / (seconds * 1_000_000))
-    errors = gateway.groupBy(slot.alias("slot")).agg(F.sum("count").alias("gateway_errors"))
-    causes = (upstream.groupBy(slot.alias("_slot"), "upstream").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("slot", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)))
-              .groupBy("slot", "upstream").agg(F.sum("n").alias("upstream_errors")))
-    return errors.join(causes, "slot").select("slot", "upstream", "gateway_errors", "upstream_errors")
+    second = F.floor(F.unix_micros("ts") / 1_000_000)
+    slot = F.floor(F.col("at") / seconds)
+    errors = gateway.groupBy(second.alias("at")).agg(F.sum("count").alias("g")).withColumn("slot", slot)
+    causes = (upstream.groupBy(second.alias("at"), "upstream").agg(F.count(F.lit(1)).alias("u"))
+              .withColumn("_slot", slot))
+    near = errors.join(
+        causes.select(F.col("at").alias("_at"), "upstream", "u",
+                      F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1)).alias("slot")), "slot"
+    ).where(F.abs(F.col("at") - F.col("_at")) <= seconds)
+    per_second = near.groupBy("slot", "upstream", "at").agg(F.first("g").alias("g"), F.sum("u").alias("pairs"))
+    return per_second.groupBy("slot", "upstream").agg(
+        F.sum("g").alias("gateway_errors"), F.sum(F.col("pairs") * F.col("g")).alias("near_pairs"))
 
 
 def rule_classes_of(category: Column) -> Column:

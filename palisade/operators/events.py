@@ -9,18 +9,18 @@ from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators.numbering import number_rows
 from palisade.session import materialize
+from palisade.sources.access_log import l1_rows, parse_access_log
 
 KEY4 = ["path_class", "user_agent_family", "method_class", "status_bucket"]
 KEY5 = KEY4 + ["remote_addr"]
 
 
 def l1_group(rows: DataFrame) -> DataFrame:
-    """Identical (method, path, status, agent) rows to one, most frequent first."""
+    """Identical (method, path, status, agent) rows to one; `top_groups` orders them."""
     return (
         rows.groupBy("method", "hex_path", "status", "hex_user_agent")
         .agg(F.sum("count").alias("count"), F.min("timestamp").alias("timestamp"),
              F.min_by("remote_addr", "ord").alias("remote_addr"), F.min("ord").alias("ord"))
-        .orderBy(F.desc("count"), "ord")
     )
 
 
@@ -104,6 +104,46 @@ def published_events(events: DataFrame, source_type: str = "access_log",
         "provenance", "ttl_recommendation", "safe_notes", "count")
 
 
+def analyze_logs(lines: DataFrame) -> DataFrame:
+    """Log lines (value, ord) to published, numbered events, each with the contract's verdict."""
+    groups = l1_group(l1_rows(parse_access_log(lines)))
+    events = event_numbering(dedup_events(sanitize_events(groups)))
+    return event_contract(published_events(events))
+
+
+def graded(clean: DataFrame) -> DataFrame:
+    """Hits per closed labels under every profile (six at most), with the profile's severity.
+
+    Rows shrink to combinations of labels before they are repeated per profile.
+    """
+    c = F.col
+    base = (F.when(c("path_class") == "unknown", F.lit("low")).when(c("scanner_family").isNotNull(), F.lit("high"))
+            .otherwise(F.lit("medium")))
+    labels = ["path_class", "scanner_family", "user_agent_family", "remote_addr_class", "method_class"]
+    small = clean.groupBy(*labels).agg(F.count(F.lit(1)).alias("events"), F.sum("count").alias("hits"),
+                                       F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    each = small.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in C.PROFILES])))
+    severity = S.profile_severity(c("profile"), base, c("user_agent_family"), c("remote_addr_class"), c("method_class"),
+                                  c("path_class"))
+    return each.withColumn("severity", severity).where("severity IS NOT NULL")
+
+
+def log_findings(clean: DataFrame, covered: DataFrame) -> DataFrame:
+    """Findings of a run per profile and pattern; ``covered`` lists path classes that a rule blocks.
+
+    A single hit is a finding under lockdown only.  A pattern without a rule gets one proposed.
+    """
+    worst = F.min(S.ordinal(F.col("severity"), C.SEVERITY_ORDER))
+    found = graded(clean).where("path_class <> 'unknown'").groupBy("profile", "path_class").agg(
+        F.sum("hits").alias("hit_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        S.label_of(worst, C.SEVERITY_ORDER).alias("severity"))
+    known = covered.select("path_class").distinct().withColumn("_covered", F.lit(True))
+    return (found.where((F.col("hit_count") > 1) | (F.col("profile") == "high-risk-lockdown"))
+            .join(known, "path_class", "left")
+            .select("profile", F.col("path_class").alias("pattern"), "hit_count", "first_seen", "last_seen", "severity",
+                    F.when(F.col("_covered").isNull(), S.mitigation_type(F.col("path_class"))).alias("proposed_rule")))
+
+
 def hits_by_label(clean: DataFrame, label: str) -> DataFrame:
     """Hits per value of a label column, ready to be joined.
 

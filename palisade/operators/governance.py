@@ -129,13 +129,17 @@ def validate(records: DataFrame, kind: str, strict: bool = False) -> DataFrame:
 # --- exceptions --------------------------------------------------------------------------------
 
 def exception_state(exceptions: DataFrame, as_of: str) -> DataFrame:
-    """Newest version of each exception and where it stands; ``max_by`` combines before the shuffle."""
+    """Newest version of each exception and where it stands; ``max_by`` combines before the shuffle.
+
+    A review date that is no date makes the state ``invalid`` and ends nothing.
+    """
     cols = [c for c in exceptions.columns if c != "exception_id"]
     newest = exceptions.groupBy("exception_id").agg(F.max_by(
         F.struct(*cols), F.struct("last_reviewed_at", "ord")).alias("x")).select("exception_id", "x.*")
-    left = F.datediff(F.to_date("review_by"), F.to_date(F.lit(as_of))).cast("bigint")
-    notice = F.when(F.col("severity_tier") == "critical", 90).otherwise(30)
-    state = F.when(left < 0, F.lit("expired")).when(left <= notice, F.lit("expiring")).otherwise(F.lit("active"))
+    left = F.datediff(iso_date(F.col("review_by")), F.to_date(F.lit(as_of))).cast("bigint")
+    notice = (F.when(F.col("severity_tier") == "critical", 90).when(F.col("severity_tier") == "high", 60).otherwise(30))
+    state = (F.when(left.isNull(), F.lit("invalid")).when(left < 0, F.lit("expired"))
+             .when(left <= notice, F.lit("expiring")).otherwise(F.lit("active")))
     return newest.withColumns({"days_left": left, "state": state}).withColumn(
         "blocks", (F.col("state") == "expired") & (F.col("severity_tier") == "critical"))
 
@@ -156,12 +160,13 @@ def validation_rollup(validated: DataFrame, states: DataFrame) -> DataFrame:
 
 # --- findings ----------------------------------------------------------------------------------
 
-FINDING_ID = r"(NH-[A-Z]+-[A-Z_]+-\d{4})"
+# Numbers grow past four digits: an id ends where its digits end.
+FINDING_ID = r"(NH-[A-Z]+-[A-Z_]+-\d{4,})"
 
 
 def finding_id_assign(new: DataFrame, existing_ids: DataFrame) -> DataFrame:
     """Next free ``NH-SOURCE-CATEGORY-NNNN`` for every new row, numbered on from the highest taken."""
-    parts = r"^NH-([A-Z]+)-([A-Z_]+)-(\d{4})$"
+    parts = r"^NH-([A-Z]+)-([A-Z_]+)-(\d{4,})$"
     taken = (existing_ids.where(F.col("finding_id").rlike(parts))
              .groupBy(F.regexp_extract("finding_id", parts, 1).alias("source"),
                       F.regexp_extract("finding_id", parts, 2).alias("category"))
@@ -242,34 +247,61 @@ def new_since_last_run(findings: DataFrame, keys: list[str], run: str) -> DataFr
 
 # --- learnings ---------------------------------------------------------------------------------
 
-def learning_compact(learnings: DataFrame, as_of: str, max_ips: int = 50) -> DataFrame:
-    """Merge per class, archive stale drafts, keep promoted rows as they are.
+def _stale(as_of: str) -> Column:
+    day = iso_date(F.col("discovered"))
+    return (F.col("status") == "draft") & F.coalesce(day < F.date_sub(F.to_date(F.lit(as_of)), 30), F.lit(False))
+
 
-    The list of addresses is capped by rule.  Ranking runs over distinct (class, address) rows and
-    its limit is applied before the shuffle, so a class seen everywhere does not gather its rows.
+def learning_compact(learnings: DataFrame, as_of: str, shown_ips: int = 50) -> DataFrame:
+    """Merge per class, archive stale drafts, keep promoted rows as they are; ``action`` says which.
+
+    ``source_ips`` shows the first addresses by rule; ``learning_addresses`` has all of them.  A draft
+    whose date cannot be read is not stale.
     """
-    promoted = F.col("status") == "promoted"
-    stale = (F.col("status") == "draft") & (
-        F.to_date("discovered") < F.date_sub(F.to_date(F.lit(as_of)), 30))
+    promoted, stale = F.col("status") == "promoted", _stale(as_of)
     rest = learnings.where(~promoted & ~stale)
-    rank = F.row_number().over(Window.partitionBy("path_class").orderBy("source_ip"))
-    ips = (rest.select("path_class", "source_ip").distinct().withColumn("_r", rank)
-           .where(F.col("_r") <= max_ips).groupBy("path_class")
+    ips = (learning_addresses(learnings, as_of, shown_ips).where("shown").groupBy("path_class")
            .agg(F.array_join(F.array_sort(F.collect_list("source_ip")), ",").alias("source_ips")))
     merged = rest.groupBy("path_class").agg(
         F.sum("hit_count").alias("hit_count"), F.min("discovered").alias("discovered"),
         F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("merged"))
-    kept = learnings.where(promoted).select(
+    whole = learnings.where(promoted | stale).select(
         "learning_id", "path_class", "hit_count", "discovered", "last_seen",
-        F.lit(1).cast("bigint").alias("merged"), F.col("source_ip").alias("source_ips"))
-    return (merged.join(ips, "path_class").withColumn("learning_id", F.concat(F.lit("merged-"), "path_class"))
-            .unionByName(kept))
+        F.lit(1).cast("bigint").alias("merged"), F.col("source_ip").alias("source_ips"),
+        F.when(promoted, F.lit("kept")).otherwise(F.lit("archived")).alias("action"))
+    return (merged.join(ips, "path_class", "left").withColumn("learning_id", F.concat(F.lit("merged-"), "path_class"))
+            .withColumn("action", F.lit("merged")).unionByName(whole))
+
+
+def learning_addresses(learnings: DataFrame, as_of: str, shown_ips: int = 50) -> DataFrame:
+    """Every (class, address) of merged rows; ``shown`` marks the first ones of a class.
+
+    The first ones are found by a rank whose limit applies before the shuffle, so a class seen
+    everywhere does not gather its rows in one task.
+    """
+    rest = learnings.where((F.col("status") != "promoted") & ~_stale(as_of))
+    every = rest.select("path_class", "source_ip").distinct()
+    rank = F.row_number().over(Window.partitionBy("path_class").orderBy("source_ip"))
+    first = (every.withColumn("_r", rank).where(F.col("_r") <= shown_ips)
+             .groupBy("path_class").agg(F.max("source_ip").alias("_last")))
+    return every.join(first, "path_class").select(
+        "path_class", "source_ip", F.coalesce(F.col("source_ip") <= F.col("_last"), F.lit(True)).alias("shown"))
+
+
+def compaction_record(learnings: DataFrame, compacted: DataFrame) -> DataFrame:
+    """Rows before and after, and how many were merged, kept and archived."""
+    after = compacted.agg(
+        F.count_if(F.col("action") != "archived").alias("rows_after"),
+        F.coalesce(F.sum(F.when(F.col("action") == "merged", F.col("merged"))), F.lit(0)).alias("merged"),
+        F.count_if(F.col("action") == "kept").alias("kept"), F.count_if(F.col("action") == "archived").alias("archived"))
+    before = learnings.agg(F.count(F.lit(1)).alias("rows_before"))
+    return after.withColumn("rows_before", before.scalar())
 
 
 def compaction_check(learnings: DataFrame, compacted: DataFrame, as_of: str) -> DataFrame:
     """Totals and first dates per class before and after; ``ok`` must hold everywhere."""
-    stale = (F.col("status") == "draft") & (
-        F.to_date("discovered") < F.date_sub(F.to_date(F.lit(as_of)), 30))
+    stale = _stale(as_of)
+    compacted = compacted.where("action <> 'archived'")
     sums = lambda df, s: df.groupBy("path_class").agg(
         F.sum("hit_count").alias(f"hits_{s}"), F.min("discovered").alias(f"first_{s}"))
     both = sums(learnings.where(~stale), "before").join(sums(compacted, "after"), "path_class", "full")

@@ -50,19 +50,24 @@ def ioc_match_ip(clean: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def ioc_match_url(requests: DataFrame, indicators: DataFrame) -> DataFrame:
-    """``requests`` hold full urls.  Domain indicators meet hosts, url indicators host and path."""
+    """``requests`` hold full urls.  Domain indicators meet hosts, url indicators host and path.
+
+    An indicator with a query string meets requests with that query only; one without meets any.
+    """
     def parts(col: str):
         return {"host": F.lower(F.try_parse_url(F.col(col), F.lit("HOST"))),
-                "path": F.coalesce(F.try_parse_url(F.col(col), F.lit("PATH")), F.lit(""))}
+                "path": F.coalesce(F.try_parse_url(F.col(col), F.lit("PATH")), F.lit("")),
+                "query": F.coalesce(F.try_parse_url(F.col(col), F.lit("QUERY")), F.lit(""))}
 
-    seen = _sightings(requests.withColumns(parts("url")), "host", "path")
+    known = requests.withColumns(parts("url")).where("host IS NOT NULL")
+    seen = _sightings(known, "host", "path", "query")
     by_host = seen.groupBy("host").agg(F.sum("count").alias("count"), F.min("first_hit").alias("first_hit"),
                                        F.max("last_hit").alias("last_hit"))
     wanted = indicators.select("type", "value").distinct()
     domains = wanted.where("type = 'domain'").withColumn("host", F.lower("value"))
-    urls = wanted.where("type = 'url'").withColumns(parts("value"))
+    urls = wanted.where("type = 'url'").withColumns(parts("value")).where("host IS NOT NULL").withColumnRenamed("query", "_query")
     return _totals(by_host.join(domains, "host").select("type", "value", "count", "first_hit", "last_hit")
-                   .unionByName(seen.join(urls, ["host", "path"])
+                   .unionByName(seen.join(urls, ["host", "path"]).where("_query = '' OR _query = query")
                                 .select("type", "value", "count", "first_hit", "last_hit")))
 
 
@@ -148,11 +153,16 @@ def rule_impact(clean: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def emergency_eligible(findings: DataFrame) -> DataFrame:
-    """Refusal reasons per proposed rule; none means it may go out in an emergency."""
-    reasons = F.array_compact(F.array(
-        F.when(F.col("rule_class") != "A", F.lit("class")),
-        F.when(~F.col("blast_radius").isin("exact-location", "server-block"), F.lit("scope")),
-        F.when(F.col("confidence") < 0.8, F.lit("confidence")),
-        F.when(F.col("ttl").isNull(), F.lit("ttl")),
-        F.when(F.col("provenance").isNull(), F.lit("provenance"))))
+    """Refusal reasons per proposed rule; none means it may go out in an emergency.
+
+    A value that is not known is refused.  Where the table says whether the rule's change passes all
+    invariants (``invariants_pass``), that counts too.
+    """
+    refuse = lambda ok, reason: F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason))  # noqa: E731  unknown is refused
+    checks = [(F.col("rule_class") == "A", "class"), (F.col("blast_radius").isin("exact-location", "server-block"), "scope"),
+              (F.col("confidence") >= 0.8, "confidence"), (F.col("ttl").isNotNull(), "ttl"),
+              (F.col("provenance").isNotNull(), "provenance")]
+    if "invariants_pass" in findings.columns:
+        checks.append((F.col("invariants_pass"), "invariants"))
+    reasons = F.array_compact(F.array(*[refuse(ok, reason) for ok, reason in checks]))
     return findings.withColumn("refusals", reasons).withColumn("eligible", F.size("refusals") == 0)

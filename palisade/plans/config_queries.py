@@ -9,7 +9,7 @@ from palisade.operators import config as K
 from palisade.operators import governance as G
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import AS_OF, BACKUP, PROPOSED, view, with_views
-from palisade.plans.governance_queries import STATES
+from palisade.plans.governance_queries import EXC_SQL, STATES
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,20 +91,21 @@ _ADDITIVE = f"""SELECT p.host, p.path, 'additive_only' AS check_name, CASE WHEN
       ON n.host = o.host AND n.path = o.path AND n.expr = o.pattern WHERE o.snapshot_id = '{BACKUP}' AND NOT regexp_matches(n.body, {BLOCKING}) GROUP BY 1, 2) w
     ON w.host = p.host AND w.path = p.path"""
 add("inv_additive", lambda s, d: K.inv_additive(pairs(s, d)), over(_ADDITIVE, *RAW))
-add("inv_no_negation", lambda s, d: K.inv_no_negation(parsed(s, d)), over(_check("no_regex_negation", rf"""
+_NEGATION = _check("no_regex_negation", rf"""
   SELECT file_id, concat('negated: ', expr) AS issue FROM r_locs WHERE contains(expr, '!~')
   UNION ALL SELECT file_id, concat('lookahead: ', expr) FROM r_locs WHERE contains(expr, '(?!')
   UNION ALL SELECT file_id, concat('proxy_pass: ', expr) FROM r_locs WHERE regexp_matches(body, {BLOCKING}) AND regexp_matches(body, '\bproxy_pass\b')
   UNION ALL SELECT file_id, concat('return 200: ', expr) FROM r_locs WHERE regexp_matches(body, {BLOCKING}) AND regexp_matches(body, '\breturn\s+200\b')
-  UNION ALL SELECT file_id, concat('rewrite: ', expr) FROM r_locs WHERE regexp_matches(body, {BLOCKING}) AND regexp_matches(body, '\brewrite\b')"""), *RAW))
+  UNION ALL SELECT file_id, concat('rewrite: ', expr) FROM r_locs WHERE regexp_matches(body, {BLOCKING}) AND regexp_matches(body, '\brewrite\b')""")
+add("inv_no_negation", lambda s, d: K.inv_no_negation(parsed(s, d)), over(_NEGATION, *RAW))
 
 
 def _header(text, h):
     return f"list_last(regexp_extract_all({text}, 'add_header\\s+{h}\\s+\"([^\"]*)\"', 1))"
 
 
-_PAIR = (("pair", f"""SELECT o.host, o.path, o.text AS old_text, n.text AS new_text FROM config_files o JOIN config_files n
-  ON n.host = o.host AND n.path = o.path AND o.snapshot_id = '{BACKUP}' AND n.snapshot_id = '{PROPOSED}'"""),
+_PAIR = (("pair", f"""SELECT host, path, coalesce(max(text) FILTER (snapshot_id = '{BACKUP}'), '') AS old_text,
+    coalesce(max(text) FILTER (snapshot_id = '{PROPOSED}'), '') AS new_text FROM config_files GROUP BY 1, 2"""),
   ("headers", " UNION ALL ".join(f"""SELECT host, path, '{h}' AS header, {_header('old_text', h)} AS old_value, {_header('new_text', h)} AS new_value FROM pair"""
                                  for h in C.REQUIRED_HEADERS)),
   ("header_state", "SELECT *, CASE WHEN new_value IS NULL THEN 'missing' WHEN old_value <> new_value THEN 'changed' ELSE 'kept' END AS state FROM headers"))
@@ -113,9 +114,10 @@ _INV_HEADERS = """SELECT host, path, 'headers_immutable' AS check_name, CASE WHE
   coalesce(string_agg(concat('missing: ', header), '; ' ORDER BY header) FILTER (WHERE state = 'missing'),
            string_agg(concat('changed: ', header), '; ' ORDER BY header) FILTER (WHERE state = 'changed'), '') AS detail FROM header_state GROUP BY 1, 2"""
 add("inv_headers", lambda s, d: K.inv_headers(pairs(s, d)), over(_INV_HEADERS, *_PAIR))
-add("inv_tls_floor", lambda s, d: K.inv_tls_floor(files(s, d)), over(_check("tls_floor", r"""
+_TLS = _check("tls_floor", r"""
   SELECT file_id, p AS issue FROM (SELECT file_id, unnest(string_split(trim(regexp_extract(text, '(?m)^[ \t]*ssl_protocols[ \t]+([^;\n]+);', 1)), ' ')) AS p FROM c_text) x
-  WHERE p IN ('TLSv1', 'TLSv1.1')"""), *TEXT))
+  WHERE p IN ('TLSv1', 'TLSv1.1')""")
+add("inv_tls_floor", lambda s, d: K.inv_tls_floor(files(s, d)), over(_TLS, *TEXT))
 add("inv_destructive_git", lambda s, d: K.inv_destructive_git(view(s, d, "commands")), with_views(f"""
 SELECT ord, command, CASE WHEN {' OR '.join(O.hit('command', p) for p in C.DESTRUCTIVE_GIT)} THEN 'fail' ELSE 'pass' END AS status FROM commands""", "commands"))
 
@@ -135,7 +137,8 @@ SELECT file_id, CASE WHEN regexp_matches(text, '\bhttp\s*\{') THEN 'global-http'
 add("snapshot_churn", lambda s, d: K.snapshot_churn(files(s, d)), over(f"""
 SELECT host, path, '{PROPOSED}' AS snapshot_id, CAST(sum(CASE WHEN n > 0 THEN n ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN n < 0 THEN -n ELSE 0 END) AS BIGINT) AS removed
 FROM (SELECT host, path, line, sum(CASE snapshot_id WHEN '{PROPOSED}' THEN 1 ELSE -1 END) AS n
-  FROM (SELECT host, path, snapshot_id, unnest(string_split(text, chr(10))) AS line FROM config_files) l GROUP BY 1, 2, 3) x GROUP BY 1, 2"""))
+  FROM (SELECT host, path, snapshot_id, unnest(string_split(text, chr(10))) AS line FROM config_files c
+        WHERE (SELECT count(*) FROM config_files o WHERE o.host = c.host AND o.path = c.path) = 2) l GROUP BY 1, 2, 3) x GROUP BY 1, 2"""))
 add("latest_snapshot", lambda s, d: K.latest_snapshot(files(s, d)), over(
     "SELECT host, path, max(snapshot_id) AS snapshot_id, count(DISTINCT snapshot_id) AS snapshots FROM config_files GROUP BY 1, 2"))
 add("blocking_rule", lambda s, d: K.extract_blocks(parsed(s, d)).select("file_id", "line", "expr",
@@ -215,17 +218,24 @@ EDGES = TEXT + (
     ("e_found", r"""SELECT DISTINCT e.host, e.snapshot_id, e.includer, e.target, f.path AS included FROM e_edges e JOIN c_text f ON f.host = e.host AND f.snapshot_id = e.snapshot_id
         AND (f.path = e.target OR (contains(e.target, '*') AND regexp_matches(f.path, concat('^', replace(replace(e.target, '.', '\.'), '*', '[^/]*'), '$'))))"""),
 )
+WALK = ("walk", """WITH RECURSIVE w AS (SELECT DISTINCT host, snapshot_id, includer AS root, included AS file FROM e_found
+      UNION SELECT w.host, w.snapshot_id, w.root, e.included FROM w JOIN e_found e ON e.host = w.host AND e.snapshot_id = w.snapshot_id
+      AND e.includer = w.file) SELECT * FROM w""")
+EDGES = EDGES + (WALK, ("e_issues", """
+   SELECT host, snapshot_id, includer, NOT contains(target, '*') AS bad, target AS issue FROM e_edges a WHERE NOT EXISTS
+     (SELECT 1 FROM e_found x WHERE x.host = a.host AND x.snapshot_id = a.snapshot_id AND x.includer = a.includer AND x.target = a.target)
+   UNION ALL SELECT host, snapshot_id, includer, false, concat('outside: ', target) FROM e_edges WHERE target NOT LIKE '/etc/nginx/%'
+   UNION ALL SELECT host, snapshot_id, root, true, 'circular' FROM walk WHERE root = file"""))
 _INCLUDES = """SELECT f.file_id, f.host, f.path, f.snapshot_id, 'include_integrity' AS check_name,
-   CASE WHEN bool_or(e.target IS NOT NULL AND NOT contains(e.target, '*')) THEN 'fail' WHEN count(e.target) > 0 THEN 'warn' ELSE 'pass' END AS status,
-   coalesce(string_agg(DISTINCT e.target, '; ' ORDER BY e.target), '') AS detail FROM c_text f LEFT JOIN (SELECT * FROM e_edges a WHERE NOT EXISTS
-     (SELECT 1 FROM e_found x WHERE x.host = a.host AND x.snapshot_id = a.snapshot_id AND x.includer = a.includer AND x.target = a.target)) e
+   CASE WHEN bool_or(e.bad) THEN 'fail' WHEN count(e.issue) > 0 THEN 'warn' ELSE 'pass' END AS status,
+   coalesce(string_agg(DISTINCT e.issue, '; ' ORDER BY e.issue), '') AS detail FROM c_text f LEFT JOIN e_issues e
    ON e.host = f.host AND e.snapshot_id = f.snapshot_id AND e.includer = f.path GROUP BY 1, 2, 3, 4"""
 add("compat_includes", lambda s, d: K.compat_includes(files(s, d)), over(_INCLUDES, *EDGES))
 add("include_expand", lambda s, d: K.include_expand(files(s, d)), with_views(
-    "SELECT host, snapshot_id, root, file, CAST(min(depth) AS BIGINT) AS depth, root = file AS cycle FROM walk GROUP BY 1, 2, 3, 4",
-    "config_files", ctes=EDGES + (("walk", """WITH RECURSIVE w AS (SELECT DISTINCT host, snapshot_id, includer AS root, included AS file, 1 AS depth FROM e_found
-      UNION SELECT w.host, w.snapshot_id, w.root, e.included, w.depth + 1 FROM w JOIN e_found e ON e.host = w.host AND e.snapshot_id = w.snapshot_id
-      AND e.includer = w.file WHERE w.root <> w.file AND w.depth < 6) SELECT * FROM w"""),)))
+    "SELECT host, snapshot_id, root, file, CAST(min(depth) AS BIGINT) AS depth, root = file AS cycle FROM steps GROUP BY 1, 2, 3, 4",
+    "config_files", ctes=EDGES + (("steps", """WITH RECURSIVE w AS (SELECT DISTINCT host, snapshot_id, includer AS root, included AS file, 1 AS depth, [includer] AS seen FROM e_found
+      UNION ALL SELECT w.host, w.snapshot_id, w.root, e.included, w.depth + 1, list_append(w.seen, w.file) FROM w JOIN e_found e ON e.host = w.host AND e.snapshot_id = w.snapshot_id
+      AND e.includer = w.file WHERE NOT list_contains(w.seen, w.file)) SELECT * FROM w"""),)))
 
 _BARE = "regexp_replace(text, '#[^\\n]*', '', 'g')"
 _WORD = r"regexp_replace(regexp_extract(l, '^\s*(\S+)', 1), ';+$', '')"
@@ -288,18 +298,29 @@ add("check_overall", lambda s, d: K.check_overall(K.compat_checks(parsed(s, d)))
 
 
 def deploy_gate(s, d):
-    both = pairs(s, d)
-    invariants = K.inv_additive(both).unionByName(K.inv_headers(both)).unionByName(K.inv_scope(both))
-    proposed = parsed(s, d).where(F.col("snapshot_id") == PROPOSED)
-    blocked = (G.exception_state(view(s, d, "exceptions"), AS_OF).where("blocks")
-               .select(F.concat(F.lit("host-"), (F.col("ord") % 997).cast("string")).alias("host")))
-    return K.deploy_gate(invariants, K.check_overall(K.compat_checks(proposed)), blocked, "edge-public")
+    both, proposed = pairs(s, d), parsed(s, d).where(F.col("snapshot_id") == PROPOSED)
+    checks = K.inv_additive(both).unionByName(K.inv_headers(both)).unionByName(K.inv_scope(both))
+    for single in (K.inv_no_negation(proposed), K.inv_tls_floor(proposed)):
+        checks = checks.unionByName(single.select(*checks.columns))
+    expired = G.exception_state(view(s, d, "exceptions"), AS_OF).where("blocks")
+    invalid = (G.validate(view(s, d, "exception_records"), "exception").where("NOT valid")
+               .select(F.col("f_linked_config_path")["value"].alias("path")))
+    git = (K.inv_destructive_git(view(s, d, "commands").where("ord % 50 = 3")).where("status = 'fail'")
+           .select(F.concat(F.lit("host-"), (F.col("ord") % 997).cast("string")).alias("host")))
+    return K.deploy_gate(checks, K.check_overall(K.compat_checks(proposed)), "edge-public",
+                         {"exception:expired": expired.select(F.col("linked_config_path").alias("path")), "record:invalid": invalid},
+                         {"invariant:destructive_git": git})
 
 
 add("deploy_gate", deploy_gate, with_views(f"""
 SELECT t.host, t.path, r.reasons IS NOT NULL AS blocked, coalesce(r.reasons, '') AS reasons FROM (SELECT DISTINCT host, path FROM config_files) t LEFT JOIN (
   SELECT host, path, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (
-    SELECT host, path, concat('invariant:', check_name) AS reason FROM (SELECT * FROM ({_ADDITIVE}) a UNION ALL SELECT * FROM ({_INV_HEADERS}) b UNION ALL SELECT * FROM ({_SCOPE}) c) i WHERE status = 'fail'
+    SELECT host, path, concat('invariant:', check_name) AS reason FROM (SELECT * FROM ({_ADDITIVE}) a UNION ALL SELECT * FROM ({_INV_HEADERS}) b UNION ALL SELECT * FROM ({_SCOPE}) c
+      UNION ALL SELECT host, path, check_name, status, detail FROM ({_NEGATION}) e WHERE snapshot_id = '{PROPOSED}'
+      UNION ALL SELECT host, path, check_name, status, detail FROM ({_TLS}) g WHERE snapshot_id = '{PROPOSED}') i WHERE status = 'fail'
     UNION SELECT host, path, 'compat:critical' FROM overall WHERE profile = 'edge-public' AND overall = 'fail' AND snapshot_id = '{PROPOSED}'
-    UNION SELECT f.host, f.path, 'exception:expired' FROM config_files f JOIN x_state x ON f.host = concat('host-', CAST(x.ord % 997 AS VARCHAR)) WHERE x.state = 'expired' AND x.severity_tier = 'critical') q
-  GROUP BY 1, 2) r ON r.host = t.host AND r.path = t.path""", "config_files", "exceptions", ctes=_FULL + RAW[1:] + _PAIR + _DIFF + STATES))
+    UNION SELECT f.host, f.path, 'exception:expired' FROM config_files f JOIN x_state x ON f.path = x.linked_config_path WHERE x.state = 'expired' AND x.severity_tier = 'critical'
+    UNION SELECT f.host, f.path, 'record:invalid' FROM config_files f JOIN ({EXC_SQL}) v ON NOT v.valid JOIN exceptions x ON x.ord = v.ord AND x.linked_config_path = f.path
+    UNION SELECT f.host, f.path, 'invariant:destructive_git' FROM config_files f JOIN commands c ON f.host = concat('host-', CAST(c.ord % 997 AS VARCHAR))
+      WHERE c.ord % 50 = 3 AND ({' OR '.join(O.hit('command', p) for p in C.DESTRUCTIVE_GIT)})) q
+  GROUP BY 1, 2) r ON r.host = t.host AND r.path = t.path""", "config_files", "exceptions", "exception_records", "commands", ctes=_FULL + RAW[1:] + _PAIR + _DIFF + STATES))

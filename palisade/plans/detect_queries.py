@@ -11,6 +11,7 @@ from palisade.operators import events as E
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import view, with_views
 from palisade.plans.log_queries import DEDUP, clean
+from palisade.session import new_folder
 from palisade.sinks import outputs as K
 
 QUERIES: dict = {}
@@ -87,12 +88,13 @@ def upstream_correlation(spark, d):
     return D.upstream_correlation(gateway, view(spark, d, "upstream_errors"))
 
 
-_SLOT = "CAST(floor(epoch_us(ts) / 300000000) AS BIGINT)"
+_AT = "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)"
 add("upstream_correlation", upstream_correlation, with_views(f"""
-SELECT g.slot, u.upstream, g.n AS gateway_errors, CAST(count(*) AS BIGINT) AS upstream_errors
-FROM (SELECT {_SLOT} AS slot, CAST(sum(count) AS BIGINT) AS n FROM access_events WHERE status IN (502, 503) GROUP BY 1) g
-JOIN (SELECT upstream, {_SLOT} AS slot FROM upstream_errors) u ON u.slot BETWEEN g.slot - 1 AND g.slot GROUP BY 1, 2, 3""",
-    "access_events", "upstream_errors"))
+SELECT slot, upstream, CAST(sum(c) AS BIGINT) AS gateway_errors, CAST(sum(c * n) AS BIGINT) AS near_pairs FROM (
+  SELECT g.ord, any_value(CAST(floor(g.at / 300) AS BIGINT)) AS slot, u.upstream, any_value(g.count) AS c, count(*) AS n
+  FROM (SELECT ord, {_AT} AS at, count FROM access_events WHERE status IN (502, 503)) g
+  JOIN (SELECT upstream, {_AT} AS at FROM upstream_errors) u ON u.at BETWEEN g.at - 300 AND g.at + 300 GROUP BY g.ord, u.upstream) x
+GROUP BY 1, 2""", "access_events", "upstream_errors"))
 
 # --- rules and ageing --------------------------------------------------------------------------
 
@@ -185,8 +187,10 @@ SELECT l.file_id, l.line_number, part, text FROM (
 
 
 def write_events(spark, d):
-    """What the event sink writes, seen per day partition."""
-    return K.with_day(E.dedup_events(clean(spark, d))).groupBy("dt", "path_class").agg(
+    """What the event sink has written, read back per day partition."""
+    folder = new_folder(spark, "events")
+    K.write_events(E.dedup_events(clean(spark, d)), folder)
+    return spark.read.parquet(folder).withColumn("dt", F.col("dt").cast("string")).groupBy("dt", "path_class").agg(
         F.count(F.lit(1)).alias("events"), F.sum("count").alias("hits"))
 
 
@@ -195,13 +199,12 @@ SELECT substr(timestamp, 1, 10) AS dt, path_class, count(*) AS events, CAST(sum(
 
 
 def report_json(spark, d):
-    report = K.report_json(G.staleness_summary(staleness(spark, d)),
-                           E.hits_by_class(clean(spark, d)), F.desc("hits"), 5)
-    return report.select(F.get_json_object("report", "$.totals.total_rules").cast("bigint").alias("total_rules"),
-                         F.get_json_object("report", "$.rows[0].path_class").alias("top_class"),
-                         F.get_json_object("report", "$.rows[4].hits").cast("bigint").alias("fifth_hits"))
+    report = K.report_json(G.staleness_summary(staleness(spark, d)), E.hits_by_class(clean(spark, d)))
+    field = lambda path: F.get_json_object("report", path)
+    return report.select("part", field("$.totals.total_rules").cast("bigint").alias("total_rules"),
+                         field("$.row.path_class").alias("path_class"), field("$.row.hits").cast("bigint").alias("hits"))
 
 
 add("report_json", report_json, O.over_sanitized("""
-SELECT (SELECT count(*) FROM stale) AS total_rules, max(path_class) FILTER (WHERE n = 1) AS top_class, max(hits) FILTER (WHERE n = 5) AS fifth_hits
-FROM (SELECT *, row_number() OVER (ORDER BY hits DESC, path_class) AS n FROM k_hits) x""", "rules", ctes=STALE))
+SELECT CAST(0 AS BIGINT) AS part, count(*) AS total_rules, NULL AS path_class, NULL AS hits FROM stale
+UNION ALL SELECT 1, NULL, path_class, hits FROM k_hits""", "rules", ctes=STALE))

@@ -111,7 +111,7 @@ SELECT 'url' AS type, {_safe(_js('url'))} AS value, CAST(CASE WHEN {_js('url_sta
   {_safe(_js('date_added'))} AS first_seen FROM {_entries('malware_url_docs', 'urls')} WHERE {_js('url')} <> ''""", "malware_url_docs"))
 add("read_feed_ioc_mixed", lambda s, d: _flat(Fd.parse_ioc_mixed(view(s, d, "ioc_docs"))), with_views(f"""
 SELECT {O.lookup(_js('ioc_type'), C.IOC_TYPES, "'unknown'")} AS type, {_safe(_js('ioc_value'))} AS value,
-  least(greatest(CAST(coalesce(json_extract_string(e, '$.confidence_level'), '50') AS DOUBLE) / 100, 0.0), 1.0) AS confidence,
+  least(greatest(coalesce(TRY_CAST(json_extract_string(e, '$.confidence_level') AS DOUBLE), 50) / 100, 0.0), 1.0) AS confidence,
   'threatfox' AS source, 'high' AS severity, {_join_tags(_slug(_safe(_js('malware'))), _safe(_js('threat_type')))} AS tags,
   {_safe(_js('first_seen_utc'))} AS first_seen
 FROM {_entries('ioc_docs', 'data', "json_extract_string(value, '$.query_status') = 'ok'")} WHERE {_js('ioc_value')} <> ''""", "ioc_docs"))
@@ -137,9 +137,10 @@ SELECT CASE feed WHEN 'team_feed' THEN 'domain' ELSE 'unknown' END AS type, repl
   feed AS source, 'medium' AS severity, CASE feed WHEN 'team_feed' THEN 'team' ELSE 'lab1' END AS tags, '' AS first_seen
 FROM custom_lines WHERE trim(value) <> '' AND value NOT LIKE '#%'""", "custom_lines"))
 add("read_cve_catalog", lambda s, d: Fd.parse_cve_catalog(view(s, d, "cve_docs")), with_views("""
-SELECT value, cvss, CASE WHEN cvss >= 9 THEN 'critical' WHEN cvss >= 7 THEN 'high' WHEN cvss >= 4 THEN 'medium' ELSE 'low' END AS severity, description
+SELECT value, cvss, CASE WHEN cvss >= 9 THEN 'critical' WHEN cvss >= 7 THEN 'high' WHEN cvss >= 4 THEN 'medium' WHEN cvss IS NOT NULL THEN 'low' END AS severity, description
 FROM (SELECT json_extract_string(value, '$.vulnerabilities[0].cve.id') AS value,
-  CAST(json_extract_string(value, '$.vulnerabilities[0].cve.metrics.cvssMetricV31[0].cvssData.baseScore') AS DOUBLE) AS cvss,
+  CAST(coalesce(json_extract_string(value, '$.vulnerabilities[0].cve.metrics.cvssMetricV31[0].cvssData.baseScore'),
+    json_extract_string(value, '$.vulnerabilities[0].cve.metrics.cvssMetricV2[0].cvssData.baseScore')) AS DOUBLE) AS cvss,
   json_extract_string(value, '$.vulnerabilities[0].cve.descriptions[0].value') AS description FROM cve_docs) x""", "cve_docs"))
 add("read_stix_bundle", lambda s, d: Fd.parse_stix(view(s, d, "stix_docs")), with_views(f"""
 SELECT id, CASE WHEN term LIKE 'url:%' THEN 'url' WHEN term LIKE 'ipv4-addr:%' THEN 'ip' WHEN term LIKE 'domain-name:%' THEN 'domain'
@@ -234,7 +235,8 @@ MATCHES = (
         ON i.type = 'domain' AND r.host = lower(i.value)
         UNION ALL SELECT i.type, i.value, r.count, r.timestamp FROM r_parts r JOIN i_want i
         ON i.type = 'url' AND r.host = lower(regexp_extract(i.value, '^[a-z]+://([^/:?#]+)', 1))
-        AND r.path = regexp_extract(i.value, '^[a-z]+://[^/?#]*([^?#]*)', 1)"""),
+        AND r.path = regexp_extract(i.value, '^[a-z]+://[^/?#]*([^?#]*)', 1)
+        AND regexp_extract(i.value, '[?]([^#]*)', 1) IN ('', regexp_extract(r.url, '[?]([^#]*)', 1))"""),
     ("m_pattern", """SELECT i.type, i.value, s.count AS n, s.timestamp AS t FROM sanitized s JOIN i_want i
         ON (i.type = 'path' AND starts_with(s.path, i.value)) OR (i.type = 'ua' AND contains(lower(s.ua), lower(i.value)))"""),
 )

@@ -118,7 +118,7 @@ SELECT c_custkey AS doc_id, concat('{"query_status":"',
        CASE WHEN c_custkey % 10 = 9 THEN 'no_result' ELSE 'ok' END, '","data":[{"ioc_value":"203.0.',
        CAST(c_custkey % 7 AS STRING), '.', CAST(c_custkey % 250 AS STRING),
        ':8080","ioc_type":"ip:port","malware":"Cobalt Strike","threat_type":"botnet_cc",',
-       '"confidence_level":', CAST(c_custkey % 130 AS STRING),
+       '"confidence_level":', CASE WHEN c_custkey % 77 = 5 THEN '"high"' ELSE CAST(c_custkey % 130 AS STRING) END,
        ',"first_seen_utc":"2024-01-01 00:00:00"},{"ioc_value":"bad', CAST(c_custkey AS STRING),
        '.example.com","ioc_type":"domain","malware":""},{"ioc_value":"', sha, '","ioc_type":"',
        CASE WHEN c_custkey % 2 = 0 THEN 'sha256_hash' ELSE 'ja3' END, '"}]}') AS value
@@ -155,7 +155,8 @@ FROM supplier
 CVE_DOCS = """
 SELECT p_partkey AS doc_id, concat('{"vulnerabilities":[{"cve":{"id":"CVE-2025-',
        CAST(p_partkey AS STRING), '","descriptions":[{"lang":"en","value":"', p_name,
-       ' overflow"}],"metrics":{"cvssMetricV31":[{"cvssData":{"baseScore":',
+       ' overflow"}],"metrics":{"cvssMetricV', CASE WHEN p_partkey % 13 = 4 THEN '2' WHEN p_partkey % 13 = 5 THEN 'Other' ELSE '31' END,
+       '":[{"cvssData":{"baseScore":',
        CAST(p_partkey % 11 AS STRING), '.', CASE WHEN p_partkey % 11 = 10 THEN '0' ELSE
        CAST(p_partkey % 10 AS STRING) END, '}}]}}}]}') AS value
 FROM part
@@ -254,7 +255,7 @@ SELECT o_orderkey AS ord, CASE o_orderkey % 8 WHEN 0 THEN 'Add deny rule for sca
 FROM orders
 """
 
-# --- config fleet: two snapshots of three files per host ---------------------------------------
+# --- config fleet: two snapshots of three files per host, for some hosts a chain of includes that ends in a cycle
 
 SITE = "/etc/nginx/sites-enabled/site.conf"
 SNIPPET = "/etc/nginx/snippets/security.conf"
@@ -333,11 +334,14 @@ SELECT concat('host-', CAST(k AS STRING)) AS host, path, snapshot_id,
        concat('host-', CAST(k AS STRING), '|', path, '|', snapshot_id) AS file_id,
        translate(raw, '¶§¤', concat(chr(10), chr(92), chr(36))) AS text
 FROM (
-  SELECT k, CASE f WHEN 1 THEN '{SITE}' WHEN 2 THEN '{SNIPPET}' ELSE '{MAIN}' END AS path,
+  SELECT k, CASE WHEN f = 1 THEN '{SITE}' WHEN f = 2 THEN '{SNIPPET}' WHEN f = 3 THEN '{MAIN}'
+              ELSE concat('/etc/nginx/chain/c', CAST(f AS STRING), '.conf') END AS path,
          CASE n WHEN 1 THEN '{BACKUP}' ELSE '{PROPOSED}' END AS snapshot_id,
-         CASE f WHEN 1 THEN {_SITE_TEXT} WHEN 2 THEN {_SNIPPET_TEXT} ELSE {_MAIN_TEXT} END AS raw
-  FROM (SELECT k, n, unnest(list_value(1, 2, 3)) AS f
+         CASE WHEN f = 1 THEN {_SITE_TEXT} WHEN f = 2 THEN {_SNIPPET_TEXT} WHEN f = 3 THEN {_MAIN_TEXT}
+              ELSE concat('include chain/c', CAST(CASE WHEN f = 14 THEN 7 ELSE f + 1 END AS STRING), '.conf;¶') END AS raw
+  FROM (SELECT k, n, unnest(list_value(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)) AS f
         FROM (SELECT s_suppkey AS k, unnest(list_value(1, 2)) AS n FROM supplier) a) s
+  WHERE (f <= 3 OR k % 10 = 0) AND NOT (f = 2 AND ((k % 10 = 9 AND n = 2) OR (k % 10 = 8 AND n = 1)))
 ) t
 """
 
@@ -377,7 +381,10 @@ SELECT o_orderkey AS ord,
        CASE o_orderkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS severity_tier,
        substr(CAST(o_orderdate AS STRING), 1, 10) AS created_at,
        substr(CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS STRING), 1, 10) AS last_reviewed_at,
-       substr(CAST(CAST(o_orderdate AS DATE) + CAST(90 + o_orderkey % 330 AS INT) AS STRING), 1, 10) AS review_by
+       CASE WHEN o_orderkey % 401 = 0 THEN 'soon'
+            ELSE substr(CAST(CAST(o_orderdate AS DATE) + CAST(90 + o_orderkey % 330 AS INT) AS STRING), 1, 10) END AS review_by,
+       concat('/etc/nginx/', CASE WHEN o_orderkey % 97 = 5 THEN concat('chain/c', CAST(4 + o_custkey % 14 AS STRING)) ELSE 'x' END,
+              '.conf') AS linked_config_path
 FROM orders
 """
 
@@ -387,7 +394,7 @@ SELECT event_id AS ord, concat('L-', CAST(event_id AS STRING)) AS learning_id,
             WHEN 3 THEN 'infrastructure' ELSE 'ioc-response' END AS type,
        CASE WHEN event_id % 7 = 0 THEN 'promoted' WHEN event_id % 3 = 0 THEN 'draft' ELSE 'active' END AS status,
        CASE event_id % 4 WHEN 0 THEN 'dotfile' WHEN 1 THEN 'wordpress' WHEN 2 THEN 'actuator' ELSE 'swagger' END AS path_class,
-       substr(CAST(ts AS STRING), 1, 10) AS discovered,
+       CASE WHEN event_id % 503 = 3 THEN 'lately' ELSE substr(CAST(ts AS STRING), 1, 10) END AS discovered,
        substr(CAST(CAST(ts AS DATE) + CAST(event_id % 20 AS INT) AS STRING), 1, 10) AS last_seen,
        CAST(1 + event_id % 50 AS BIGINT) AS hit_count,
        concat('203.0.113.', CAST(user_id % 250 AS STRING)) AS source_ip,
@@ -418,7 +425,7 @@ SELECT ord, translate(raw, '¶', chr(10)) AS text FROM (SELECT e.ord, {_md([
     "'compensating_control: ', CASE WHEN e.ord % 13 = 5 THEN '12' ELSE 'Edge rate limit' END, '¶severity_tier: '",
     "CASE WHEN e.ord % 10 = 7 THEN 'medium' ELSE e.severity_tier END, '¶owner: team¶scope: '",
     "CASE WHEN e.ord % 14 = 9 THEN 'planet' WHEN e.ord % 14 = 4 THEN 'global' ELSE 'location' END",
-    "'¶linked_config_path: /etc/nginx/x.conf¶approval_reference: SEC-1¶created_at: ', e.created_at",
+    "'¶linked_config_path: ', e.linked_config_path, '¶approval_reference: SEC-1¶created_at: ', e.created_at",
     "'¶last_reviewed_at: ', CASE WHEN e.ord % 15 = 8 THEN '2001-13-45' ELSE e.last_reviewed_at END",
     "'¶review_by: ', CASE WHEN e.ord % 16 = 10 THEN '2009-01-01' ELSE e.review_by END, '¶'"], "Body text.")} AS raw
 FROM exceptions e) t

@@ -9,6 +9,8 @@ from palisade.functions import sanitize as S
 from palisade.operators import governance as G
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import AS_OF, view, with_views
+from palisade.session import new_folder
+from palisade.sinks import outputs as K
 from palisade.sources import records as R
 
 QUERIES: dict = {}
@@ -135,8 +137,8 @@ FROM (SELECT ord, text, key, trim(regexp_extract(text, concat('(?m)^', key, ':[
 
 STATES = (
     ("x_new", "SELECT * FROM exceptions QUALIFY row_number() OVER (PARTITION BY exception_id ORDER BY last_reviewed_at DESC, ord DESC) = 1"),
-    ("x_days", f"SELECT *, CAST(date_diff('day', DATE '{AS_OF}', CAST(review_by AS DATE)) AS BIGINT) AS days_left FROM x_new"),
-    ("x_state", """SELECT *, CASE WHEN days_left < 0 THEN 'expired' WHEN days_left <= CASE severity_tier WHEN 'critical' THEN 90 ELSE 30 END THEN 'expiring'
+    ("x_days", f"SELECT *, CAST(date_diff('day', DATE '{AS_OF}', try_cast(review_by AS DATE)) AS BIGINT) AS days_left FROM x_new"),
+    ("x_state", """SELECT *, CASE WHEN days_left IS NULL THEN 'invalid' WHEN days_left < 0 THEN 'expired' WHEN days_left <= CASE severity_tier WHEN 'critical' THEN 90 WHEN 'high' THEN 60 ELSE 30 END THEN 'expiring'
         ELSE 'active' END AS state FROM x_days"""),
 )
 add("exception_state", lambda s, d: G.exception_state(view(s, d, "exceptions"), AS_OF),
@@ -163,11 +165,11 @@ add("finding_id_assign", lambda s, d: G.finding_id_assign(_candidates(s, d), vie
       FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source, c.category ORDER BY ord) + coalesce(top, 0) AS k
         FROM (SELECT ord, split_part(finding_id, '-', 2) AS source, split_part(finding_id, '-', 3) AS category FROM findings) c
         LEFT JOIN (SELECT split_part(finding_id, '-', 2) AS source, split_part(finding_id, '-', 3) AS category, max(CAST(split_part(finding_id, '-', 4) AS BIGINT)) AS top
-          FROM exceptions WHERE length(split_part(finding_id, '-', 4)) = 4 GROUP BY 1, 2) t ON t.source = c.source AND t.category = c.category) x""", "findings", "exceptions"))
+          FROM exceptions WHERE length(split_part(finding_id, '-', 4)) >= 4 GROUP BY 1, 2) t ON t.source = c.source AND t.category = c.category) x""", "findings", "exceptions"))
 
 TRACE = (
     ("t_lines", """SELECT file, text, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS line FROM notes"""),
-    ("t_refs", r"""SELECT DISTINCT unnest(regexp_extract_all(line_text, 'NH-[A-Z]+-[A-Z_]+-\d{4}')) AS finding_id, file, text, CAST(line AS BIGINT) AS line,
+    ("t_refs", r"""SELECT DISTINCT unnest(regexp_extract_all(line_text, 'NH-[A-Z]+-[A-Z_]+-[0-9][0-9][0-9][0-9][0-9]*')) AS finding_id, file, text, CAST(line AS BIGINT) AS line,
         substr(trim(line_text), 1, 200) AS context FROM t_lines"""),
 )
 add("finding_trace", lambda s, d: G.finding_trace(view(s, d, "notes")),
@@ -204,11 +206,12 @@ add("finding_family", lambda s, d: view(s, d, "findings").groupBy(S.finding_fami
 # --- learnings ---------------------------------------------------------------------------------
 
 COMPACT = (
-    ("l_rest", f"SELECT * FROM learnings WHERE status <> 'promoted' AND NOT (status = 'draft' AND CAST(discovered AS DATE) < DATE '{LEARN_AS_OF}' - 30)"),
+    ("l_rest", f"SELECT * FROM learnings WHERE status <> 'promoted' AND NOT (status = 'draft' AND coalesce(try_cast(discovered AS DATE) < DATE '{LEARN_AS_OF}' - 30, false))"),
     ("compacted", """SELECT concat('merged-', path_class) AS learning_id, path_class, CAST(sum(hit_count) AS BIGINT) AS hit_count, min(discovered) AS discovered,
-          max(last_seen) AS last_seen, count(*) AS merged, array_to_string(list_slice(list_sort(list_distinct(list(source_ip))), 1, 50), ',') AS source_ips
+          max(last_seen) AS last_seen, count(*) AS merged, array_to_string(list_slice(list_sort(list_distinct(list(source_ip))), 1, 50), ',') AS source_ips, 'merged' AS action
         FROM l_rest GROUP BY path_class
-        UNION ALL SELECT learning_id, path_class, hit_count, discovered, last_seen, 1, source_ip FROM learnings WHERE status = 'promoted'"""),
+        UNION ALL SELECT learning_id, path_class, hit_count, discovered, last_seen, 1, source_ip,
+          CASE status WHEN 'promoted' THEN 'kept' ELSE 'archived' END FROM learnings WHERE learning_id NOT IN (SELECT learning_id FROM l_rest)"""),
 )
 
 
@@ -217,11 +220,18 @@ def compacted(s, d):
 
 
 add("learning_compact", compacted, with_views("SELECT * FROM compacted", "learnings", ctes=COMPACT))
+add("learning_addresses", lambda s, d: G.learning_addresses(view(s, d, "learnings"), LEARN_AS_OF), with_views("""
+SELECT path_class, source_ip, row_number() OVER (PARTITION BY path_class ORDER BY source_ip) <= 50 AS shown
+FROM (SELECT DISTINCT path_class, source_ip FROM l_rest) x""", "learnings", ctes=COMPACT))
+add("compaction_record", lambda s, d: G.compaction_record(view(s, d, "learnings"), compacted(s, d)), with_views("""
+SELECT (SELECT count(*) FROM learnings) AS rows_before, count(*) FILTER (WHERE action <> 'archived') AS rows_after,
+  CAST(coalesce(sum(merged) FILTER (WHERE action = 'merged'), 0) AS BIGINT) AS merged, count(*) FILTER (WHERE action = 'kept') AS kept,
+  count(*) FILTER (WHERE action = 'archived') AS archived FROM compacted""", "learnings", ctes=COMPACT))
 add("compaction_check", lambda s, d: G.compaction_check(view(s, d, "learnings"), compacted(s, d), LEARN_AS_OF), with_views(f"""
 SELECT b.path_class, hits_before, first_before, hits_after, first_after, hits_before = hits_after AND first_before = first_after AS ok FROM
   (SELECT path_class, CAST(sum(hit_count) AS BIGINT) AS hits_before, min(discovered) AS first_before FROM learnings
-   WHERE NOT (status = 'draft' AND CAST(discovered AS DATE) < DATE '{LEARN_AS_OF}' - 30) GROUP BY 1) b
-  JOIN (SELECT path_class, CAST(sum(hit_count) AS BIGINT) AS hits_after, min(discovered) AS first_after FROM compacted GROUP BY 1) a USING (path_class)""",
+   WHERE NOT (status = 'draft' AND coalesce(try_cast(discovered AS DATE) < DATE '{LEARN_AS_OF}' - 30, false)) GROUP BY 1) b
+  JOIN (SELECT path_class, CAST(sum(hit_count) AS BIGINT) AS hits_after, min(discovered) AS first_after FROM compacted WHERE action <> 'archived' GROUP BY 1) a USING (path_class)""",
     "learnings", ctes=COMPACT))
 add("learning_rollup", lambda s, d: G.learning_rollup(view(s, d, "learnings")), with_views("""
 SELECT type, status, count(*) AS learnings, CAST(sum(hit_count) AS BIGINT) AS hits, max(last_seen) AS last_seen FROM learnings GROUP BY 1, 2""", "learnings"))
@@ -245,8 +255,17 @@ def changelog(s, d):
 
 add("changelog_append_only", changelog, with_views("""
 SELECT line, count(*) AS missing FROM (SELECT line FROM changelog WHERE version = 'old' EXCEPT ALL SELECT line FROM changelog WHERE version = 'new') x GROUP BY 1""", "changelog"))
-add("append_changelog", lambda s, d: view(s, d, "changelog").where("version = 'new'").groupBy("line").agg(F.count(F.lit(1)).alias("entries")),
-    with_views("SELECT line, count(*) AS entries FROM changelog WHERE version = 'new' GROUP BY 1", "changelog"))
+
+
+def append_changelog(s, d):
+    """Two runs append to one log; the log read back has the lines of both."""
+    folder, rows = new_folder(s, "changelog"), view(s, d, "changelog")
+    for version in ("old", "new"):
+        K.append_changelog(rows.where(F.col("version") == version).select("entry_no", "line"), folder)
+    return s.read.parquet(folder).groupBy("line").agg(F.count(F.lit(1)).alias("entries"))
+
+
+add("append_changelog", append_changelog, with_views("SELECT line, count(*) AS entries FROM changelog GROUP BY 1", "changelog"))
 
 # --- rollouts ----------------------------------------------------------------------------------
 

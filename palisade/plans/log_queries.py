@@ -99,25 +99,16 @@ _column_query("hash_ip", lambda: S.hash_ip(c("remote_addr"), "salt-1"), "sha256(
 
 _PROFILE_CASE = """CASE WHEN profile = 'internal-only' AND remote_addr_class = 'private_ipv4' THEN NULL
   WHEN profile = 'internal-only' AND user_agent_family IN ('go-http-client','python-requests','curl') THEN 'info'
-  WHEN profile = 'static-site' AND method_class IN ('POST','PUT','DELETE') THEN 'high'
+  WHEN profile = 'static-site' AND method_class = 'PUT' THEN 'critical'
+  WHEN profile = 'static-site' AND method_class IN ('POST','DELETE') THEN 'high'
+  WHEN profile = 'api-gateway' AND (method_class IN ('TRACE','CONNECT','INVALID') OR path_class = 'path_traversal') THEN 'high'
   WHEN profile = 'high-risk-lockdown' AND severity = 'medium' THEN 'high'
   WHEN profile = 'high-risk-lockdown' AND severity = 'high' THEN 'critical' ELSE severity END"""
 
 
-def _severity(path_class, scanner):
-    return (F.when(path_class == "unknown", F.lit("low")).when(scanner.isNotNull(), F.lit("high"))
-            .otherwise(F.lit("medium")))
-
-
 def profile_severity(spark, d):
-    """Every event graded under every profile (a closed list of six)."""
-    graded = clean(spark, d).withColumn("severity", _severity(c("path_class"), c("scanner_family")))
-    each = graded.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in C.PROFILES])))
-    regraded = S.profile_severity(c("profile"), c("severity"), c("user_agent_family"),
-                                  c("remote_addr_class"), c("method_class"))
-    return (each.withColumn("severity", regraded).where("severity IS NOT NULL")
-            .groupBy("profile", "severity").agg(F.count(F.lit(1)).alias("events"),
-                                                F.sum("count").alias("hits")))
+    return E.graded(clean(spark, d)).groupBy("profile", "severity").agg(
+        F.sum("events").alias("events"), F.sum("hits").alias("hits"))
 
 
 add("profile_severity", profile_severity, O.over_sanitized(f"""
@@ -187,6 +178,39 @@ add("published_events", lambda s, d: E.published_events(E.event_numbering(E.dedu
       scanner_family, indicator_match_type, candidate_mitigation_type, confidence, provenance, ttl_recommendation,
       safe_notes, count FROM numbered""", ctes=DEDUP))
 
+L1 = (
+    ("log_cut", r"""SELECT ord, regexp_extract(value, '^(\S+)', 1) AS remote_addr, split_part(value, '"', 2) AS request,
+        split_part(value, '"', 6) AS ua, trim(split_part(value, '"', 3)) AS numbers,
+        strptime(regexp_extract(value, '\[([^\]]+) ', 1), '%d/%b/%Y:%H:%M:%S') AS ts FROM log_lines WHERE value NOT LIKE 'garbage%'"""),
+    ("log_rows", r"""SELECT ord, remote_addr, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, split_part(request, ' ', 1) AS method,
+        CAST(split_part(numbers, ' ', 1) AS INT) AS status,
+        lower(hex(encode(substr(regexp_extract(request, '^\S+ (.*?)( HTTP/[0-9.]+)?$', 1), 1, 200)))) AS hex_path, lower(hex(encode(substr(ua, 1, 200)))) AS hex_user_agent FROM log_cut"""),
+    ("access_events", """SELECT min(ord) AS ord, arg_min(remote_addr, ord) AS remote_addr, min(timestamp) AS timestamp, method, hex_path, status, hex_user_agent,
+        CAST(count(*) AS BIGINT) AS count, CAST(min(timestamp) AS TIMESTAMP) AS ts FROM log_rows GROUP BY method, hex_path, status, hex_user_agent"""),
+) + O.SANITIZED + DEDUP
+add("analyze_logs", lambda s, d: E.analyze_logs(view(s, d, "log_lines")).select(
+        "event_id", "timestamp_bucket", "remote_addr_class", "method_class", "path_class", "status_bucket", "user_agent_family",
+        "scanner_family", "confidence", "safe_notes", "count", "accepted"),
+    with_views("""SELECT event_id, timestamp_bucket, remote_addr_class, method_class, path_class, status_bucket, user_agent_family,
+      scanner_family, confidence, safe_notes, count, true AS accepted FROM numbered""", "log_lines", ctes=L1))
+
+
+def log_findings(spark, d):
+    from palisade.operators.detect import rule_classes_of
+    rules = view(spark, d, "rules").select(F.explode(rule_classes_of(c("category"))).alias("path_class"))
+    return E.log_findings(clean(spark, d), rules)
+
+
+_CLASS_LIST = "CASE category " + " ".join(
+    f"WHEN '{k}' THEN [{', '.join(O.q(x) for x in v)}]" for k, v in C.RULE_CATEGORY_TO_CLASSES.items()) + " ELSE [category] END"
+add("log_findings", log_findings, O.over_sanitized(f"""
+SELECT profile, path_class AS pattern, CAST(sum(count) AS BIGINT) AS hit_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+  {O.label_of(f"min({O.ordinal('sev', C.SEVERITY_ORDER)})", C.SEVERITY_ORDER)} AS severity,
+  CASE WHEN path_class NOT IN (SELECT unnest({_CLASS_LIST}) FROM rules) THEN 'location_block' END AS proposed_rule
+FROM (SELECT *, {_PROFILE_CASE} AS sev FROM (SELECT *, CASE WHEN path_class = 'unknown' THEN 'low' WHEN scanner_family IS NOT NULL THEN 'high' ELSE 'medium' END AS severity
+      FROM sanitized) s, (VALUES {', '.join(f"('{p}')" for p in C.PROFILES)}) AS v(profile)) g
+WHERE sev IS NOT NULL AND path_class <> 'unknown' GROUP BY profile, path_class HAVING sum(count) > 1 OR profile = 'high-risk-lockdown'""", "rules"))
+
 add("traffic_summary", lambda s, d: E.traffic_summary(clean(s, d)), O.over_sanitized("""
 SELECT count(*) AS rows, CAST(sum(count) AS BIGINT) AS total_events, count(DISTINCT remote_addr) AS unique_ips,
   count(DISTINCT path) AS unique_paths, count(DISTINCT ua) AS unique_user_agents,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +44,13 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set (tests)."""
+    """The shared folder named by the cluster; a private one only in a local session that names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palisade-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -61,5 +64,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/palisade/{label}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,15 +17,14 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     with_day(events).write.mode(mode).partitionBy("dt").parquet(path)
 
 
-def report_json(totals: DataFrame, detail: DataFrame, by: Column, top: int = 50) -> DataFrame:
-    """One JSON object: totals and the first ``top`` detail rows, the only rows gathered."""
-    best = detail.orderBy(by, *[F.col(c) for c in detail.columns]).limit(top)
-    ranked = best.withColumn("_n", F.row_number().over(
-        Window.orderBy(by, *[F.col(c) for c in detail.columns])))
-    rows = ranked.agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("_n", F.struct(*detail.columns).alias("r")))), lambda x: x["r"]).alias("rows"))
-    total = totals.select(F.struct(*totals.columns).alias("totals"))
-    return rows.select(F.to_json(F.struct(total.scalar().alias("totals"), "rows")).alias("report"))
+def report_json(totals: DataFrame, detail: DataFrame) -> DataFrame:
+    """One JSON row of totals and one for each detail row; nothing is cut or gathered.
+
+    Returns (part, report): part 0 holds the totals, part 1 the details.
+    """
+    part = lambda n: F.lit(n).cast("bigint").alias("part")
+    return totals.select(part(0), F.to_json(F.struct(F.struct(*totals.columns).alias("totals"))).alias("report")).unionByName(
+        detail.select(part(1), F.to_json(F.struct(F.struct(*detail.columns).alias("row"))).alias("report")))
 
 
 def append_changelog(entries: DataFrame, path: str) -> None:

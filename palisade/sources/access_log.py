@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.functions import sanitize as S
+
 COMBINED = (r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (.*?)(?: HTTP/[0-9.]+)?" (\d{3}) (\d+|-) '
             r'"([^"]*)" "([^"]*)"')
 PARSED = ("remote_addr string, timestamp string, method string, hex_path string, status int, bytes bigint, "
@@ -14,9 +16,19 @@ EVENT = ("event_id string, timestamp_bucket string, path_class string, scanner_f
 
 
 def read_access_log(spark: SparkSession, *paths: str) -> DataFrame:
-    """Plain and .gz logs; ``ord`` is file order then position within the file's bytes."""
-    return spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("log_source"))
+    """Plain and .gz logs; ``ord`` counts lines from 0 in order of file name, then place in the file.
+
+    A line's place within its block of the file is its distance from the block's first row; the lines
+    before a block come from one count per block.  No line is sorted or moved.
+    """
+    rows = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("log_source"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("log_source", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("log_source", "_block")) - F.col("_n")
+    offsets = blocks.select("log_source", "_block", "_first", before.alias("_before"))
+    return rows.join(offsets, ["log_source", "_block"]).select(
+        "value", "log_source", (F.col("_before") + F.col("_at") - F.col("_first")).alias("ord"))
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:
@@ -32,6 +44,14 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
             .withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("raw_time"))
 
 
+def l1_rows(parsed: DataFrame) -> DataFrame:
+    """Parsed lines as rows the event operators take: texts in hex, one hit each."""
+    return parsed.where("parsed").select(
+        "ord", "remote_addr", "ts", "timestamp", "method", S.hex_encode(F.col("path")).alias("hex_path"), "status", "bytes",
+        S.hex_encode(F.col("referer")).alias("hex_referer"), S.hex_encode(F.col("user_agent")).alias("hex_user_agent"),
+        F.lit(1).cast("bigint").alias("count"))
+
+
 def parse_counts(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count(F.lit(1)).alias("lines"), F.count_if("parsed").alias("parsed"),
                       F.count_if(~F.col("parsed")).alias("skipped"))

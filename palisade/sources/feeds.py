@@ -18,7 +18,8 @@ URLS = "urls array<struct<url:string,url_status:string,date_added:string,threat:
 IOCS = ("query_status string, data array<struct<ioc_value:string,ioc_type:string,malware:string,"
         "threat_type:string,confidence_level:string,first_seen_utc:string>>")
 CVES = ("vulnerabilities array<struct<cve:struct<id:string,descriptions:array<struct<lang:string,value:string>>,"
-        "metrics:struct<cvssMetricV31:array<struct<cvssData:struct<baseScore:double>>>>>>>")
+        "metrics:struct<cvssMetricV40:{m},cvssMetricV31:{m},cvssMetricV30:{m},cvssMetricV2:{m}>>>>"
+        ).format(m="array<struct<cvssData:struct<baseScore:double>>>")
 STIX = "objects array<struct<type:string,id:string,pattern_type:string,pattern:string>>"
 
 
@@ -48,6 +49,14 @@ def _entries(docs: DataFrame, schema: str, field: str, cap: int | None, where: s
     return parsed.select(F.explode(entries).alias("e")).select("e.*")
 
 
+def rejected(docs: DataFrame, schema: str) -> DataFrame:
+    """How many documents of a JSON feed do not parse; the parsers pass over them."""
+    return docs.select(F.from_json("value", f"{schema}, _corrupt_record string",
+                                   {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("d").isNull() | F.col("d._corrupt_record").isNotNull()).alias("rejected"))
+
+
 def parse_kev(docs: DataFrame, cap: int | None = None) -> DataFrame:
     e = _entries(docs, KEV, "vulnerabilities", cap).withColumn("value", _text(F.col("cveID")))
     tags = _tags(F.lit("known_exploited"), _slug(_text(F.col("vendorProject"))),
@@ -69,7 +78,7 @@ def parse_malware_urls(docs: DataFrame, cap: int | None = None) -> DataFrame:
 def parse_ioc_mixed(docs: DataFrame, cap: int | None = None) -> DataFrame:
     e = _entries(docs, IOCS, "data", cap, "query_status = 'ok'").withColumn(
         "value", _text(F.col("ioc_value")))
-    level = F.coalesce(F.col("confidence_level").cast("double").cast("int"), F.lit(50))
+    level = F.coalesce(F.col("confidence_level").try_cast("double").try_cast("int"), F.lit(50))
     confidence = F.least(F.greatest(level / 100, F.lit(0.0)), F.lit(1.0))
     tags = _tags(_slug(_text(F.col("malware"))), _text(F.col("threat_type")))
     return e.where("value <> ''").select(*_indicator(
@@ -115,12 +124,14 @@ def parse_custom(lines: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def cvss_severity(score: Column) -> Column:
     return (F.when(score >= 9, F.lit("critical")).when(score >= 7, F.lit("high"))
-            .when(score >= 4, F.lit("medium")).otherwise(F.lit("low")))
+            .when(score >= 4, F.lit("medium")).when(score.isNotNull(), F.lit("low")))
 
 
 def parse_cve_catalog(docs: DataFrame) -> DataFrame:
+    """Severity from the newest score that a record has; without a score it is not known."""
     e = _entries(docs, CVES, "vulnerabilities", None).select("cve.*")
-    score = F.get("metrics.cvssMetricV31", F.lit(0))["cvssData"]["baseScore"]
+    score = F.coalesce(*[F.get(f"metrics.cvssMetric{v}", F.lit(0))["cvssData"]["baseScore"]
+                         for v in ("V40", "V31", "V30", "V2")])
     text = F.get(F.filter("descriptions", lambda x: x["lang"] == "en"), F.lit(0))["value"]
     return e.select(F.col("id").alias("value"), score.alias("cvss"),
                     cvss_severity(score).alias("severity"), _text(text).alias("description"))
