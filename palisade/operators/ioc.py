@@ -91,12 +91,14 @@ def ioc_match_pattern(clean: DataFrame, indicators: DataFrame) -> DataFrame:
     return _totals(match("path", "path", prefix_join).unionByName(match("ua", "ua", contains_join)))
 
 
-def ioc_sightings(clean: DataFrame, requests: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Every indicator with its hits over all match kinds; never seen gives zero."""
+def ioc_sightings(clean: DataFrame, requests: DataFrame, indicators: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every indicator with its hits over all match kinds and the rule that blocks it; never seen gives zero."""
     found = (ioc_match_ip(clean, indicators).unionByName(ioc_match_url(requests, indicators))
              .unionByName(ioc_match_pattern(clean, indicators)))
     return (indicators.select("type", "value").distinct()
             .join(found, ["type", "value"], "left")
+            .join(ioc_coverage(indicators, rules).where("blocked").select(
+                F.lit("path").alias("type"), "value", "blocked_by"), ["type", "value"], "left")
             .withColumn("match_count", F.coalesce("match_count", F.lit(0))))
 
 

@@ -253,11 +253,6 @@ add("ioc_match_url", lambda s, d: I.ioc_match_url(requests(s, d), ind(s, d)),
     with_views(_totals("m_url"), "indicators", ctes=(MATCHES[0],) + MATCHES[2:5]))
 add("ioc_match_pattern", lambda s, d: I.ioc_match_pattern(clean(s, d), ind(s, d)),
     O.over_sanitized(_totals("m_pattern"), "indicators", ctes=(MATCHES[0], MATCHES[5])))
-add("ioc_sightings", lambda s, d: I.ioc_sightings(clean(s, d), requests(s, d), ind(s, d)),
-    O.over_sanitized(f"""SELECT i.type, i.value, coalesce(match_count, 0) AS match_count, first_seen, last_seen FROM i_want i LEFT JOIN
-      ({_totals('(SELECT * FROM m_ip UNION ALL SELECT * FROM m_url UNION ALL SELECT * FROM m_pattern) a')}) m
-      ON i.type = m.type AND i.value = m.value""", "indicators", ctes=MATCHES))
-
 RULE_PAIRS = (
     ("r_want", "SELECT DISTINCT modifier, pattern FROM rules WHERE category <> 'broken'"),
 )
@@ -270,6 +265,12 @@ def _takes(path):
 
 _COVERED = f"""SELECT i.value, CAST(count(r.pattern) AS BIGINT) AS patterns, min(r.pattern) AS blocked_by, count(r.pattern) > 0 AS blocked
   FROM (SELECT DISTINCT value FROM indicators WHERE type = 'path') i LEFT JOIN r_want r ON {_takes('i.value')} GROUP BY 1"""
+add("ioc_sightings", lambda s, d: I.ioc_sightings(clean(s, d), requests(s, d), ind(s, d), view(s, d, "rules")),
+    O.over_sanitized(f"""SELECT i.type, i.value, coalesce(match_count, 0) AS match_count, first_seen, last_seen, c.blocked_by FROM i_want i LEFT JOIN
+      ({_totals('(SELECT * FROM m_ip UNION ALL SELECT * FROM m_url UNION ALL SELECT * FROM m_pattern) a')}) m
+      ON i.type = m.type AND i.value = m.value LEFT JOIN ({_COVERED}) c ON i.type = 'path' AND c.value = i.value AND c.blocked""",
+        "indicators", "rules", ctes=MATCHES + RULE_PAIRS))
+
 add("ioc_coverage", lambda s, d: I.ioc_coverage(ind(s, d), view(s, d, "rules")),
     with_views(_COVERED, "indicators", "rules", ctes=RULE_PAIRS))
 add("uncovered_indicators", lambda s, d: I.uncovered_indicators(ind(s, d), view(s, d, "rules")),
