@@ -43,14 +43,17 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: bool, hot_s
     hot = counted.filter((F.col("n") > 1) & (F.col("n") * share >= total)).select(
         "h", F.ceil(F.col("n") * share / F.lit(max(total, 1))).alias("salts")
     )
+    # Whole rows carry their text, so the normalised text is left behind and made anew after the exchange.
     salted = rows.join(F.broadcast(hot), "h", "left").select(
-        *[c for c in rows.columns if c != "h"],
+        *[c for c in rows.columns if c != "h" and not (carry and c == "norm")],
         "h",
         F.substring("norm", 1, 12).alias("lead"),
         F.coalesce(F.pmod(F.xxhash64("id", "size"), F.col("salts")), F.lit(0)).alias("salt"),
         F.col("salts").isNotNull().alias("hot"),
     )
     ranged = salted.repartitionByRange("lead", "h", "salt")
+    if carry:
+        ranged = ranged.withColumn("norm", normalised(F.col("row")[text_col]))
     run = Window.partitionBy("lead", "h", "salt", "norm").orderBy(
         F.desc("size"), F.col("id").asc_nulls_last()
     ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,10 +102,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col),
         F.when(F.col("hot"), F.col("merged_id")).otherwise(F.col("first_id")).alias("keep_id"),
         ((F.col("rank") == 1) & F.coalesce("holds", F.lit(True))).alias("kept"),
-        "text_sha256",
+        "text_sha256", "hot",
     )
-    sizes = marked.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
-    return resolved.join(sizes, "text_sha256").select(id_col, "keep_id", "group_size", "kept", "text_sha256")
+    # Sizes of split texts have the bound of those texts; the rest meet theirs by digest, in groups of 1/share at most.
+    sizes = marked.groupBy("hot", "text_sha256").agg(F.count("*").alias("group_size"))
+    of_hot = F.broadcast(sizes.filter("hot").drop("hot"))
+    of_rest = sizes.filter("not hot").drop("hot")
+    return resolved.filter("hot").join(of_hot, "text_sha256").unionByName(
+        resolved.filter("not hot").join(of_rest, "text_sha256")
+    ).select(id_col, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 1000) -> DataFrame:

@@ -15,6 +15,7 @@ interchangeable; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -199,9 +200,13 @@ def pack(items: DataFrame, capacity: int, order: list[str], length: str = "lengt
         _placements(plan(counts, capacity)),
         "at_length bigint, first bigint, past bigint, copies bigint, sequence bigint, at bigint",
     )
-    # Number the items of a length: rank within a slice of at most about 100,000 items, plus the slices before.
-    parts = max(1, sum(counts.values()) // 100_000)
-    sliced = items.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    # Number the items of a length: rank within one of its slices, plus the slices before.  Slices and their
+    # number both grow with the root of all items, so neither becomes large; the table has one row per length.
+    most = max(1000, math.isqrt(sum(counts.values())))
+    parts = spark.createDataFrame([(w, -(-n // most)) for w, n in counts.items()], "__w bigint, __parts bigint")
+    sliced = items.join(F.broadcast(parts), F.col(length) == F.col("__w")).withColumn(
+        "__slice", F.pmod(F.xxhash64(*order), F.col("__parts"))
+    ).drop("__w", "__parts")
     within = Window.partitionBy(length, "__slice").orderBy(*order)
     ranked = sliced.withColumn("__rank", F.row_number().over(within) - 1)
     before = sliced.groupBy(F.col(length).alias("__l"), F.col("__slice").alias("__s")).agg(

@@ -7,11 +7,12 @@ context, in which the symbols already ruled out take no part (symbol exclusion).
 training never saw are equally likely.  The end of a text is a symbol; byte 255, which no UTF-8 text holds, stands
 for it and for what lies before a text.
 
-A pretrained model is one table of counts per order, gathered from all training texts.  No task holds it whole:
-texts lie in blocks of bounded size, a block asks for the different (context, symbol) strings it holds, the
-answers are joined to the requests and go back to the block, where a text's code length is summed.  Since
-symbols in a longer context are a part of those in its suffix, exclusion takes from a context's total just the sum
-that belongs to its child, which is kept with each child.
+A pretrained model is counted over all training texts.  No task holds it whole: texts lie in blocks of bounded
+size; a block asks for the different (context, symbol) strings it holds, dealt by a hash of the context into
+buckets whose number grows with the input; a bucket's counts are summed over all blocks, some dozens of blocks at
+a time; the answers go back to the block, where a text's code length is summed.  Requests, answers and texts
+travel as packed arrays.  Since symbols in a longer context are a part of those in its suffix, exclusion takes from
+a context's total just the sum that belongs to its child, which is kept with each child.
 
 `adaptive` scores each text by itself, with a trie that learns along the text.
 
@@ -25,12 +26,14 @@ symbols and all words are equally likely; an empty table gives an empty result;
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,9 @@ END = 255
 #: The end of a text among the words; no word holds a line break.
 END_WORD = b"\n"
 #: Bytes after which a text is cut at the next white space, bytes of a block, and bytes worked on at once.
-CHUNK, BLOCK, SLICE = 1 << 20, 12_000_000, 4_000_000
+CHUNK, BLOCK, SLICE = 1 << 20, 32_000_000, 4_000_000
+#: Bytes of text per bucket of the model, and blocks whose requests meet in one task.
+BUCKET_BYTES, FAN_IN = 16_000_000, 64
 ALPHABET = 256
 
 
@@ -79,7 +84,7 @@ def symbols(parts: list[tuple[bytes, bytes, bool]], order: int) -> tuple[np.ndar
     return codes[keep[order:]].view(np.int64), lengths
 
 
-def _slices(rows: list, size: Callable) -> Iterator[list]:
+def _slices(rows: Iterable, size: Callable) -> Iterator[list]:
     part, held = [], 0
     for row in rows:
         part.append(row)
@@ -98,68 +103,193 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return unique, np.bincount(at, counts, len(unique)).astype(np.int64)
 
 
-REQUESTS = (
-    "block bigint, id bigint, mark bigint, part int, last boolean, train boolean, context binary, data binary, "
-    "g bigint, w binary, n bigint"
-)
-_REQUEST_FIELDS = pa.schema([
-    ("block", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()),
-    ("train", pa.bool_()), ("context", pa.binary()), ("data", pa.binary()), ("g", pa.int64()), ("w", pa.binary()),
-    ("n", pa.int64()),
-])
+# ---- packed columns -----------------------------------------------------------------------------------------
 
 
-def _batch(rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _REQUEST_FIELDS],
-        schema=_REQUEST_FIELDS,
-    )
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted whole numbers as differences, other numbers as they are, compressed."""
+    if values.dtype == np.int64 and len(values):
+        values = np.diff(values, prepend=0)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.cumsum(values) if kind is np.int64 else values
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    text = zstandard.ZstdDecompressor().decompress(data)
+    return text.split(b" ") if text else []
+
+
+def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each string, by its context."""
+    mixed = (grams >> 8).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
 
+def _dealt(grams: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of sorted strings; places keep their order."""
+    own = _bucket_of(grams, buckets)
+    order = np.argsort(own, kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=buckets))
+    for bucket in range(buckets):
+        at = order[ends[bucket - 1] if bucket else 0:ends[bucket]]
+        if len(at):
+            yield bucket, at
 
-def _requests(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of texts: their parts, and for each different string and word how often training holds it."""
+
+def _dealt_words(words: set[bytes], buckets: int) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for word in sorted(words):
+        out[zlib.crc32(word) % buckets].append(word)
+    return out
+
+
+REQUESTS = "block bigint, texts binary, bucket bigint, g binary, g_n binary, w binary, w_n binary"
+_REQUEST_FIELDS = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("bucket", pa.int64()), ("g", pa.binary()),
+                             ("g_n", pa.binary()), ("w", pa.binary()), ("w_n", pa.binary())])
+
+#: A part of a text: identifier, mark, number, whether the last, whether to learn, context before it, bytes.
+Part = tuple
+
+
+def _strings(parts: list[Part], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different strings of parts and how often training parts hold them."""
+    found = []
+    for learn in (True, False):
+        chosen = [(p[5], p[6], p[3]) for p in parts if p[4] == learn]
+        if chosen:
+            keys, counts = np.unique(symbols(chosen, order)[0], return_counts=True)
+            found.append((keys, counts if learn else np.zeros_like(counts)))
+    return _merge(found)
+
+
+def _requests(order: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of texts, a compressed row per slice; then per bucket the strings and words the block holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "content", BLOCK):
             number += 1
-            grams, words, wanted = [], Counter(), set()
-            parts = [
+            grams, words, wanted = [], Counter(), {END_WORD}
+            parts = (
                 (key, mark, at, at == len(cut) - 1, train, before[-order:] if order else b"", data)
                 for key, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "train", "content")), strict=True)
                 for cut in [_chunks(text.encode().lower())]
                 for at, (before, data) in enumerate(zip([b"", *cut[:-1]], cut, strict=True))
-            ]
+            )
             for own in _slices(parts, lambda p: len(p[6])):
-                for learn in (True, False):
-                    chosen = [(p[5], p[6], p[3]) for p in own if p[4] == learn]
-                    if chosen:
-                        keys, counts = np.unique(symbols(chosen, order)[0], return_counts=True)
-                        grams.append((keys, counts if learn else np.zeros_like(counts)))
-                        for _, data, last in chosen:
-                            if learn:
-                                words.update(data.split())
-                                words[END_WORD] += last
-                            else:
-                                wanted.update(data.split())
-                yield _batch(len(own), block=[number] * len(own), **{
-                    name: [p[i] for p in own] for i, name in enumerate(("id", "mark", "part", "last", "train", "context", "data"))
-                })
+                grams.append(_strings(own, order))
+                for p in own:
+                    if p[4]:
+                        words.update(p[6].split())
+                        words[END_WORD] += p[3]
+                    else:
+                        wanted.update(p[6].split())
+                yield pa.RecordBatch.from_pylist(
+                    [{"block": number, "texts": zstandard.ZstdCompressor(level=1).compress(pickle.dumps(own))}], _REQUEST_FIELDS
+                )
             if not grams:
                 continue
             keys, counts = _merge(grams)
-            for at in range(0, len(keys), 100_000):
-                some = keys[at:at + 100_000]
-                yield _batch(len(some), block=np.full(len(some), number), g=some, n=counts[at:at + 100_000])
-            wanted.add(END_WORD)
-            listed = list(wanted | words.keys())
-            for at in range(0, len(listed), 50_000):
-                some = listed[at:at + 50_000]
-                yield _batch(len(some), block=np.full(len(some), number), w=some, n=[words[w] for w in some])
+            asked = [{"block": number, "bucket": bucket, "g": _pack(keys[at]), "g_n": _pack(counts[at].astype(np.float64))}
+                     for bucket, at in _dealt(keys, buckets)]
+            for bucket, some in enumerate(_dealt_words(wanted | words.keys(), buckets)):
+                if some:
+                    asked.append({"block": number, "bucket": bucket, "w": _pack_words(some),
+                                  "w_n": _pack(np.array([words[w] for w in some], np.float64))})
+            yield pa.RecordBatch.from_pylist(asked, _REQUEST_FIELDS)
 
     return run
 
 
+MERGED = "bucket bigint, g binary, g_n binary, w binary, w_n binary"
+_MERGED_FIELDS = pa.schema([f for f in _REQUEST_FIELDS if f.name in ("bucket", "g", "g_n", "w", "w_n")])
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Sums over the rows of a bucket."""
+    rows = table.to_pylist()
+    grams = [(_unpack(r["g"], np.int64), _unpack(r["g_n"], np.float64)) for r in rows if r["g"]]
+    words: dict[bytes, float] = {}
+    for r in rows:
+        if r["w"]:
+            own = dict(zip(_unpack_words(r["w"]), _unpack(r["w_n"], np.float64).tolist(), strict=True))
+            if len(words) < len(own):
+                words, own = own, words
+            for w, n in own.items():
+                words[w] = words.get(w, 0) + n
+    out = {"bucket": rows[0]["bucket"]}
+    if grams:
+        keys, counts = _merge(grams)
+        out |= {"g": _pack(keys), "g_n": _pack(counts.astype(np.float64))}
+    if words:
+        listed = sorted(words)
+        out |= {"w": _pack_words(listed), "w_n": _pack(np.array([words[w] for w in listed], np.float64))}
+    return pa.Table.from_pylist([out], _MERGED_FIELDS)
+
+
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        keys, counts = _unpack(row["g"], np.int64), _unpack(row["g_n"], np.float64).astype(np.int64)
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 100_000]), pa.array(counts[at:at + 100_000])], names=["g", "n"])
+
+
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        counts = _unpack(row["w_n"], np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=["tokens", "kinds"])
+
+
+def _packed_values(table: pa.Table) -> pa.Table:
+    """(bucket, g, v) rows of one bucket, packed."""
+    keys, values = table.column("g").to_numpy(), table.column("v").to_numpy()
+    order = np.argsort(keys)
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()]), "g": pa.array([_pack(keys[order])], pa.binary()),
+                     "g_v": pa.array([_pack(values[order])], pa.binary())})
+
+
+ANSWERS = "to_block bigint, bucket bigint, g_v binary, w_n binary"
+_ANSWER_FIELDS = pa.schema([("to_block", pa.int64()), ("bucket", pa.int64()), ("g_v", pa.binary()), ("w_n", pa.binary())])
+
+
+def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Values for the requests of some blocks to one bucket, in the order of each request."""
+    values, counts = (np.zeros(0, np.int64), np.zeros(0)), {}
+    for r in known.to_pylist():
+        if r["g"]:
+            values = (_unpack(r["g"], np.int64), _unpack(r["g_v"], np.float64))
+        if r["w"]:
+            counts = dict(zip(_unpack_words(r["w"]), _unpack(r["w_n"], np.float64).tolist(), strict=True))
+    out = []
+    for r in asked.to_pylist():
+        row = {"to_block": r["block"], "bucket": r["bucket"]}
+        if r["g"]:
+            row["g_v"] = _pack(values[1][np.searchsorted(values[0], _unpack(r["g"], np.int64))])
+        if r["w"]:
+            row["w_n"] = _pack(np.array([counts[w] for w in _unpack_words(r["w"])], np.float64))
+        out.append(row)
+    return pa.Table.from_pylist(out, _ANSWER_FIELDS)
+
+
+def _gram_bucket(buckets: int):
+    @F.arrow_udf("bigint")
+    def bucket(g: pa.Array) -> pa.Array:
+        return pa.array(_bucket_of(g.to_numpy(zero_copy_only=False), buckets))
+
+    return bucket
+
+
+# ---- values of strings --------------------------------------------------------------------------------------
+
+
 def _context_stats(counts: DataFrame, shorter: DataFrame | None, order: int) -> DataFrame:
     """(c, total, kinds, below): a context's sum, its different symbols, and their sum in the next shorter one."""
     rows = counts.withColumn("c", F.shiftrightunsigned("g", 8))
@@ -245,32 +375,43 @@ _SCORED = pa.schema([
 SCORED = "id bigint, mark bigint, part int, last boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _scorer(order: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scorer(order: int, buckets: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     base = math.log10(denominator)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        of_words = pc.is_valid(answers.column("w"))
-        counted, strings = answers.filter(of_words), answers.filter(pc.invert(of_words))
-        counts = dict(zip(counted.column("w").to_pylist(), counted.column("v").to_pylist(), strict=True))
+        answered = {(r["bucket"], name): r[name] for r in answers.to_pylist() for name in ("g_v", "w_n") if r[name]}
+        packed = texts.column("texts").to_pylist()
+        opened = lambda data: pickle.loads(zstandard.ZstdDecompressor().decompress(data))  # noqa: E731,S301  own bytes
+        keys, words = [], {END_WORD}
+        for data in packed:
+            own = opened(data)
+            keys.append(np.unique(symbols([(p[5], p[6], p[3]) for p in own], order)[0]))
+            for p in own:
+                words.update(p[6].split())
+        keys = np.unique(np.concatenate(keys))
+        values = np.empty(len(keys))
+        for bucket, at in _dealt(keys, buckets):
+            values[at] = _unpack(answered[bucket, "g_v"], np.float64)
+        counts: dict[bytes, float] = {}
+        for bucket, some in enumerate(_dealt_words(words, buckets)):
+            if some:
+                counts.update(zip(some, _unpack(answered[bucket, "w_n"], np.float64).tolist(), strict=True))
         logs = {w: math.log10(c + 1) for w, c in counts.items()}
-        keys = strings.column("g").to_numpy()
-        sort = np.argsort(keys)
-        keys, values = keys[sort], strings.column("v").to_numpy()[sort]
-        rows = texts.select(["id", "mark", "part", "last", "context", "data"]).to_pylist()
         out = []
-        for own in _slices(rows, lambda r: len(r["data"])):
-            codes, lengths = symbols([(r["context"], r["data"], r["last"]) for r in own], order)
+        for data in packed:
+            own = opened(data)
+            codes, lengths = symbols([(p[5], p[6], p[3]) for p in own], order)
             ends = np.concatenate([[0.0], np.cumsum(values[_lookup(keys, codes)])]) if len(codes) else np.zeros(1)
             stops = np.cumsum(lengths)
             scores = ends[stops] - ends[stops - lengths]
-            for r, score in zip(own, scores.tolist(), strict=True):
-                words = r["data"].split()
-                if r["last"]:
-                    words.append(END_WORD)
+            for (key, mark, part, last, _, _, text), score in zip(own, scores.tolist(), strict=True):
+                tokens = text.split()
+                if last:
+                    tokens.append(END_WORD)
                 out.append({
-                    "id": r["id"], "mark": r["mark"], "part": r["part"], "last": r["last"], "n_tokens": len(words),
-                    "n_known": sum(counts[w] > 0 for w in words),
-                    "base_score": math.fsum(logs[w] for w in words) - base * len(words), "score": score,
+                    "id": key, "mark": mark, "part": part, "last": last, "n_tokens": len(tokens),
+                    "n_known": sum(counts[w] > 0 for w in tokens),
+                    "base_score": math.fsum(map(logs.__getitem__, tokens)) - base * len(tokens), "score": score,
                 })
         return pa.Table.from_pylist(out, _SCORED)
 
@@ -283,38 +424,48 @@ def score(docs: DataFrame, train: Column, order: int = 5, id_col: str = "doc_id"
         raise ValueError("orders 0 to 6 fit the packed strings")
     small_batches(docs.sparkSession)
     content = whole(text_col)
+    size = docs.agg(F.sum(F.octet_length(content).cast("bigint"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
     asked = materialize(
         docs.select(
             F.col(id_col).cast("bigint").alias("id"), F.xxhash64(content).alias("mark"), train.alias("train"),
             content.alias("content"),
-        ).mapInArrow(_requests(order), REQUESTS),
+        ).mapInArrow(_requests(order, buckets), REQUESTS),
         "ppm-requests",
     )
-    texts = asked.filter(F.col("data").isNotNull()).select("block", "id", "mark", "part", "last", "context", "data")
-    of_strings = asked.filter(F.col("g").isNotNull()).select("block", "g", "n")
-    of_words = asked.filter(F.col("w").isNotNull()).select("block", "w", "n")
-    grams = materialize(of_strings.groupBy("g").agg(F.sum("n").alias("n")), "ppm-strings")
-    words = materialize(of_words.groupBy("w").agg(F.sum("n").alias("n")), "ppm-words")
-    tokens, kinds = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    for_block = F.col("block").alias("for_block")
-    answers = of_strings.select(for_block, "g").join(string_values(grams, order).hint("shuffle_hash"), "g").select(
-        "for_block", "g", F.lit(None).cast("binary").alias("w"), "v"
-    ).unionByName(
-        of_words.select(for_block, "w").join(words.hint("shuffle_hash"), "w").select(
-            "for_block", F.lit(None).cast("bigint").alias("g"), "w", F.col("n").cast("double").alias("v")
-        )
+    texts = asked.filter(F.col("texts").isNotNull()).select("block", "texts")
+    requests = asked.filter(F.col("bucket").isNotNull()).drop("texts")
+    # Some dozens of blocks meet in a task; how many such groups there are follows from the number of blocks.
+    groups = max(1, -(-requests.select("block").distinct().count() // FAN_IN))
+    grouped = requests.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    sums = grouped.groupBy("bucket", "part").applyInArrow(_merged, MERGED).groupBy("bucket").applyInArrow(_merged, MERGED)
+    model = materialize(sums, "ppm-model")
+    tokens, kinds = model.filter(F.col("w").isNotNull()).mapInArrow(_word_sums, "tokens bigint, kinds bigint").agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))
+    ).first()
+    grams = materialize(model.filter(F.col("g").isNotNull()).mapInArrow(_string_rows, "g bigint, n bigint"), "ppm-strings")
+    values = string_values(grams, order).withColumn("bucket", _gram_bucket(buckets)("g")).groupBy("bucket").applyInArrow(
+        _packed_values, "bucket bigint, g binary, g_v binary"
     )
+    none = F.lit(None).cast("binary")
+    known = values.select("bucket", "g", "g_v", none.alias("w"), none.alias("w_n")).unionByName(
+        model.filter(F.col("w").isNotNull()).select("bucket", none.alias("g"), none.alias("g_v"), "w", "w_n")
+    ).select(F.col("bucket").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("for_part"),
+             "g", "g_v", "w", "w_n")
+    answers = grouped.groupBy("bucket", "part").cogroup(known.groupBy("of", "for_part")).applyInArrow(_answered, ANSWERS)
     scored = materialize(
-        texts.groupBy("block").cogroup(answers.groupBy("for_block")).applyInArrow(_scorer(order, tokens + kinds + 1), SCORED),
+        texts.groupBy("block").cogroup(answers.groupBy("to_block")).applyInArrow(
+            _scorer(order, buckets, tokens + kinds + 1), SCORED
+        ),
         "ppm-scored",
     )
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    totals = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     plain = scored.filter("last and part = 0").drop("mark", "part", "last")
     # Parts of long texts: copies of a row have equal parts, so each part counts once and the row comes back as often.
     once = scored.filter("not last or part > 0").groupBy("id", "mark", "part").agg(
         F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )
-    long = once.groupBy("id", "mark").agg(F.max("copies").alias("copies"), *sums).select(
+    long = once.groupBy("id", "mark").agg(F.max("copies").alias("copies"), *totals).select(
         "id", "n_tokens", "n_known", "base_score", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     ).drop("copy")
     return plain.unionByName(long).select(

@@ -301,18 +301,14 @@ def deduplicate(
     small_batches(docs.sparkSession)
     rows = materialize(
         with_fingerprint(docs.select(F.struct("*").alias("row")), shingle, f"row.{text_col}", "fp").select(
-            "row", F.col(f"row.{id_col}").alias("id"), "fp"
+            "row", F.col(f"row.{id_col}").alias("id"), "fp", F.monotonically_increasing_id().alias("at")
         ),
         "simhash-rows",
     )
-    components_ = component_of_fingerprints(rows.select("id", "fp"), max_bits)
-    # Per component the first (identifier, fingerprint): fingerprints with their own least identifier decide it.
-    order = F.struct(F.col("least").isNull().alias("last"), "least", "fp")
-    chosen = rows.groupBy("fp").agg(F.min("id").alias("least")).join(components_, "fp").groupBy("root").agg(
-        F.min(order).alias("first")
-    ).select(F.col("first.fp").alias("fp"), F.col("first.least").alias("id"))
-    met = rows.alias("r").join(
-        chosen.alias("c"), (F.col("r.fp") == F.col("c.fp")) & F.col("r.id").eqNullSafe(F.col("c.id")), "left_semi"
-    )
-    # Rows that share identifier and fingerprint: any one of them.
-    return met.dropDuplicates(["fp"]).select("row.*")
+    # The number of a row in the written table tells equal rows apart.
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "fp", "at")
+    per_print = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    chosen = per_print.join(component_of_fingerprints(rows.select("id", "fp"), max_bits), "fp").groupBy("root").agg(
+        F.min("first").alias("first")
+    ).select(F.col("first.at").alias("at"))
+    return rows.join(chosen, "at", "left_semi").select("row.*")

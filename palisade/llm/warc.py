@@ -168,7 +168,7 @@ def _sharded(keys: DataFrame, shard_bytes: int):
 
 def write_archives(
     pages: DataFrame, folder: str, prefix: str = "pages", least_bytes: int = 0, roll_bytes: int = 16_000_000,
-    shard_bytes: int = 32_000_000, date: str = "2024-01-01T00:00:00Z",
+    shard_bytes: int = 16_000_000, date: str = "2024-01-01T00:00:00Z",
     id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
 ) -> DataFrame:
     """Write all pages below `folder`; returns the manifest (name, records, bytes, sha256)."""
@@ -195,8 +195,9 @@ def write_archives(
         "page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", "payload",
         (F.octet_length("payload") >= least_bytes).alias("links"),
     )
+    # More partitions than shards, so that few of them get two.
     ordered = revisits.unionByName(records).withColumn("shard", shard("page_id", "digest")).repartition(
-        shards, "shard"
+        4 * shards, "shard"
     ).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     written = materialize(ordered.mapInArrow(_writer(folder, prefix, roll_bytes, date), MANIFEST), "warc-files")
     done = written.mapInArrow(_commit(folder), MANIFEST).drop("temporary")
