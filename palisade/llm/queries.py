@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import (
-    chat_format, exact_dedup, language_id, packing, pieces, ppm, quality_rules, simhash, token_counts, warc,
+    chat_format, corpus_queries, exact_dedup, language_id, packing, pieces, ppm, quality_rules, simhash, token_counts, warc,
 )
 from palisade.llm.common import held_out, materialize, new_folder, shared_folder, table
 
@@ -123,7 +123,7 @@ QUERIES = {
         op1_token_counts, op2_ppm_scores, op3_exact_dedup, op4_pieces, op5_language_id, op6_quality_rules,
         op7_chat_format, op8_warc, op9_packing, op10_simhash,
     )
-}
+} | corpus_queries.QUERIES
 
 _EXACT = r"""
 WITH n AS (
@@ -174,4 +174,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM r
 """
 
-ORACLES = {"op3_exact_dedup": _EXACT, "op7_chat_format": _CHATS, "op8_warc": _WARC}
+ORACLES = {"op3_exact_dedup": _EXACT, "op7_chat_format": _CHATS, "op8_warc": _WARC} | corpus_queries.ORACLES
