@@ -12,7 +12,7 @@ A filter is a test of one text, or COPIES: the text is identical to one with a s
 the table.  Contents are compared by SHA-256.
 
 Defined cases: a null text is empty; a null part is the empty string; a null identifier is neither smaller nor
-greater than another; rows that repeat identifier and text are rows of their own and no copies of each other; a
+greater than another and has no label; rows that repeat identifier and text are rows of their own and no copies of each other; a
 document with several labels is good (toxic) if any of them says so; a label without document counts nothing; an
 empty table gives an empty result; other columns are not looked at.
 """
