@@ -188,13 +188,12 @@ def keep_good(
 ) -> DataFrame:
     """The rows that are kept, with all their columns.
 
-    The measures are taken twice, once for the labelled rows to find the cutoffs and once for all, so that no
-    table of texts is written or joined.
+    The measures are taken twice: once to write the numbers, which meet the labels and give the cutoffs, and once
+    to filter the rows where they lie, so that no text is written, joined or moved at any size.
     """
     small_batches(docs.sparkSession)
-    marked = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("__label_id")).distinct()
-    sample = docs.join(marked, F.col(id_col) == F.col("__label_id"), "left_semi")
-    cutoffs = thresholds(measures(sample, id_col, text_col, stratum_col), labels, risk, level, id_col)
+    measured_rows = materialize(measures(docs, id_col, text_col, stratum_col), "quality-measures")
+    cutoffs = thresholds(measured_rows, labels, risk, level, id_col)
     fields = [(m, pa.int64()) for m in MEASURES]
 
     @F.arrow_udf("struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
