@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages, each over all that the stage before kept.
 
-Every stage but the last returns the columns of `documents`, with the rows that it keeps unchanged.
+Every stage but the last returns the columns of `documents` (and any others that came), with the rows that it keeps
+unchanged.
+
+Defined cases: a null text is empty, so it has no language and goes in the first stage; a null identifier or language
+is a value like any other; of rows that repeat everything one stays after exact dedup; of equal texts the one with
+most characters, then the smallest identifier; of near texts the smallest identifier; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ LEAST_SHARE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts in which no language has a third of the letters."""
-    labelled, _ = language_id.identify(docs, ~held_out("doc_id", 4, 2))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
+    labelled, _ = language_id.identify(rows, ~held_out("doc_id", 4, 2))
     kept = (F.col("prediction.lang") != language_id.UNKNOWN) & (F.col("prediction.score") >= LEAST_SHARE)
-    return labelled.filter(kept).drop("prediction")
+    return labelled.filter(kept).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
