@@ -25,10 +25,14 @@ LEAST_SHARE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts in which no language has a third of the letters."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
-    labelled, _ = language_id.identify(rows, ~held_out("doc_id", 4, 2))
+    # Numbered names can't clash with the prediction's, and no text is carried twice.
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    labelled, _ = language_id.identify(
+        docs.toDF(*name.values()), ~held_out(name["doc_id"], 4, 2), id_col=name["doc_id"], text_col=name["text"],
+        label_col=name["lang"],
+    )
     kept = (F.col("prediction.lang") != language_id.UNKNOWN) & (F.col("prediction.score") >= LEAST_SHARE)
-    return labelled.filter(kept).select("row.*")
+    return labelled.filter(kept).drop("prediction").toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
