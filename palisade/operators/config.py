@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
-from palisade.operators.matching import location_takes, shadowing
+from palisade.operators.matching import location_regexes, location_takes, shadowing
 from palisade.session import materialize
 
 ID = ["file_id", "host", "path", "snapshot_id"]
@@ -258,9 +258,12 @@ def with_hits(parsed: DataFrame) -> DataFrame:
     """Adds ``hits``: per location, the test paths it takes."""
     if "hits" in parsed.columns:
         return parsed
-    tests = F.array(*[F.lit(p) for p in [C.ACME_PATH, *C.HEALTH_PATHS]])
-    return parsed.withColumn("hits", location_takes(
-        F.transform("locs", lambda b: b["modifier"]), F.transform("locs", lambda b: b["path"]), tests))
+    return with_regexes(parsed).withColumn("hits", location_takes("locs", "regexes", [C.ACME_PATH, *C.HEALTH_PATHS]))
+
+
+def with_regexes(parsed: DataFrame) -> DataFrame:
+    """Adds ``regexes``: per location, its regex as read, or NULL."""
+    return parsed if "regexes" in parsed.columns else parsed.withColumn("regexes", location_regexes("locs"))
 
 
 def location_match(parsed: DataFrame) -> DataFrame:
@@ -345,8 +348,7 @@ def _mark_header_inheritance(parsed: DataFrame) -> DataFrame:
 
 
 def location_shadow(parsed: DataFrame) -> DataFrame:
-    pairs = shadowing(F.transform("locs", lambda b: b["modifier"]), F.transform("locs", lambda b: b["path"]))
-    return parsed.select(*ID, "locs", F.inline(pairs)).select(
+    return with_regexes(parsed).select(*ID, "locs", F.inline(shadowing("locs", "regexes"))).select(
         *ID, F.expr("element_at(locs, regex + 1).expr").alias("regex_location"),
         F.expr("element_at(locs, prefix + 1).expr").alias("prefix_location"))
 
@@ -361,12 +363,12 @@ def duplicate_location(parsed: DataFrame) -> DataFrame:
 
 
 def _mark_precedence(parsed: DataFrame) -> DataFrame:
-    pairs = shadowing(F.transform("locs", lambda b: b["modifier"]), F.transform("locs", lambda b: b["path"]))
+    pairs = shadowing("locs", "regexes")
     issues = F.expr("""concat(
         transform(_s, p -> concat(element_at(locs, p.regex + 1).expr, ' shadows ', element_at(locs, p.prefix + 1).expr)),
         transform(filter(locs, b -> element_at(filter(locs, x -> x.modifier = b.modifier AND x.path = b.path), 1).open < b.open),
                   b -> concat('duplicate ', b.expr)))""")
-    return parsed.withColumn("_s", pairs).withColumn("_i", issues).withColumn(
+    return with_regexes(parsed).withColumn("_s", pairs).withColumn("_i", issues).withColumn(
         "c_location_precedence", F.struct(*_row("location_precedence", _fail_if_any(F.col("_i"), "warn"), F.col("_i"))))
 
 

@@ -74,14 +74,16 @@ def ioc_match_url(requests: DataFrame, indicators: DataFrame) -> DataFrame:
 def ioc_match_pattern(clean: DataFrame, indicators: DataFrame) -> DataFrame:
     """Path indicators as prefixes of paths, agent indicators as parts of agents.
 
-    Only distinct values are matched; hits go back to counts by equality.  The distinct values are
-    checkpointed because both steps read them.
+    Only distinct values are matched; hits go back to counts by equality.  Traffic is cleaned once, summed per
+    pair of path and agent and checkpointed, because every step reads it.
     """
+    pairs = materialize(_sightings(clean, "path", "ua"))
     wanted = (indicators.where("type IN ('path', 'ua')").select("type", "value").distinct()
               .withColumn("needle", S.clean_text(F.col("value"))).where("needle <> ''"))
 
     def match(kind: str, text: str, how) -> DataFrame:
-        seen = materialize(_sightings(clean, text))
+        seen = pairs.groupBy(text).agg(F.sum("count").alias("count"), F.min("first_hit").alias("first_hit"),
+                                       F.max("last_hit").alias("last_hit"))
         of_kind = wanted.where(F.col("type") == kind)
         hits = how(seen.select(text), text, of_kind.select("needle").distinct(), "needle")
         return (hits.join(seen, text).groupBy("needle").agg(

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-REGEX_BLOCK = 256
+from palisade.operators.patterns import FOLD_FROM, FOLD_TO, folded, read_locations, read_patterns
+from palisade.session import materialize
 
-# The helpers below travel with the query: executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+GRAM = 3
 
 
 def prefix_join(texts: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
@@ -31,7 +25,7 @@ def prefix_join(texts: DataFrame, text: str, prefixes: DataFrame, prefix: str) -
 
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
-                  gram: int = 3) -> DataFrame:
+                  gram: int = GRAM) -> DataFrame:
     """(text, needle) where the text holds the needle, ignoring case; inputs hold distinct values.
 
     Texts are indexed by their grams.  Every needle is looked up by its rarest gram, so a needle
@@ -55,79 +49,64 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
             .where(F.contains(F.lower(text), F.lower(needle))).select(text, needle))
 
 
-def _compile(pairs):
-    compiled = []
-    for number, pattern, ignore_case in pairs:
-        try:
-            compiled.append((number, re.compile(pattern, re.IGNORECASE if ignore_case else 0)))
-        except re.error:
-            continue
-    return compiled
+#: Parts into which the texts of a common gram are dealt, so that it is no single task's work.
+SALTS = 32
 
 
 def regex_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
                ignore_case: str) -> DataFrame:
     """(text, pattern, ignore_case) where the data-driven regex is found in the text.
 
-    A regex has no key to join on, so each distinct text meets each distinct regex once.  Regexes go
-    out in blocks of bounded size: the driver never holds more than a block, and more regexes mean
-    more passes, not a bigger broadcast.  A broken regex matches nothing, where the JVM engine would
-    fail the job.
+    Each distinct regex is read once.  Texts are indexed by their grams and a regex is looked up by the rarest
+    gram of each of the literals of which a match holds one, so it meets only texts that hold such a gram;
+    the literal and then the regex itself decide, in the JVM.  A regex without any literal has the empty
+    gram, which every text has.  A broken regex matches nothing, where the JVM engine would fail the job.
+    """
+    read = materialize(patterns.select(pattern, ignore_case).distinct().select(
+        pattern, ignore_case, read_patterns(pattern, ignore_case).alias("_read")).where("_read IS NOT NULL")
+        .select(pattern, ignore_case, "_read.java", F.explode("_read.literals").alias("_literal")))
+    grams = lambda col, n: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))), lambda i: F.substring(F.col(col), i, n)))
+    sized = read.select("_literal").distinct().withColumn("_size", F.least(F.length("_literal"), F.lit(GRAM)))
+    lookups = sized.withColumn("_gram", F.explode(grams("_literal", F.col("_size")))).drop("_size")
+    sizes = sized.agg(F.collect_set("_size").alias("s")).scalar()
+    index = (texts.select(text, folded(F.col(text)).alias("_folded")).withColumn("_size", F.explode(sizes))
+             .where(F.length("_folded") >= F.col("_size"))
+             .withColumn("_gram", F.explode(grams("_folded", F.col("_size")))).drop("_size"))
+    # Only grams of some literal go on; they are few, and joined by hash where they are not.
+    used = lookups.select("_gram").distinct()
+    frequency = index.join(used, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
+    rarest = lookups.join(frequency, "_gram", "left").groupBy("_literal").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_freq", F.lit(0)), "_gram")).alias("_gram"))
+    keys = read.join(rarest, "_literal").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = index.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+    return (dealt.join(keys, ["_gram", "_salt"])
+            .where(F.contains("_folded", "_literal")).where(F.rlike(text, F.col("java")))
+            .select(text, pattern, ignore_case).distinct())
+
+
+def location_regexes(locations: str) -> Column:
+    """For each location of an array, its regex as read, or NULL."""
+    return read_locations(F.transform(locations, lambda b: b["modifier"]), F.transform(locations, lambda b: b["path"]))
+
+
+def location_takes(locations: str, regexes: str, paths: list[str]) -> Column:
+    """For each location: which of a short list of paths it takes."""
+    listed = "array(" + ", ".join(f"'{p}'" for p in paths) + ")"
+    return F.expr(f"""zip_with({locations}, {regexes}, (b, r) -> filter({listed}, t -> CASE
+        WHEN b.modifier = '=' THEN b.path = t
+        WHEN b.modifier IN ('~', '~*') THEN r IS NOT NULL AND t RLIKE coalesce(r.java, '')
+        ELSE startswith(t, b.path) END))""")
+
+
+def shadowing(locations: str, regexes: str) -> Column:
+    """(regex, plain prefix) location numbers where the regex takes the prefix.
+
+    A regex is tried on the prefixes that hold one of its literals.
     """
-    wanted = patterns.select(pattern, ignore_case).distinct()
-    blocks = -(-wanted.count() // REGEX_BLOCK)
-    found = None
-    for block in range(max(blocks, 1)):
-        part = wanted if blocks <= 1 else wanted.where(
-            F.pmod(F.xxhash64(pattern, ignore_case), F.lit(blocks)) == block)
-        rows = [(r[0], bool(r[1])) for r in part.collect()]
-        hits = _regex_hits(texts.select(text), text, rows, pattern, ignore_case)
-        found = hits if found is None else found.unionByName(hits)
-    return found
-
-
-def _regex_hits(texts: DataFrame, text: str, rows: list, pattern: str,
-                ignore_case: str) -> DataFrame:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def hits(values: pd.Series) -> pd.Series:
-        compiled = _compile([(i, p, c) for i, (p, c) in enumerate(rows)])
-        return values.map(lambda v: [i for i, rx in compiled if rx.search(v)])
-
-    names = F.array(*[F.lit(p) for p, _ in rows]) if rows else F.array().cast("array<string>")
-    flags = F.array(*[F.lit(c) for _, c in rows]) if rows else F.array().cast("array<boolean>")
-    return (texts.select(text, F.explode(hits(F.col(text))).alias("_i"))
-            .select(text, F.get(names, F.col("_i")).alias(pattern),
-                    F.get(flags, F.col("_i")).alias(ignore_case)))
-
-
-def _location_test(modifier: str, pattern: str):
-    if modifier == "=":
-        return lambda path: pattern == path
-    if modifier in ("~", "~*"):
-        compiled = _compile([(0, pattern, modifier == "~*")])
-        return lambda path: any(rx.search(path) is not None for _, rx in compiled)
-    return lambda path: path.startswith(pattern)
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def location_takes(modifiers: pd.Series, patterns: pd.Series, paths: pd.Series) -> pd.Series:
-    """Per file: for each of its locations, which of a short list of test paths it takes."""
-    return pd.Series([
-        [[t for t in tests if test(t)] for test in map(_location_test, mods, pats)]
-        for mods, pats, tests in zip(modifiers, patterns, paths)])
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("regex", T.IntegerType()),
-                                        T.StructField("prefix", T.IntegerType())])))
-def shadowing(modifiers: pd.Series, patterns: pd.Series) -> pd.Series:
-    """Per file: (regex, plain prefix) location numbers where the regex takes the prefix."""
-    def one(mods, pats):
-        plain = [(i, p) for i, (m, p) in enumerate(zip(mods, pats)) if m == ""]
-        out = []
-        for i, (m, p) in enumerate(zip(mods, pats)):
-            if m in ("~", "~*"):
-                test = _location_test(m, p)
-                out += [{"regex": i, "prefix": j} for j, path in plain if test(path)]
-        return out
-
-    return pd.Series([one(m, p) for m, p in zip(modifiers, patterns)])
+    fold = f"lower(translate(b.path, '{FOLD_FROM}', '{FOLD_TO}'))"
+    return F.expr(f"""flatten(transform(
+        filter(transform({regexes}, (r, i) -> named_struct('r', r, 'i', i)), x -> x.r IS NOT NULL), x -> transform(filter(
+            filter(transform({locations}, (b, j) -> named_struct('m', b.modifier, 'p', b.path, 'f', {fold}, 'j', j)), y -> y.m = ''),
+            y -> exists(x.r.literals, l -> contains(y.f, l)) AND y.p RLIKE x.r.java),
+          y -> named_struct('regex', x.i, 'prefix', y.j))))""")
