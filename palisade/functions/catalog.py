@@ -356,6 +356,11 @@ LEARNING_STATUSES = ["draft", "active", "promoted"]
 LEARNING_SOURCES = ["log-analysis", "manual", "upstream", "ioc-feed"]
 PRIVILEGES = ["R0", "R1", "W1", "W2", "X1"]
 SCHEDULES = ["manual", "cron", "systemd-timer"]
+#: The actions a step may have, with the privilege that each needs; which one is ours, by what the privileges allow.
+STEP_PRIVILEGES = {
+    "analyze-logs": "R0", "audit-config": "R0", "check-ioc-feeds": "R1", "deploy": "W2",
+    "compact-learnings": "R1", "sync-repos": "W1",
+}
 
 EVENT_ENUMS = {
     "source_type": ["access_log", "error_log", "honeypot_log"],

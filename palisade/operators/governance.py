@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators.numbering import number_rows
-from palisade.sources.records import field, parse_frontmatter
+from palisade.sources.records import item_maps, once, record_fields
 
 # --- record validation -------------------------------------------------------------------------
 
@@ -109,10 +109,40 @@ def cross_rules(kind: str) -> list[Column]:
         return [F.when((_val("blast_radius") == "unknown-shared") & (_val("requires_live_test") != "true"), F.lit("cross:needs_live_test"))]
     if kind == "recipe":
         return [F.when(_val("execution_class").rlike("[WX]") & (F.size(F.col("f_confirmation_checkpoints")["items"]) == 0)
-                       & (_val("schedule_mode") == "manual"), F.lit("cross:needs_checkpoints"))]
+                       & (_val("schedule_mode") == "manual"), F.lit("cross:needs_checkpoints")),
+                F.when(_exceeds(), F.lit("cross:step_privilege")),
+                F.when((_kind("steps") == "list") & F.exists("_steps", lambda m: ~F.coalesce(_action(m).isin(*C.STEP_PRIVILEGES), F.lit(False))),
+                       F.lit("cross:step_action")),
+                F.when(F.exists(F.col("f_required_env_vars")["items"], lambda v: ~v.rlike("^[A-Za-z_][A-Za-z0-9_]*$")), F.lit("cross:env_values")),
+                F.when((_kind("outputs") == "list") & (F.size(F.col("f_outputs")["items"]) == 0), F.lit("cross:no_outputs")),
+                F.when((_val("allows_emergency_mode") == "true") & F.exists("_steps", lambda m: ~_class_a(m)), F.lit("cross:emergency_class"))]
     return []
 
 
+def _action(step: Column) -> Column:
+    return F.get(F.try_element_at(step, F.lit("action")), F.lit(0))
+
+
+def _param(step: Column, name: str) -> Column:
+    return F.get(F.try_element_at(step, F.lit(f"params.{name}")), F.lit(0))
+
+
+def _exceeds() -> Column:
+    """Whether a step needs more than the recipe's highest privilege; reloading needs the highest of all."""
+    level = lambda p: S.ordinal(p, C.PRIVILEGES, 0)
+    needed = F.create_map(*[F.lit(x) for kv in C.STEP_PRIVILEGES.items() for x in kv])
+    of_step = lambda m: F.when((_action(m) == "deploy") & (F.lower(_param(m, "reload_nginx")) == "true"), F.lit("X1")).otherwise(
+        F.try_element_at(needed, _action(m)))
+    allowed = level(_val("max_privilege_level"))
+    return (allowed > 0) & F.exists("_steps", lambda m: F.coalesce(level(of_step(m)) > allowed, F.lit(False)))
+
+
+def _class_a(step: Column) -> Column:
+    """Steps fit for emergencies: those that only read, and rollouts of class A rules."""
+    reads = F.array(*[F.lit(a) for a, p in C.STEP_PRIVILEGES.items() if p.startswith("R")])
+    return F.coalesce(F.array_contains(reads, _action(step)) | ((_action(step) == "deploy") & (_param(step, "rule_class") == "A")), F.lit(False))
+
+
 RULES = {"exception": (C.EXCEPTION_FIELDS, exception_rules), "learning": (C.LEARNING_FIELDS, learning_rules),
          "recipe": (C.RECIPE_FIELDS, recipe_rules), "finding": (C.FINDING_FIELDS, finding_rules)}
 
@@ -120,10 +150,12 @@ RULES = {"exception": (C.EXCEPTION_FIELDS, exception_rules), "learning": (C.LEAR
 def validate(records: DataFrame, kind: str, strict: bool = False) -> DataFrame:
     """``errors`` and ``valid`` per record; narrow, one pass over the text."""
     fields, rules = RULES[kind]
-    parsed = parse_frontmatter(records).withColumns({f"f_{f}": field(f) for f in fields})
+    parsed = record_fields(records, fields, nested=strict)
+    if strict and kind == "recipe":
+        parsed = parsed.withColumn("_steps", item_maps("f_steps.items"))
     checks = rules() + (cross_rules(kind) if strict else [])
-    return (parsed.withColumn("errors", F.concat("parse_errors", F.array_compact(F.array(*checks))))
-            .withColumn("valid", F.size("errors") == 0))
+    checked = parsed.withColumn("errors", F.concat("parse_errors", F.array_compact(F.array(*checks))))
+    return once(checked, parsed.columns).withColumn("valid", F.size("errors") == 0).drop("_steps")
 
 
 # --- exceptions --------------------------------------------------------------------------------

@@ -457,6 +457,23 @@ SELECT ord, translate(raw, '¶', chr(10)) AS text FROM (SELECT p_partkey AS ord,
 FROM part) t
 """
 
+STEP_RECIPES = f"""
+SELECT ord, translate(raw, '¶', chr(10)) AS text FROM (SELECT p_partkey AS ord, {_md([
+    "'name: steps-', CAST(p_partkey AS STRING), '¶description: Nested steps¶profile: edge-public¶execution_class: R0¶requires_network: false'",
+    "'¶requires_remote_exec: false¶required_env_vars: ', CASE WHEN p_partkey % 7 = 3 THEN '[LOG_DIR, TOKEN=abc]' ELSE '[LOG_DIR]' END",
+    "'¶confirmation_checkpoints: []¶allows_emergency_mode: ', CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END",
+    "'¶max_privilege_level: ', CASE p_partkey % 5 WHEN 0 THEN 'R0' WHEN 1 THEN 'R1' WHEN 2 THEN 'W1' WHEN 3 THEN 'W2' ELSE 'X1' END",
+    "'¶schedule_mode: cron¶steps:¶  - action: \"analyze-logs\"¶    params:¶      log_dir: \"/var/log/nginx\"¶      lookback_hours: '",
+    "CAST(p_partkey % 48 AS STRING), '¶  - action: ', CASE p_partkey % 8 WHEN 0 THEN 'check-ioc-feeds' WHEN 1 THEN 'deploy' WHEN 2 THEN 'deploy'"
+    " WHEN 3 THEN 'deploy' WHEN 4 THEN 'sync-repos' WHEN 5 THEN 'compact-learnings' WHEN 6 THEN 'audit-config' ELSE 'dance' END, '¶    params:'",
+    "CASE p_partkey % 8 WHEN 0 THEN '¶      feed_urls:¶        - \"https://ioc.example/a.json\"¶        - b.json¶      match_fields: [path_class, scanner]'"
+    " WHEN 1 THEN '¶      reload_nginx: true¶      rule_class: A' WHEN 2 THEN '¶      reload_nginx: false¶      rule_class: A'"
+    " WHEN 3 THEN '¶      backup: true¶      rule_class: B' ELSE '¶      note: none' END",
+    "CASE WHEN p_partkey % 11 = 4 THEN '¶    action: audit-config' ELSE '' END",
+    "CASE WHEN p_partkey % 9 = 5 THEN '¶outputs: []¶' ELSE '¶outputs:¶  - /var/log/out.log¶' END"], "Recipe.")} AS raw
+FROM part) t
+"""
+
 FINDING_RECORDS = f"""
 SELECT ord, translate(raw, '¶', chr(10)) AS text FROM (SELECT f.ord, {_md([
     "'finding_id: ', f.finding_id, '¶category: ', CASE WHEN f.ord % 8 = 1 THEN '\"\"' ELSE f.category END, '¶severity: '",
@@ -520,6 +537,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "exception_records": (EXCEPTION_RECORDS, ("exceptions",)),
     "learning_records": (LEARNING_RECORDS, ("learnings",)),
     "recipe_records": (RECIPE_RECORDS, ()),
+    "step_recipes": (STEP_RECIPES, ()),
     "finding_records": (FINDING_RECORDS, ("findings",)),
     "notes": (NOTES, ()),
     "changelog": (CHANGELOG, ()),

@@ -109,22 +109,62 @@ _validator("finding", FIND, "finding_records")
 
 def cross_rules(spark, d):
     out = None
-    for kind in ("exception", "finding", "recipe"):
-        one = (G.validate(view(spark, d, f"{kind}_records"), kind, strict=True)
+    for kind, source in (("exception", "exception_records"), ("finding", "finding_records"), ("recipe", "recipe_records"), ("recipe", "step_recipes")):
+        one = (G.validate(view(spark, d, source), kind, strict=True)
                .select(F.explode(F.filter("errors", lambda e: e.startswith("cross:"))).alias("rule"))
-               .groupBy("rule").agg(F.count(F.lit(1)).alias("records")))
+               .groupBy("rule").agg(F.count(F.lit(1)).alias("records")).withColumn("source", F.lit(source)))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+# Nested recipes have two steps; of a step's equal keys the last counts.
+STEPS = (
+    ("st_read", r"""SELECT *, regexp_extract_all(text, '(?m)^  (?:- |  )action: "?([a-z-]+)', 1) AS acts,
+        regexp_matches(text, '(?m)^      reload_nginx: true') AS reloads, regexp_matches(text, '(?m)^      rule_class: A$') AS class_a FROM step_recipes"""),
+    ("st_two", "SELECT *, acts[1] AS first_act, acts[len(acts)] AS act FROM st_read"),
+    ("st_need", """SELECT *, CASE WHEN act = 'deploy' AND reloads THEN 5 WHEN act = 'deploy' THEN 4 WHEN act = 'sync-repos' THEN 3
+        WHEN act IN ('check-ioc-feeds', 'compact-learnings') THEN 2 ELSE 1 END AS need,
+        list_position(['R0', 'R1', 'W1', 'W2', 'X1'], regexp_extract(text, 'max_privilege_level: (..)', 1)) AS allowed FROM st_two"""),
+)
 add("cross_rules", cross_rules, with_views(f"""
-SELECT rule, count(*) AS records FROM (
-  SELECT 'cross:reviewed_before_created' AS rule FROM exception_records WHERE {_d('last_reviewed_at')} < {_d('created_at')}
-  UNION ALL SELECT 'cross:global_needs_critical' FROM exception_records WHERE {_v('scope')} = 'global' AND {_v('severity_tier')} <> 'critical'
-  UNION ALL SELECT 'cross:needs_live_test' FROM finding_records WHERE {_v('blast_radius')} = 'unknown-shared' AND {_v('requires_live_test')} <> 'true'
-  UNION ALL SELECT 'cross:needs_checkpoints' FROM recipe_records WHERE regexp_matches({_v('execution_class')}, '[WX]')
-    AND {_v('confirmation_checkpoints')} = '[]' AND {_v('schedule_mode')} = 'manual') x GROUP BY 1""",
-    "exception_records", "finding_records", "recipe_records"))
+SELECT rule, source, count(*) AS records FROM (
+  SELECT 'cross:reviewed_before_created' AS rule, 'exception_records' AS source FROM exception_records WHERE {_d('last_reviewed_at')} < {_d('created_at')}
+  UNION ALL SELECT 'cross:global_needs_critical', 'exception_records' FROM exception_records WHERE {_v('scope')} = 'global' AND {_v('severity_tier')} <> 'critical'
+  UNION ALL SELECT 'cross:needs_live_test', 'finding_records' FROM finding_records WHERE {_v('blast_radius')} = 'unknown-shared' AND {_v('requires_live_test')} <> 'true'
+  UNION ALL SELECT 'cross:needs_checkpoints', 'recipe_records' FROM recipe_records WHERE regexp_matches({_v('execution_class')}, '[WX]')
+    AND {_v('confirmation_checkpoints')} = '[]' AND {_v('schedule_mode')} = 'manual'
+  UNION ALL SELECT unnest(['cross:step_action', 'cross:emergency_class']), 'recipe_records' FROM recipe_records WHERE contains(text, 'steps:' || chr(10))
+  UNION ALL SELECT 'cross:step_privilege', 'step_recipes' FROM st_need WHERE need > allowed
+  UNION ALL SELECT 'cross:step_action', 'step_recipes' FROM st_need WHERE act = 'dance'
+  UNION ALL SELECT 'cross:env_values', 'step_recipes' FROM st_need WHERE contains(text, 'TOKEN=')
+  UNION ALL SELECT 'cross:no_outputs', 'step_recipes' FROM st_need WHERE contains(text, 'outputs: []')
+  UNION ALL SELECT 'cross:emergency_class', 'step_recipes' FROM st_need WHERE contains(text, 'emergency_mode: true')
+    AND (act IN ('sync-repos', 'dance') OR (act = 'deploy' AND NOT class_a))) x GROUP BY 1, 2""",
+    "exception_records", "finding_records", "recipe_records", "step_recipes", ctes=STEPS))
+
+
+def recipe_steps(spark, d):
+    steps = R.record_fields(view(spark, d, "step_recipes"), ["steps"], nested=True).select(
+        "ord", "parse_errors", F.posexplode(R.item_maps("f_steps.items")).alias("at", "m"))
+    of = lambda k: F.array_join(F.try_element_at("m", F.lit(k)), ",").alias(k.removeprefix("params."))
+    return steps.select("ord", (F.col("at") + 1).cast("bigint").alias("step"), F.size("parse_errors").cast("bigint").alias("strays"), of("action"), *[
+        of(f"params.{k}") for k in ("log_dir", "lookback_hours", "feed_urls", "match_fields", "reload_nginx", "rule_class")])
+
+
+def _step_param(k):
+    return f"nullif(trim(regexp_extract(piece, '(?m)^      {k}: *(.*)$', 1), '\"'), '') AS {k}"
+
+
+add("recipe_steps", recipe_steps, with_views(rf"""
+SELECT ord, CAST(step AS BIGINT) AS step, CAST(0 AS BIGINT) AS strays,
+  CASE WHEN contains(piece, chr(10) || '    action: ') THEN regexp_extract(piece, '(?m)^    action: (.*)$', 1) ELSE trim(regexp_extract(piece, '^action: (\S+)', 1), '"') END AS action,
+  {_step_param('log_dir')}, {_step_param('lookback_hours')}, {_step_param('reload_nginx')}, {_step_param('rule_class')},
+  nullif(array_to_string(list_transform(regexp_extract_all(piece, '(?m)^        - (.*)$', 1), lambda x: trim(x, '"')), ','), '') AS feed_urls,
+  replace(nullif(regexp_extract(piece, 'match_fields: \[(.*)\]', 1), ''), ', ', ',') AS match_fields
+FROM (SELECT ord, unnest(pieces[2:]) AS piece, unnest(range(1, len(pieces))) AS step FROM (
+  SELECT ord, string_split(split_part(split_part(text, 'steps:' || chr(10), 2), chr(10) || 'outputs', 1), '  - ') AS pieces_raw,
+    string_split(regexp_replace(chr(10) || split_part(split_part(text, 'steps:' || chr(10), 2), chr(10) || 'outputs', 1), '(?m)^  - ', '@@', 'g'), '@@') AS pieces
+  FROM step_recipes) a) b""", "step_recipes"))
 add("read_records", lambda s, d: R.key_values(R.parse_frontmatter(view(s, d, "recipe_records")), "ord"), with_views(rf"""
 SELECT ord, key, CASE WHEN list THEN 'list' WHEN raw {_BOOL} THEN 'bool' ELSE 'string' END AS kind,
   CASE WHEN list AND raw LIKE '[%' AND raw <> '[]' THEN replace(trim(raw, '[]'), ', ', ',') WHEN raw = '[]' THEN ''
