@@ -6,11 +6,14 @@ projection; only what compares files (snapshots, includes) shuffles, keyed by ho
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
+from palisade.operators.blocks import file_blocks
 from palisade.operators.matching import location_regexes, location_takes, shadowing
 from palisade.session import materialize
 
@@ -29,60 +32,12 @@ def without_hash(text: Column) -> Column:
     return F.regexp_replace(text, "#[^\n]*", "")
 
 
-def brace_blocks(text: str) -> Column:
-    """array<struct<head_from, open, close>> of the matched braces of a text column, by open.
-
-    Folds over the pieces between braces with a stack of open positions.  ``head_from`` is the
-    previous opening brace: the text in between names the block.
-    """
-    return F.expr(rf"""
-      array_sort(aggregate(split({text}, '(?<=[{{}}])'),
-        named_struct('pos', 0, 'last', 0, 'stack', cast(array() AS array<struct<h:int,o:int>>),
-                     'out', cast(array() AS array<struct<open:int,head_from:int,close:int>>)),
-        (s, p) -> CASE
-          WHEN endswith(p, '{{') THEN named_struct('pos', s.pos + length(p), 'last', s.pos + length(p),
-               'stack', concat(s.stack, array(named_struct('h', s.last, 'o', s.pos + length(p)))), 'out', s.out)
-          WHEN endswith(p, '}}') AND size(s.stack) > 0 THEN named_struct('pos', s.pos + length(p), 'last', s.last,
-               'stack', slice(s.stack, 1, size(s.stack) - 1),
-               'out', concat(s.out, array(named_struct('open', element_at(s.stack, -1).o,
-                             'head_from', element_at(s.stack, -1).h, 'close', s.pos + length(p)))))
-          ELSE named_struct('pos', s.pos + length(p), 'last', s.last, 'stack', s.stack, 'out', s.out) END,
-        s -> s.out))""")
-
-
-def location_blocks(text: str, blocks: str) -> Column:
-    """array<struct<expr, modifier, path, body, line, open, close>> of the location blocks."""
-    return F.expr(rf"""
-      transform(transform(filter(transform({blocks}, b -> named_struct('b', b,
-          'head', substring({text}, b.head_from + 1, b.open - b.head_from - 1))), x -> x.head RLIKE r'location\s'),
-        x -> named_struct('b', x.b, 'at', regexp_instr(x.head, r'location\s') - 1,
-          'expr', trim(regexp_replace(regexp_extract(x.head, r'(?s)location\s+(.*)$', 1), r'\s+$', '')))),
-        y -> named_struct('expr', y.expr,
-          'modifier', CASE WHEN y.expr RLIKE r'(?s)^(=|~|~\*|\^~)\s+\S' THEN regexp_extract(y.expr, r'^(\S+)', 1) ELSE '' END,
-          'path', CASE WHEN y.expr RLIKE r'(?s)^(=|~|~\*|\^~)\s+\S' THEN regexp_extract(y.expr, r'(?s)^\S+\s+(.*)$', 1) ELSE y.expr END,
-          'body', regexp_replace(substring({text}, y.b.open + 1, y.b.close - y.b.open - 1), r'^\s+|\s+$', ''),
-          'line', cast(1 + size(split(substring({text}, 1, y.b.head_from + y.at), r'\n')) - 1 AS bigint),
-          'open', y.b.open, 'close', y.b.close))""")
-
-
-def server_blocks(text: str, blocks: str) -> Column:
-    return F.expr(rf"""
-      transform(filter(transform({blocks}, b -> named_struct('b', b,
-          'head', substring({text}, b.head_from + 1, b.open - b.head_from - 1))), x -> x.head RLIKE r'\bserver\s*$'),
-        x -> named_struct('body', substring({text}, x.b.open + 1, x.b.close - x.b.open - 1), 'open', x.b.open, 'close', x.b.close,
-          'line', cast(size(split(substring({text}, 1, x.b.head_from + regexp_instr(x.head, r'\bserver\s*$') - 1), r'\n')) AS bigint)))""")
-
-
 def parse_files(files: DataFrame) -> DataFrame:
     """Adds ``clean``, ``locs``, ``servers`` (comments stripped) and ``raw_locs`` (comments kept)."""
     cut = files.withColumn("clean", without_comments(F.col("text"))).withColumns(
-        {"_b": brace_blocks("clean"), "_rb": brace_blocks("text")})
-    out = cut.withColumns({
-        "locs": location_blocks("clean", "_b"), "servers": server_blocks("clean", "_b"),
-        "raw_locs": location_blocks("text", "_rb")})
-    opens = F.regexp_count("clean", F.lit(r"\{"))
-    return out.withColumn("unbalanced", (opens != F.size("_b")) | (
-        F.regexp_count("clean", F.lit(r"\}")) != F.size("_b"))).drop("_b", "_rb")
+        {"_b": file_blocks("clean"), "_rb": file_blocks("text")})
+    return cut.select(*files.columns, "clean", F.col("_b.locs").alias("locs"), F.col("_b.servers").alias("servers"),
+                      F.col("_rb.locs").alias("raw_locs"), F.col("_b.unbalanced").alias("unbalanced"))
 
 
 def extract_blocks(parsed: DataFrame) -> DataFrame:
@@ -420,12 +375,13 @@ def compat_includes(files: DataFrame) -> DataFrame:
     include from outside the config folders, warn."""
     edges = include_edges(files)
     key = ["host", "snapshot_id", "includer", "target"]
-    lost = edges.join(resolve_includes(edges, files).select(*key).distinct(), key, "left_anti").select(
+    resolved = materialize(resolve_includes(edges, files))
+    lost = edges.join(resolved.select(*key).distinct(), key, "left_anti").select(
         *key[:3], (~F.col("is_glob")).alias("_bad"), F.col("target").alias("_issue"))
     outside = edges.where(~F.col("target").startswith(ROOT)).select(
         *key[:3], F.lit(False).alias("_bad"), F.concat(F.lit("outside: "), "target").alias("_issue"))
-    loops = include_expand(files).where("cycle").select(
-        "host", "snapshot_id", F.col("root").alias("includer"), F.lit(True).alias("_bad"), F.lit("circular").alias("_issue"))
+    loops = cycle_files(resolved).select(
+        "host", "snapshot_id", F.col("file").alias("includer"), F.lit(True).alias("_bad"), F.lit("circular").alias("_issue"))
     found = lost.unionByName(outside).unionByName(loops).groupBy(*key[:3]).agg(
         F.bool_or("_bad").alias("_bad"), F.array_sort(F.collect_set("_issue")).alias("_issues"))
     status = (F.when(F.col("_bad"), F.lit("fail")).when(F.col("_issues").isNotNull(), F.lit("warn"))
@@ -435,27 +391,88 @@ def compat_includes(files: DataFrame) -> DataFrame:
                     F.coalesce(F.array_join("_issues", "; "), F.lit("")).alias("detail")))
 
 
-def include_expand(files: DataFrame) -> DataFrame:
-    """Every file reached from each file, with the fewest includes; ``cycle`` marks a way back.
+GRAPH = ["host", "snapshot_id"]
+
+
+def _ends(single: DataFrame, steps: int) -> DataFrame:
+    """(a, t): where 2^steps or more steps lead from files with one include, or the last file before that."""
+    ends = single
+    for _ in range(steps):
+        on = ends.select(*GRAPH, F.col("a").alias("t"), F.col("t").alias("_t"))
+        ends = materialize(ends.join(on, [*GRAPH, "t"], "left").select(*GRAPH, "a", F.coalesce("_t", "t").alias("t")))
+    return ends
+
 
-    Each round joins only the pairs that the round before reached first, and drops pairs already
-    known, so cycles come to an end; the rounds are as many as the longest chain.
+def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges without those that lead to no cycle, and the files of rings, whose edges go too.
+
+    Chains of files with one include each are followed by doubling: a chain of n files takes log n rounds.
     """
-    edges = materialize(resolve_includes(include_edges(files), files)
-                        .select("host", "snapshot_id", "includer", "included").distinct())
-    pair = ["host", "snapshot_id", "root", "file"]
-    out = frontier = edges.select("host", "snapshot_id", F.col("includer").alias("root"),
-                                  F.col("included").alias("file"), F.lit(1).cast("bigint").alias("depth"))
-    step = edges.select("host", "snapshot_id", F.col("includer").alias("file"), F.col("included").alias("_next"))
+    out = edges.groupBy(*GRAPH, "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("t"))
+    single = materialize(out.where("n = 1").drop("n"))
+    longest = single.groupBy(*GRAPH).count().agg(F.max("count")).first()[0]
+    if longest is None:
+        return edges, None
+    ends = _ends(single, longest.bit_length())
+    onward = single.select(*GRAPH, F.col("a").alias("t"))
+    has_more = out.select(*GRAPH, F.col("a").alias("t"))
+    # 2^steps is more than any chain: who still is at a file with one include goes round in a ring.
+    ringed = materialize(ends.join(onward, [*GRAPH, "t"], "left_semi"))
+    dead = ends.join(has_more, [*GRAPH, "t"], "left_anti")
+    gone = dead.select(*GRAPH, "a").unionByName(ringed.select(*GRAPH, "a"))
+    left = edges.join(gone, [*GRAPH, "a"], "left_anti")
+    heads = left.select(*GRAPH, F.col("a").alias("b")).distinct()
+    return materialize(left.join(heads, [*GRAPH, "b"], "left_semi").select(*GRAPH, "a", "b")), ringed.select(*GRAPH, F.col("t").alias("file")).distinct()
+
+
+def cycle_files(resolved: DataFrame) -> DataFrame:
+    """(host, snapshot, file) of the files whose includes lead back to them.
+
+    Files that lead to no cycle, or that none leads to, are peeled off from both ends until none is left; rings come
+    off whole.  Only files of cycles that cross each other remain, and only they are followed pair by pair.
+    """
+    edges = resolved.select(*GRAPH, F.col("includer").alias("a"), F.col("included").alias("b")).distinct()
+    found = [edges.where("a = b").select(*GRAPH, F.col("a").alias("file"))]
+    edges = edges.where("a <> b")
+    turned = lambda e: e.select(*GRAPH, F.col("b").alias("a"), F.col("a").alias("b"))
+    size, kept_still = None, 0
+    while kept_still < 2 and not edges.isEmpty():
+        edges, ring = _peel(edges)
+        if ring is not None:
+            found.append(ring)
+        now = edges.count()
+        kept_still = kept_still + 1 if now == size else 0
+        size, edges = now, turned(edges)
+    if size:
+        pairs = _closure(edges)
+        found.append(pairs.where("root = file").select(*GRAPH, "file"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _closure(edges: DataFrame) -> DataFrame:
+    """(root, file, depth): every file reached, with the fewest steps.
+
+    Each round joins only the pairs that the round before reached first, and drops pairs already known, so cycles come
+    to an end; the rounds are as many as the longest way.
+    """
+    pair = [*GRAPH, "root", "file"]
+    out = frontier = edges.select(*GRAPH, F.col("a").alias("root"), F.col("b").alias("file"), F.lit(1).cast("bigint").alias("depth"))
+    step = edges.select(*GRAPH, F.col("a").alias("file"), F.col("b").alias("_next"))
     level = 1
     while not frontier.isEmpty():
         level += 1
-        reached = (frontier.where("root <> file").join(step, ["host", "snapshot_id", "file"])
-                   .select("host", "snapshot_id", "root", F.col("_next").alias("file"),
-                           F.lit(level).cast("bigint").alias("depth")).distinct())
+        reached = (frontier.where("root <> file").join(step, [*GRAPH, "file"])
+                   .select(*GRAPH, "root", F.col("_next").alias("file"), F.lit(level).cast("bigint").alias("depth")).distinct())
         frontier = materialize(reached.join(out, pair, "left_anti").select(*pair, "depth"))
         out = out.unionByName(frontier)
-    return out.withColumn("cycle", F.col("root") == F.col("file"))
+    return out
+
+
+def include_expand(files: DataFrame) -> DataFrame:
+    """Every file reached from each file, with the fewest includes; ``cycle`` marks a way back."""
+    edges = materialize(resolve_includes(include_edges(files), files)
+                        .select(*GRAPH, F.col("includer").alias("a"), F.col("included").alias("b")).distinct())
+    return _closure(edges).withColumn("cycle", F.col("root") == F.col("file"))
 
 
 # --- blast radius ------------------------------------------------------------------------------

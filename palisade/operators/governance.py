@@ -87,12 +87,14 @@ def recipe_rules() -> list[Column]:
         _enum("max_privilege_level", C.PRIVILEGES), _enum("schedule_mode", C.SCHEDULES)]
 
 
-def finding_rules(underscore_ids: bool = False) -> list[Column]:
+def finding_rules(underscore_ids: bool = False, four_digits: bool = False) -> list[Column]:
+    """Numbers go on past four digits where ids are handed out; ``four_digits`` refuses those."""
     category = "[A-Z_]+" if underscore_ids else "[A-Z]+"
+    number_of = r"\d{4}" if four_digits else r"\d{4,}"
     number = F.when(_kind("confidence").isin("int", "float"), _val("confidence").try_cast("double"))
     in_range = F.coalesce(number.between(0.0, 1.0), F.lit(False)) | (_kind("confidence") == "bool")
     return _require(C.FINDING_FIELDS) + [
-        _pattern("finding_id", rf"^NH-(AUDIT|LOG|IOC)-{category}-\d{{4}}$"), _filled("category"),
+        _pattern("finding_id", rf"^NH-(AUDIT|LOG|IOC)-{category}-{number_of}$"), _filled("category"),
         _enum("severity", C.SEVERITY_ORDER), F.when(_has("confidence") & ~in_range, F.lit("range:confidence")),
         _typed("source_layers", "list"), _enum("scope", C.SCOPES), _enum("blast_radius", C.RADIUS_ORDER),
         _filled("recommended_action"), _enum("rule_class", ["A", "B", "C", "D"]),
@@ -177,8 +179,11 @@ def exception_state(exceptions: DataFrame, as_of: str) -> DataFrame:
 
 
 def exception_suppress(findings: DataFrame, exceptions: DataFrame, as_of: str) -> DataFrame:
-    """Findings no live exception covers; exceptions aimed at invariants never count."""
-    live = exceptions.where((F.col("review_by") >= as_of) & (F.col("target_kind") == "finding"))
+    """Findings no live exception covers; exceptions aimed at invariants never count.
+
+    Only the newest version of an exception counts, and only with a review date that is one.
+    """
+    live = exception_state(exceptions, as_of).where(F.col("state").isin("active", "expiring") & (F.col("target_kind") == "finding"))
     return findings.join(live.select("finding_id").distinct(), "finding_id", "left_anti")
 
 

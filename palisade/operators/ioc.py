@@ -159,14 +159,13 @@ def rule_impact(clean: DataFrame, rules: DataFrame) -> DataFrame:
 def emergency_eligible(findings: DataFrame) -> DataFrame:
     """Refusal reasons per proposed rule; none means it may go out in an emergency.
 
-    A value that is not known is refused.  Where the table says whether the rule's change passes all
-    invariants (``invariants_pass``), that counts too.
+    A value that is not known is refused, and so is a change of which it is not known whether it passes all
+    invariants: a table without ``invariants_pass`` has no eligible row.
     """
     refuse = lambda ok, reason: F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason))  # noqa: E731  unknown is refused
     checks = [(F.col("rule_class") == "A", "class"), (F.col("blast_radius").isin("exact-location", "server-block"), "scope"),
               (F.col("confidence") >= 0.8, "confidence"), (F.col("ttl").isNotNull(), "ttl"),
-              (F.col("provenance").isNotNull(), "provenance")]
-    if "invariants_pass" in findings.columns:
-        checks.append((F.col("invariants_pass"), "invariants"))
+              (F.col("provenance").isNotNull(), "provenance"),
+              (F.col("invariants_pass") if "invariants_pass" in findings.columns else F.lit(False), "invariants")]
     reasons = F.array_compact(F.array(*[refuse(ok, reason) for ok, reason in checks]))
     return findings.withColumn("refusals", reasons).withColumn("eligible", F.size("refusals") == 0)

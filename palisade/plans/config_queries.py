@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalog as C
 from palisade.operators import config as K
 from palisade.operators import governance as G
+from palisade.operators import ioc as I
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import AS_OF, BACKUP, PROPOSED, view, with_views
 from palisade.plans.governance_queries import EXC_SQL, STATES
@@ -118,7 +119,7 @@ _TLS = _check("tls_floor", r"""
   SELECT file_id, p AS issue FROM (SELECT file_id, unnest(string_split(trim(regexp_extract(text, '(?m)^[ \t]*ssl_protocols[ \t]+([^;\n]+);', 1)), ' ')) AS p FROM c_text) x
   WHERE p IN ('TLSv1', 'TLSv1.1')""")
 add("inv_tls_floor", lambda s, d: K.inv_tls_floor(files(s, d)), over(_TLS, *TEXT))
-add("inv_destructive_git", lambda s, d: K.inv_destructive_git(view(s, d, "commands")), with_views(f"""
+add("inv_destructive_git", lambda s, d: K.inv_destructive_git(view(s, d, "commands")).select("ord", "command", "status"), with_views(f"""
 SELECT ord, command, CASE WHEN {' OR '.join(O.hit('command', p) for p in C.DESTRUCTIVE_GIT)} THEN 'fail' ELSE 'pass' END AS status FROM commands""", "commands"))
 
 _DIFF = (("d_lines", "SELECT DISTINCT host, path, snapshot_id, unnest(string_split(text, chr(10))) AS line FROM config_files"),
@@ -305,8 +306,7 @@ def deploy_gate(s, d):
     expired = G.exception_state(view(s, d, "exceptions"), AS_OF).where("blocks")
     invalid = (G.validate(view(s, d, "exception_records"), "exception").where("NOT valid")
                .select(F.col("f_linked_config_path")["value"].alias("path")))
-    git = (K.inv_destructive_git(view(s, d, "commands").where("ord % 50 = 3")).where("status = 'fail'")
-           .select(F.concat(F.lit("host-"), (F.col("ord") % 997).cast("string")).alias("host")))
+    git = K.inv_destructive_git(view(s, d, "commands")).where("status = 'fail'").select("host")
     return K.deploy_gate(checks, K.check_overall(K.compat_checks(proposed)), "edge-public",
                          {"exception:expired": expired.select(F.col("linked_config_path").alias("path")), "record:invalid": invalid},
                          {"invariant:destructive_git": git})
@@ -321,6 +321,25 @@ SELECT t.host, t.path, r.reasons IS NOT NULL AS blocked, coalesce(r.reasons, '')
     UNION SELECT host, path, 'compat:critical' FROM overall WHERE profile = 'edge-public' AND overall = 'fail' AND snapshot_id = '{PROPOSED}'
     UNION SELECT f.host, f.path, 'exception:expired' FROM config_files f JOIN x_state x ON f.path = x.linked_config_path WHERE x.state = 'expired' AND x.severity_tier = 'critical'
     UNION SELECT f.host, f.path, 'record:invalid' FROM config_files f JOIN ({EXC_SQL}) v ON NOT v.valid JOIN exceptions x ON x.ord = v.ord AND x.linked_config_path = f.path
-    UNION SELECT f.host, f.path, 'invariant:destructive_git' FROM config_files f JOIN commands c ON f.host = concat('host-', CAST(c.ord % 997 AS VARCHAR))
-      WHERE c.ord % 50 = 3 AND ({' OR '.join(O.hit('command', p) for p in C.DESTRUCTIVE_GIT)})) q
+    UNION SELECT f.host, f.path, 'invariant:destructive_git' FROM config_files f JOIN commands c ON f.host = c.host
+      WHERE ({' OR '.join(O.hit('command', p) for p in C.DESTRUCTIVE_GIT)})) q
   GROUP BY 1, 2) r ON r.host = t.host AND r.path = t.path""", "config_files", "exceptions", "exception_records", "commands", ctes=_FULL + RAW[1:] + _PAIR + _DIFF + STATES))
+
+
+def emergency_eligible(s, d):
+    """Whether a proposal passes is asked of its host's files; a host without files is not known."""
+    proposed = parsed(s, d).where(F.col("snapshot_id") == PROPOSED)
+    checks = K.inv_no_negation(proposed).unionByName(K.inv_tls_floor(proposed))
+    passes = checks.groupBy("host").agg(F.bool_and(F.col("status") != "fail").alias("invariants_pass"))
+    findings = view(s, d, "findings").withColumn("host", F.concat(F.lit("host-"), (F.col("ord") % 150).cast("string")))
+    return I.emergency_eligible(findings.join(passes, "host", "left")).select("ord", "eligible", F.array_join("refusals", ",").alias("refusals"))
+
+
+add("emergency_eligible", emergency_eligible, with_views(f"""
+SELECT ord, refusals = '' AS eligible, refusals FROM (SELECT f.ord, concat_ws(',', CASE WHEN rule_class <> 'A' THEN 'class' END,
+  CASE WHEN blast_radius NOT IN ('exact-location', 'server-block') THEN 'scope' END, CASE WHEN confidence < 0.8 THEN 'confidence' END,
+  CASE WHEN ttl IS NULL THEN 'ttl' END, CASE WHEN provenance IS NULL THEN 'provenance' END,
+  CASE WHEN NOT coalesce(p.ok, false) THEN 'invariants' END) AS refusals
+  FROM findings f LEFT JOIN (SELECT host, bool_and(status <> 'fail') AS ok FROM (
+    SELECT host, status FROM ({_NEGATION}) e WHERE snapshot_id = '{PROPOSED}' UNION ALL SELECT host, status FROM ({_TLS}) g WHERE snapshot_id = '{PROPOSED}') c
+    GROUP BY host) p ON p.host = concat('host-', CAST(f.ord % 150 AS VARCHAR))) x""", "findings", "config_files", ctes=RAW))

@@ -279,8 +279,3 @@ add("rule_impact", lambda s, d: I.rule_impact(clean(s, d), view(s, d, "rules")),
     O.over_sanitized(f"""SELECT r.modifier, r.pattern, CAST(sum(s.count) AS BIGINT) AS hits, count(DISTINCT s.remote_addr) AS sources,
       round(CAST(sum(CASE WHEN s.status_bucket = '2xx' THEN s.count ELSE 0 END) AS DOUBLE) / CAST(sum(s.count) AS DOUBLE), 6) AS ok_share
       FROM sanitized s JOIN r_want r ON {_takes('s.path')} GROUP BY 1, 2""", "rules", ctes=RULE_PAIRS))
-add("emergency_eligible", lambda s, d: I.emergency_eligible(view(s, d, "findings")).select(
-        "ord", "eligible", F.array_join("refusals", ",").alias("refusals")),
-    with_views("""SELECT ord, refusals = '' AS eligible, refusals FROM (SELECT ord, concat_ws(',', CASE WHEN rule_class <> 'A' THEN 'class' END,
-      CASE WHEN blast_radius NOT IN ('exact-location', 'server-block') THEN 'scope' END, CASE WHEN confidence < 0.8 THEN 'confidence' END,
-      CASE WHEN ttl IS NULL THEN 'ttl' END, CASE WHEN provenance IS NULL THEN 'provenance' END) AS refusals FROM findings) x""", "findings"))

@@ -243,7 +243,8 @@ COMMANDS = """
 SELECT event_id AS ord, CASE event_id % 9 WHEN 0 THEN 'git push --force origin main'
   WHEN 1 THEN 'git push origin main' WHEN 2 THEN 'git reset --hard HEAD~1' WHEN 3 THEN 'git checkout .'
   WHEN 4 THEN 'git checkout -- . ' WHEN 5 THEN 'git clean -fd' WHEN 6 THEN 'git branch -D old'
-  WHEN 7 THEN concat('git commit -m event', CAST(event_id AS STRING)) ELSE 'git clean -f' END AS command
+  WHEN 7 THEN concat('git commit -m event', CAST(event_id AS STRING)) ELSE 'git clean -f' END AS command,
+  concat('host-', CAST(CASE WHEN event_id % 9 IN (1, 7) THEN user_id % 997 ELSE 3 * (user_id % 31) END AS STRING)) AS host
 FROM events
 """
 

@@ -84,7 +84,7 @@ RECIPE = _req(C.RECIPE_FIELDS) + [
     _bad("max_privilege_level", O.in_list(_v("max_privilege_level"), C.PRIVILEGES), "enum"),
     _bad("schedule_mode", O.in_list(_v("schedule_mode"), C.SCHEDULES), "enum")]
 FIND = _req(C.FINDING_FIELDS) + [
-    _bad("finding_id", f"regexp_matches({_v('finding_id')}, '^NH-(AUDIT|LOG|IOC)-[A-Z]+-\\d{{4}}$')", "format"),
+    _bad("finding_id", f"regexp_matches({_v('finding_id')}, '^NH-(AUDIT|LOG|IOC)-[A-Z]+-\\d{{4,}}$')", "format"),
     _bad("category", _text_ok("category"), "empty"), _bad("severity", O.in_list(_v("severity"), C.SEVERITY_ORDER), "enum"),
     _bad("confidence", f"coalesce(try_cast({_v('confidence')} AS DOUBLE) BETWEEN 0 AND 1, false)", "range"),
     _bad("source_layers", _list("source_layers"), "type"), _bad("scope", O.in_list(_v("scope"), C.SCOPES), "enum"),
@@ -184,8 +184,10 @@ STATES = (
 add("exception_state", lambda s, d: G.exception_state(view(s, d, "exceptions"), AS_OF),
     with_views("SELECT *, state = 'expired' AND severity_tier = 'critical' AS blocks FROM x_state", "exceptions", ctes=STATES))
 add("exception_suppress", lambda s, d: G.exception_suppress(view(s, d, "findings"), view(s, d, "exceptions"), "2000-06-01").select("ord", "finding_id"),
-    with_views("""SELECT ord, finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM exceptions e WHERE e.finding_id = f.finding_id
-      AND e.review_by >= '2000-06-01' AND e.target_kind = 'finding')""", "findings", "exceptions"))
+    with_views("""SELECT ord, finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM (
+        SELECT *, row_number() OVER (PARTITION BY exception_id ORDER BY last_reviewed_at DESC, ord DESC) AS version FROM exceptions) e
+      WHERE e.version = 1 AND e.finding_id = f.finding_id AND try_cast(e.review_by AS DATE) >= DATE '2000-06-01' AND e.target_kind = 'finding')""",
+      "findings", "exceptions"))
 add("validation_rollup", lambda s, d: G.validation_rollup(
         G.validate(view(s, d, "exception_records"), "exception"), G.exception_state(view(s, d, "exceptions"), AS_OF)),
     with_views(f"""SELECT count(*) AS total, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE NOT valid) AS invalid,

@@ -37,7 +37,7 @@ def parse_frontmatter(records: DataFrame, text: str = "text") -> DataFrame:
     typed = F.expr(rf"""
       transform(_e, e -> CASE
         WHEN e.items <> '' THEN named_struct('key', e.key, 'kind', 'list', 'value', '',
-             'items', transform(split(rtrim(e.items), '\n'), x -> trim(substring(x, 5))))
+             'items', transform(split(trim(TRAILING '\n ' FROM e.items), '\n'), x -> trim(substring(x, 5))))
         WHEN startswith(e.v, '[') AND endswith(e.v, ']') THEN named_struct('key', e.key, 'kind', 'list', 'value', '',
              'items', CASE WHEN trim(substring(e.v, 2, length(e.v) - 2)) = '' THEN cast(array() AS array<string>)
                       ELSE transform(split(substring(e.v, 2, length(e.v) - 2), ','), x -> trim(BOTH "'" FROM trim(BOTH '"' FROM trim(x)))) END)
@@ -91,7 +91,7 @@ def record_fields(records: DataFrame, names: list[str], text: str = "text", nest
     typed = lambda n: F.expr(rf"""  -- one key
       CASE WHEN _p_{n} IS NULL THEN NULL
         WHEN _v_{n} IN ('', '[]') AND startswith(substring(_p_{n}, instr(_p_{n}, '\n')), '\n  - ') THEN
-          named_struct('kind', 'list', 'value', '', 'items', transform(split(rtrim(
+          named_struct('kind', 'list', 'value', '', 'items', transform(split(trim(TRAILING '\n ' FROM
             regexp_extract(substring(_p_{n}, instr(_p_{n}, '\n') + 1), r'{items}', 1)), r'\n(?=  - )'), x -> trim(substring(x, 5))))
         WHEN startswith(_v_{n}, '[') AND endswith(_v_{n}, ']') THEN named_struct('kind', 'list', 'value', '', 'items',
           CASE WHEN trim(substring(_v_{n}, 2, length(_v_{n}) - 2)) = '' THEN cast(array() AS array<string>)

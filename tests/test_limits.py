@@ -1,6 +1,7 @@
 """What must hold beyond small inputs: long chains, large numbers, bad dates, files on one side only."""
 
 import json
+import random
 
 from palisade.operators import config as K
 from palisade.operators import detect as D
@@ -10,6 +11,7 @@ from palisade.operators import ioc as I
 from palisade.sinks import outputs
 from palisade.sources import access_log as A
 from palisade.sources import feeds
+from palisade.sources import records as rec
 
 FILES = "file_id string, host string, path string, snapshot_id string, text string"
 
@@ -82,9 +84,46 @@ def test_feeds_survive_bad_entries(spark):
 
 
 def test_unknown_values_are_refused(spark):
-    df = spark.createDataFrame([("A", "server-block", None, "1d", "feed"), (None, None, 0.9, "1d", "feed"), ("A", "server-block", 0.9, "1d", "feed")],
-                               "rule_class string, blast_radius string, confidence double, ttl string, provenance string")
-    assert [list(r.refusals) for r in I.emergency_eligible(df).collect()] == [["confidence"], ["class", "scope"], []]
+    df = spark.createDataFrame([("A", "server-block", None, "1d", "feed", True), (None, None, 0.9, "1d", "feed", True), ("A", "server-block", 0.9, "1d", "feed", True),
+                                ("A", "server-block", 0.9, "1d", "feed", None), ("A", "server-block", 0.9, "1d", "feed", False)],
+                               "rule_class string, blast_radius string, confidence double, ttl string, provenance string, invariants_pass boolean")
+    assert [list(r.refusals) for r in I.emergency_eligible(df).collect()] == [["confidence"], ["class", "scope"], [], ["invariants"], ["invariants"]]
+    assert not any(r.eligible for r in I.emergency_eligible(df.drop("invariants_pass")).collect())
+
+
+def test_only_the_newest_readable_exception_suppresses(spark):
+    findings = spark.createDataFrame([(k, f"NH-LOG-X-000{k}") for k in range(1, 6)], "ord int, finding_id string")
+    rows = [("E1", "NH-LOG-X-0001", "finding", "high", "2026-01-01", 1, "soon"), ("E2", "NH-LOG-X-0002", "finding", "high", "2026-01-01", 2, "2027-01-01"),
+            ("E2", "NH-LOG-X-0002", "finding", "high", "2026-02-01", 3, "2026-02-15"), ("E3", "NH-LOG-X-0003", "invariant", "high", "2026-01-01", 4, "2027-01-01"),
+            ("E4", "NH-LOG-X-0004", "finding", "high", "2026-01-01", 5, "2026-03-01")]
+    exceptions = spark.createDataFrame(rows, "exception_id string, finding_id string, target_kind string, severity_tier string, last_reviewed_at string, ord int, review_by string")
+    left = G.exception_suppress(findings, exceptions, "2026-03-01").collect()
+    assert sorted(r.ord for r in left) == [1, 2, 3, 5]
+
+
+def test_nested_steps_of_recipes(spark):
+    text = "---\nsteps:\n  - action: deploy\n    params:\n      target_path: /x\n      reload_nginx: true\n      paths:\n        - a\n        - 'b'\n    action: sync-repos\n  - plain words\n  - action: [p, q]\nodd line\nsteps_after: 1\n---\n"
+    row = rec.record_fields(spark.createDataFrame([(text,)], "text string"), ["steps", "steps_after", "none"], nested=True).select(
+        "*", rec.item_maps("f_steps.items").alias("maps")).first()
+    assert [dict(m) for m in row.maps] == [
+        {"params": [], "params.target_path": ["/x"], "params.reload_nginx": ["true"], "params.paths": ["a", "b"], "action": ["sync-repos"]}, {}, {"action": ["p", "q"]}]
+    assert row.parse_errors == ["unparseable: odd line"] and row.f_steps_after.value == "1" and row.f_none is None
+
+
+def test_fields_equal_the_entries(spark):
+    """The fast cut by last occurrence against the general one."""
+    rng = random.Random(9)
+    lines = ["a: 1", "a:", "a: []", "b: [x, 'y']", "  - item", "  - 5", "b: true", "c: 'q'", "# note", "", "  # far", "stray", " c: x", "c: 1.5", "a:  - z", "\t"]
+    texts = ["\n\n ---\n" + "\n".join(rng.choices(lines, k=rng.randrange(9))) + "\n---\na: out" for _ in range(400)] + ["", "---", "---\na: 1", "no", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    entries = rec.parse_frontmatter(df).collect()
+    fields = rec.record_fields(df, ["a", "b", "c"]).collect()
+    for e, f in zip(entries, fields, strict=True):
+        assert f.parse_errors == (e.parse_errors or ["no frontmatter"] * (e.parse_errors is None)), e.text
+        for name in "abc":
+            last = [x for x in e.entries or [] if x.key == name][-1:]
+            assert ([f[f"f_{name}"][k] for k in ("kind", "value", "items")] if f[f"f_{name}"] else None) == (
+                [last[0][k] for k in ("kind", "value", "items")] if last else None), e.text
 
 
 def test_query_strings_count(spark):
