@@ -41,17 +41,20 @@ def burst_detect(clean: DataFrame, seconds: int = 2, at_least: int = 3) -> DataF
             .select("ord", "remote_addr", "path_class", "probes"))
 
 
-def sequence_probe(clean: DataFrame, seconds: int, steps: tuple[str, str, str]) -> DataFrame:
-    """Sources that ask for three given path parts one right after the other within ``seconds``."""
+def sequence_probe(clean: DataFrame, seconds: int, steps: tuple[str, ...]) -> DataFrame:
+    """Requests that complete an ordered sequence of path parts by one source within ``seconds``.
+
+    Other requests may lie between the steps.  For each step, a request that holds it carries the latest start of a
+    sequence up to the step before; all steps share one order, so they cost one shuffle and one sort.
+    """
     order = Window.partitionBy("remote_addr", "_slice").orderBy("_us", "ord")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = sliced(clean.select("ord", "remote_addr", "path", "ts"), seconds)
-    back = rows.withColumns({
-        "_p1": F.lag("path", 1).over(order), "_p2": F.lag("path", 2).over(order),
-        "_us2": F.lag("_us", 2).over(order)})
-    hit = (F.col("path").contains(steps[2]) & F.col("_p1").contains(steps[1])
-           & F.col("_p2").contains(steps[0])
-           & (F.col("_us") - F.col("_us2") <= seconds * 1_000_000))
-    return (back.where((F.col("_slice") == F.col("_own")) & hit)
+    rows = rows.withColumn("_start", F.when(F.col("path").contains(steps[0]), F.col("_us")))
+    for step in steps[1:]:
+        rows = rows.withColumn("_earlier", F.max("_start").over(before)).withColumn(
+            "_start", F.when(F.col("path").contains(step), F.col("_earlier"))).drop("_earlier")
+    return (rows.where((F.col("_slice") == F.col("_own")) & (F.col("_us") - F.col("_start") <= seconds * 1_000_000))
             .select("ord", "remote_addr", F.col("path").alias("last_path")))
 
 

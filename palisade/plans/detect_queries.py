@@ -11,8 +11,10 @@ from palisade.operators import events as E
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import view, with_views
 from palisade.plans.log_queries import DEDUP, clean
-from palisade.session import new_folder
+from palisade.session import materialize, new_folder
+from palisade.sinks import batches as B
 from palisade.sinks import outputs as K
+from palisade.sinks.outputs import with_day
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,11 +38,21 @@ WHERE probes >= 2"""))
 add("brute_force", lambda s, d: D.hashed(D.brute_force(clean(s, d)), SALT), O.over_sanitized(f"""
 SELECT strftime(time_bucket(INTERVAL 5 MINUTES, ts), {_ISO}) AS slot, {_ADDR}, CAST(sum(count) AS BIGINT) AS requests FROM sanitized
 WHERE regexp_matches(path, '(?i)(login|signin|auth|session|xmlrpc)') GROUP BY 1, remote_addr HAVING sum(count) > 5"""))
-_STEPS = ("/", "/", ".")
-add("sequence_probe", lambda s, d: D.hashed(D.sequence_probe(clean(s, d), 14400, _STEPS), SALT), O.over_sanitized(f"""
-SELECT ord, {_ADDR}, path AS last_path FROM (SELECT *, lag(path, 1) OVER w AS p1, lag(path, 2) OVER w AS p2, lag(ts, 2) OVER w AS t2
-  FROM sanitized WINDOW w AS (PARTITION BY remote_addr ORDER BY ts, ord)) x
-WHERE contains(path, '.') AND contains(p1, '/') AND contains(p2, '/') AND epoch_us(ts) - epoch_us(t2) <= 14400000000"""))
+
+
+def _sequence(name, seconds, steps):
+    """Any later request of the source may be the next step; the oracle joins the steps in pairs."""
+    froms = "sanitized s" + "".join(
+        f" JOIN sanitized p{k} ON p{k}.remote_addr = s.remote_addr AND contains(p{k}.path, {O.q(step)}) AND (p{k}.ts, p{k}.ord) < ({nxt}.ts, {nxt}.ord)"
+        for k, step, nxt in reversed([(k, step, f"p{k + 1}" if k + 2 < len(steps) else "s") for k, step in enumerate(steps[:-1])]))
+    add(name, lambda s, d: D.hashed(D.sequence_probe(clean(s, d), seconds, steps), SALT), O.over_sanitized(f"""
+SELECT DISTINCT s.ord, sha256(concat('{SALT}', s.remote_addr)) AS remote_addr, s.path AS last_path FROM {froms}
+WHERE contains(s.path, {O.q(steps[-1])}) AND epoch_us(s.ts) - epoch_us(p0.ts) <= {seconds}000000"""))
+
+
+# Hours instead of seconds, so that the sparse test data has sequences at all.
+_sequence("sequence_probe", 14400, ("login", "env", "api"))
+_sequence("sequence_probe_long", 86400, ("index", "login", "env", "git"))
 
 
 def _anomaly(series, keys, factor, floor):
@@ -198,6 +210,22 @@ add("write_events", write_events, O.over_sanitized("""
 SELECT substr(timestamp, 1, 10) AS dt, path_class, count(*) AS events, CAST(sum(count) AS BIGINT) AS hits FROM deduped GROUP BY 1, 2""", ctes=DEDUP))
 
 
+def write_event_batches(spark, d):
+    """Three micro-batches by the streaming sink, one of them tried twice and one run again with other rows."""
+    folder, events = new_folder(spark, "batches"), materialize(E.dedup_events(clean(spark, d)))
+    part = lambda n: events.where(F.col("ord") % 3 == n)
+    for n in (0, 1, 2):
+        with_day(part(n)).limit(5).withColumn("batch", F.lit(n).cast("bigint")).write.mode("append").partitionBy("dt", "batch").parquet(f"{folder}/data")
+        B.write_event_batch(part(n), n, folder)
+    B.write_event_batch(part(0), 1, folder)
+    return B.read_batches(spark, folder).withColumn("dt", F.col("dt").cast("string")).groupBy("dt", "path_class").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("count").alias("hits"))
+
+
+add("write_event_batches", write_event_batches, O.over_sanitized("""
+SELECT substr(timestamp, 1, 10) AS dt, path_class, count(*) AS events, CAST(sum(count) AS BIGINT) AS hits FROM deduped GROUP BY 1, 2""", ctes=DEDUP))
+
+
 def report_json(spark, d):
     report = K.report_json(G.staleness_summary(staleness(spark, d)), E.hits_by_class(clean(spark, d)))
     field = lambda path: F.get_json_object("report", path)

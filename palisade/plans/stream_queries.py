@@ -9,7 +9,7 @@ from palisade.plans import oracle as O
 from palisade.plans.detect_queries import SALT
 from palisade.plans.fixtures import view, with_views
 from palisade.plans.log_queries import access, clean
-from palisade.session import table
+from palisade.session import new_folder, table
 from palisade.sources import configs as F_
 from palisade.streaming import streams as R
 
@@ -71,6 +71,19 @@ add("feed_upsert", lambda s, d: R.latest_indicators(view(s, d, "indicators").wit
     with_views("""SELECT type, value, first_seen AS seen_at, confidence, source FROM indicators
       QUALIFY row_number() OVER (PARTITION BY type, value ORDER BY first_seen DESC, confidence DESC, source DESC) = 1""", "indicators"))
 
+
+
+def feed_upsert_batches(s, d):
+    """The table after four micro-batches, some run again, the way a stream writes it."""
+    rows = view(s, d, "indicators").withColumnRenamed("first_seen", "seen_at")
+    folder = new_folder(s, "indicators")
+    for n, part in ((0, 0), (1, 1), (1, 1), (2, 2), (3, 3), (2, 0)):
+        R.feed_upsert(rows.where(F.pmod(F.length("value") + F.length("source"), F.lit(4)) == part), n, folder, 16)
+    return R.read_indicators(s, folder).select("type", "value", "seen_at", "confidence", "source")
+
+
+add("feed_upsert_batches", feed_upsert_batches, ORACLES["feed_upsert"])
+
 # --- snapshots as they lie on disk -------------------------------------------------------------
 
 

@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators.ioc import address_part
+from palisade.session import materialize
+from palisade.sinks.batches import delete, names, write_batch
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -110,21 +113,66 @@ def latest_indicators(rows: DataFrame) -> DataFrame:
         F.max_by(F.struct(*cols), F.struct("seen_at", "confidence", "source")).alias("x")).select("type", "value", "x.*")
 
 
-def feed_upsert(batch: DataFrame, batch_id: int, table: str) -> None:
-    """Merge a micro-batch into the next version of a parquet table.
+def _manifest(spark: SparkSession, table: str) -> tuple[int, dict[int, str]]:
+    """The newest committed version (-1 if there is none) and the folder of each of its buckets."""
+    done = [int(n[2:]) for n in names(spark, f"{table}/manifest")
+            if n.startswith("v=") and "_SUCCESS" in names(spark, f"{table}/manifest/{n}")]
+    if not done:
+        return -1, {}
+    # One row per bucket: bounded by the number of buckets.
+    return max(done), {r.bucket: r.folder for r in spark.read.parquet(f"{table}/manifest/v={max(done)}").collect()}
 
-    Versions are named by batch id, so a batch that is run again overwrites its own version only.
+
+def feed_upsert(batch: DataFrame, batch_id: int, table: str, buckets: int = 64) -> None:
+    """Merge a micro-batch into a table of hash buckets; only buckets that the batch touches are written anew.
+
+    A version is a manifest that names each bucket's folder, written last, so a batch that was cut short changes
+    nothing and one that is committed is not merged again.  Folders that neither this version nor the one before
+    names are dropped; readers of the version before stay whole.  A table keeps its number of buckets.
     """
     spark: SparkSession = batch.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
-    if fs.exists(path):
-        done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path)
-                if s.getPath().getName().startswith("v=")
-                and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    earlier = [v for v in done if v < batch_id]
-    rows = batch
-    if earlier:
-        rows = rows.unionByName(spark.read.parquet(f"{table}/v={max(earlier)}"))
-    latest_indicators(rows).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    version, old = _manifest(spark, table)
+    if batch_id <= version:
+        return
+    bucket = F.pmod(F.xxhash64("type", "value"), F.lit(buckets)).cast("int")
+    fresh = materialize(latest_indicators(batch).withColumn("bucket", bucket))
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+    known = [f"{table}/{old[b]}" for b in touched if b in old]
+    rows = fresh.drop("bucket")
+    if known:
+        rows = rows.unionByName(spark.read.parquet(*known))
+    merged = latest_indicators(rows).withColumn("bucket", bucket)
+    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/v={batch_id}")
+    now = old | {b: f"data/v={batch_id}/bucket={b}" for b in touched}
+    if not now:
+        return
+    spark.createDataFrame(sorted(now.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(
+        f"{table}/manifest/v={batch_id}")
+    named = {*now.values(), *old.values()}
+    for v in names(spark, f"{table}/data"):
+        left = [b for b in names(spark, f"{table}/data/{v}") if b.startswith("bucket=")]
+        gone = [b for b in left if f"data/{v}/{b}" not in named]
+        for b in gone:
+            delete(spark, f"{table}/data/{v}/{b}")
+        if len(gone) == len(left):
+            delete(spark, f"{table}/data/{v}")
+    for m in names(spark, f"{table}/manifest"):
+        if m.startswith("v=") and int(m[2:]) < version:
+            delete(spark, f"{table}/manifest/{m}")
+
+
+def read_indicators(spark: SparkSession, table: str) -> DataFrame:
+    """The newest committed version of an indicator table."""
+    _, folders = _manifest(spark, table)
+    if not folders:
+        raise ValueError(f"no committed version in {table}")
+    return spark.read.parquet(*[f"{table}/{f}" for f in folders.values()])
+
+
+def stream_ioc(clean: DataFrame, table: str, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Live rows on indicator addresses, each micro-batch against the table's newest version, committed once."""
+    def match(batch: DataFrame, batch_id: int) -> None:
+        write_batch(ioc_hits(batch, read_indicators(batch.sparkSession, table)), batch_id, folder, [])
+
+    return (clean.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

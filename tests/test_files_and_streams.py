@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import os
 
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from palisade.operators import events as E
 from palisade.operators import governance as Gv
 from palisade.plans import fixtures
+from palisade.sinks import batches as B
 from palisade.sinks import outputs as K
 from palisade.sources import access_log as A
 from palisade.sources import configs, feeds, records
@@ -149,11 +151,72 @@ def test_rules_expire_on_event_time(spark, tmp_path):
     assert [(r.rule_id, r.expired_at_ms) for r in out] == [("r1", 1767355200000)]
 
 
+INDICATOR = "type string, value string, seen_at string, confidence double, source string"
+
+
 def test_feed_upsert_keeps_latest_and_reruns_safely(spark, tmp_path):
-    path, schema = str(tmp_path / "ind"), "type string, value string, seen_at string, confidence double, source string"
-    first = spark.createDataFrame([("ip", "1.1.1.1", "2026-01-01", 0.5, "a"), ("ip", "2.2.2.2", "2026-01-01", 0.5, "a")], schema)
-    second = spark.createDataFrame([("ip", "1.1.1.1", "2026-01-02", 0.9, "b")], schema)
-    for n, batch in ((0, first), (1, second), (1, second)):
-        R.feed_upsert(batch, n, path)
-    got = {(r.value, r.seen_at) for r in spark.read.parquet(f"{path}/v=1").collect()}
-    assert got == {("1.1.1.1", "2026-01-02"), ("2.2.2.2", "2026-01-01")}
+    path = str(tmp_path / "ind")
+    first = spark.createDataFrame([("ip", f"1.1.1.{k}", "2026-01-01", 0.5, "a") for k in range(40)], INDICATOR)
+    second = spark.createDataFrame([("ip", "1.1.1.1", "2026-01-02", 0.9, "b")], INDICATOR)
+    for n, batch in ((0, first), (1, second), (1, first.where("false")), (1, second), (2, second.where("false"))):
+        R.feed_upsert(batch, n, path, 8)
+    got = {(r.value, r.seen_at) for r in R.read_indicators(spark, path).collect()}
+    assert got == {("1.1.1.1", "2026-01-02")} | {(f"1.1.1.{k}", "2026-01-01") for k in range(40) if k != 1}
+    version, folders = R._manifest(spark, path)
+    # One bucket was touched after the first batch; the others stand as they were written.
+    assert version == 2 and sorted(f.split("/")[1] for f in folders.values()) == ["v=0"] * (len(folders) - 1) + ["v=1"]
+    third = spark.createDataFrame([("ip", f"1.1.1.{k}", "2026-01-03", 0.5, "a") for k in range(40)], INDICATOR)
+    R.feed_upsert(third, 3, path, 8)
+    R.feed_upsert(third.limit(1), 4, path, 8)
+    kept = sorted(os.listdir(f"{path}/data"))
+    assert "v=0" not in kept and "v=1" not in kept and R.read_indicators(spark, path).where("seen_at = '2026-01-03'").count() == 40
+    assert sorted(n for n in os.listdir(f"{path}/manifest")) == ["v=3", "v=4"]
+
+
+def test_a_cut_short_upsert_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ind")
+    row = lambda seen: spark.createDataFrame([("ip", "1.1.1.1", seen, 0.5, "a")], INDICATOR)
+    R.feed_upsert(row("2026-01-01"), 0, path, 4)
+    monkeypatch.setattr(R, "_manifest", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        R.feed_upsert(row("2026-01-02"), 1, path, 4)
+    monkeypatch.undo()
+    assert [r.seen_at for r in R.read_indicators(spark, path).collect()] == ["2026-01-01"]
+    R.feed_upsert(row("2026-01-02"), 1, path, 4)
+    assert [r.seen_at for r in R.read_indicators(spark, path).collect()] == ["2026-01-02"]
+
+
+def test_event_sink_survives_a_kill_and_a_replay(spark, landed, tmp_path, monkeypatch):
+    rows, folder, _ = landed
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    source, clean_rows = str(tmp_path / "in"), E.dedup_events(E.sanitize_events(rows))
+    events = clean_rows.select("ord", "timestamp_bucket", "path_class", "count")
+    start = lambda: B.stream_events(spark.readStream.schema(events.schema).parquet(source), out, ck)
+    events.where("ord % 2 = 0").coalesce(1).write.mode("append").parquet(source)
+    start().awaitTermination()
+    events.where("ord % 2 = 1").coalesce(1).write.mode("append").parquet(source)
+    with monkeypatch.context() as m:
+        m.setattr(B, "_commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(Exception, match="killed"):
+            start().awaitTermination()
+    assert {r.ord for r in B.read_batches(spark, out).collect()} == {r.ord for r in events.where("ord % 2 = 0").collect()}
+    start().awaitTermination()
+    want = sorted((r.ord, r["count"]) for r in events.collect())
+    assert sorted((r.ord, r["count"]) for r in B.read_batches(spark, out).collect()) == want
+    B.write_event_batch(events.limit(3), 1, out)
+    assert sorted((r.ord, r["count"]) for r in B.read_batches(spark, out).collect()) == want
+    plan = B.read_batches(spark, out).where("dt = '2024-01-05'")._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*dt#", plan)
+
+
+def test_live_hits_see_a_new_version_of_the_indicators(spark, tmp_path):
+    table, source, out, ck = (str(tmp_path / n) for n in ("ind", "in", "out", "ck"))
+    rows = spark.createDataFrame([(1, "1.1.1.1", "dotfile", 2), (2, "2.2.2.2", "dotfile", 3)], "ord bigint, remote_addr string, path_class string, count bigint")
+    start = lambda: R.stream_ioc(spark.readStream.schema(rows.schema).parquet(source), table, out, ck).awaitTermination()
+    R.feed_upsert(spark.createDataFrame([("ip", "1.1.1.1:80", "2026-01-01", 0.5, "a")], INDICATOR), 0, table, 4)
+    rows.coalesce(1).write.mode("append").parquet(source)
+    start()
+    R.feed_upsert(spark.createDataFrame([("ip", "2.2.2.2", "2026-01-02", 0.5, "a")], INDICATOR), 1, table, 4)
+    rows.selectExpr("ord + 10 AS ord", "remote_addr", "path_class", "count").coalesce(1).write.mode("append").parquet(source)
+    start()
+    assert sorted(r.ord for r in B.read_batches(spark, out).collect()) == [1, 11, 12]

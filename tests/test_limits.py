@@ -173,6 +173,15 @@ def test_busy_sources_are_cut_by_reach(spark):
     assert sorted(r.ord for r in found) == [i for i in range(900) if i % 3 == 2]
 
 
+def test_other_requests_may_lie_between_the_steps(spark):
+    asked = ["/a", "/x", "/b", "/a", "/x", "/c", "/d", "/b", "/c", "/d", "/d"]
+    rows = spark.createDataFrame([(i, "1.1.1.1", p, float(i)) for i, p in enumerate(asked)] + [(50, "2.2.2.2", "/d", 9.0)],
+                                 "ord bigint, remote_addr string, path string, s double").selectExpr("*", "timestamp_seconds(1700000000 + s) as ts")
+    hits = lambda seconds: sorted(r.ord for r in D.sequence_probe(rows, seconds, ("a", "b", "c", "d")).collect())
+    # 0 a, 2 b, 5 c, 6 d take 6 seconds; 3 a, 7 b, 8 c, 9 d and 10 d take 6 and 7.
+    assert (hits(5), hits(6), hits(7)) == ([], [6, 9], [6, 9, 10])
+
+
 def test_errors_near_in_time(spark):
     at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
     gate = spark.createDataFrame([(at(299), 1), (at(905), 2)], "t string, count bigint").selectExpr("cast(t as timestamp) ts", "count")
