@@ -9,6 +9,7 @@ from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators.numbering import number_rows
 from palisade.session import materialize
+from palisade.sinks.batches import names
 from palisade.sources.access_log import l1_rows, parse_access_log
 
 KEY4 = ["path_class", "user_agent_family", "method_class", "status_bucket"]
@@ -24,27 +25,79 @@ def l1_group(rows: DataFrame) -> DataFrame:
     )
 
 
-def sanitize_events(rows: DataFrame) -> DataFrame:
-    """Typed columns from raw ones; narrow, so it runs inside the scan stage."""
-    decoded = rows.select(
+#: Most bytes of distinct raw values that go out as a dictionary; beyond it every row is cleaned where it is.
+DICTIONARY_BYTES = 32_000_000
+SMALL_DICTIONARY = 1_000_000
+
+
+def _cleaned(values: DataFrame, *fields: str) -> DataFrame:
+    """Raw hex columns ``_hex_<field>`` to cleaned text, and the labels of the text."""
+    decoded = values.withColumns({f: S.hex_decode(F.col(f"_hex_{f}")) for f in fields})
+    # Each stage is its own projection: later ones read a column, not a copy of its expression.
+    searched = decoded.withColumns({f"_{f}": F.lower(f) for f in fields})
+    stripped = searched.withColumns({
+        f: S.strip_injection(F.col(f), S.may_hold_injection(f"_{f}")) for f in fields})
+    safe = stripped.withColumns({f: S.truncate(S.drop_unsafe(S.strip_templates(F.col(f)))) for f in fields})
+    out = safe.withColumns({f"_{f}": F.lower(f) for f in fields})
+    if "path" in fields:
+        out = out.withColumn("path_class", S.classify_path("_path"))
+    if "ua" in fields:
+        out = out.withColumn("scanner_family", S.scanner_family("_ua")).withColumn(
+            "user_agent_family", S.ua_family(F.col("ua"), F.col("scanner_family")))
+    return out.drop(*[f"_{f}" for f in fields])
+
+
+def _dictionaries(rows: DataFrame, folder: str | None) -> tuple[DataFrame, DataFrame] | None:
+    """Distinct raw paths and agents with all that is made of them; None where they are too many to broadcast.
+
+    A ``folder`` keeps them between runs: then only values that it lacks are cleaned.
+    """
+    spark = rows.sparkSession
+    seen = materialize(rows.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f"_hex_{f}").alias("hex")) for f in ("path", "ua")])).alias("v")).select("v.*").distinct())
+    size = seen.agg(F.coalesce(F.sum(F.octet_length("hex") + 64), F.lit(0))).first()[0]
+    if size > DICTIONARY_BYTES:
+        return None
+    # A small dictionary is cheaper to make again for each reader than to write.
+    keep = materialize if size > SMALL_DICTIONARY else lambda df: df
+
+    def of(field: str) -> DataFrame:
+        values = seen.where(F.col("field") == field).select(F.col("hex").alias(f"_hex_{field}"))
+        if folder is None:
+            return _cleaned(values, field)
+        known = f"{folder}/{field}"
+        fresh = values
+        if names(spark, known):
+            fresh = values.join(spark.read.parquet(known).select(f"_hex_{field}"), f"_hex_{field}", "left_anti")
+        _cleaned(fresh, field).write.mode("append").parquet(known)
+        # A value may be stored twice, by two jobs at once.
+        return spark.read.parquet(known).join(values, f"_hex_{field}", "left_semi").dropDuplicates([f"_hex_{field}"])
+
+    return keep(of("path")), keep(of("ua"))
+
+
+def sanitize_events(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
+    """Typed columns from raw ones; rows are not moved.
+
+    Distinct raw paths and agents are few next to rows.  They are cleaned and classified once and rows meet them by
+    value, by broadcast up to a checked size.  Beyond it, and in streams, each row is cleaned in the scan stage; the
+    result is the same.  ``dictionary`` is a folder that keeps the cleaned values between runs.
+    """
+    raw = rows.select(
         "ord", F.trim("remote_addr").alias("remote_addr"), F.trim("timestamp").alias("timestamp"),
         *([F.col("ts")] if "ts" in rows.columns else []),
         S.validate_method(F.col("method")).alias("method_class"),
         S.status_bucket(F.col("status")).alias("status_bucket"), F.col("count"),
-        S.hex_decode(F.trim("hex_path")).alias("path"),
-        S.hex_decode(F.trim("hex_user_agent")).alias("ua"))
-    # Each stage is its own projection: later ones read a column, not a copy of its expression.
-    searched = decoded.withColumns({f"_{f}": F.lower(f) for f in ("path", "ua")})
-    stripped = searched.withColumns({
-        f: S.strip_injection(F.col(f), S.may_hold_injection(f"_{f}")) for f in ("path", "ua")})
-    safe = stripped.withColumns({f: S.truncate(S.drop_unsafe(S.strip_templates(F.col(f))))
-                                 for f in ("path", "ua")})
-    lowered = safe.withColumns({"_path": F.lower("path"), "_ua": F.lower("ua")})
-    named = lowered.withColumns({"path_class": S.classify_path("_path"),
-                                 "scanner_family": S.scanner_family("_ua")})
-    return named.withColumns({
-        "user_agent_family": S.ua_family(F.col("ua"), F.col("scanner_family")),
-        "remote_addr_class": S.classify_ip(F.col("remote_addr"))}).drop("_path", "_ua")
+        F.coalesce(F.trim("hex_path"), F.lit("")).alias("_hex_path"),
+        F.coalesce(F.trim("hex_user_agent"), F.lit("")).alias("_hex_ua"))
+    found = None if rows.isStreaming else _dictionaries(raw, dictionary)
+    if found is None:
+        labelled = _cleaned(raw, "path", "ua")
+    else:
+        labelled = raw.join(F.broadcast(found[0]), "_hex_path", "left").join(F.broadcast(found[1]), "_hex_ua", "left")
+    return labelled.withColumn("remote_addr_class", S.classify_ip(F.col("remote_addr"))).select(
+        *[c for c in raw.columns if not c.startswith("_")], "path", "ua", "path_class", "scanner_family",
+        "user_agent_family", "remote_addr_class")
 
 
 def dedup_events(clean: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalog as C
 from palisade.functions import sanitize as S
 from palisade.operators import events as E
+from palisade.plans import fixtures
 
 L1 = "ord long, remote_addr string, timestamp string, method string, hex_path string, status int, hex_user_agent string, count long"
 
@@ -128,3 +129,26 @@ def test_first_rows_note_and_merged_count(spark):
         spark, ("45.33.32.156", "GET", "/.env", 404, "Mozilla/5.0", 15),
         ("45.33.32.156", "GET", "/.env.local", 404, "Mozilla/5.0", 10)))).collect()
     assert [(r["count"], r.safe_notes, r.rate_signal) for r in got] == [(25, "dotfile probe: /.env (15 hits)", "elevated")]
+
+
+def test_dictionary_equals_cleaning_each_row(spark, sf, tmp_path, monkeypatch):
+    rows = fixtures.view(spark, sf, "access_events")
+    odd = [(10**6 + k, "1.1.1.1", "2024-01-01T00:00:00Z", "get", h, 200, 1, u) for k, (h, u) in enumerate(
+        [(None, None), ("", "2d"), ("2f2", "zz"), (" 2f 2e", "2D"), ("2F2e656e76", None), ("2f2e656e76", "  "), ("ff", "ff")])]
+    more = spark.createDataFrame(odd, "ord bigint, remote_addr string, timestamp string, method string, hex_path string, status int, count bigint, hex_user_agent string")
+    rows = rows.select(*more.columns).unionByName(more)
+    shown = lambda df: sorted(map(str, df.collect()))
+    met = E.sanitize_events(rows)
+    monkeypatch.setattr(E, "SMALL_DICTIONARY", 0)
+    kept = E.sanitize_events(rows)
+    folder = str(tmp_path / "dictionary")
+    first, second = E.sanitize_events(rows.where("ord % 2 = 0"), folder), E.sanitize_events(rows, folder)
+    assert shown(second.where("ord % 2 = 0")) == shown(first)
+    stored = spark.read.parquet(f"{folder}/path")
+    assert stored.count() == stored.select("_hex_path").distinct().count()
+    monkeypatch.setattr(E, "DICTIONARY_BYTES", 0)
+    each = E.sanitize_events(rows)
+    assert met.columns == each.columns == kept.columns and met.schema.simpleString() == each.schema.simpleString()
+    assert shown(met) == shown(each) == shown(kept) == shown(second)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
