@@ -27,7 +27,6 @@ def l1_group(rows: DataFrame) -> DataFrame:
 
 #: Most bytes of distinct raw values that go out as a dictionary; beyond it every row is cleaned where it is.
 DICTIONARY_BYTES = 32_000_000
-SMALL_DICTIONARY = 1_000_000
 
 
 def _cleaned(values: DataFrame, *fields: str) -> DataFrame:
@@ -58,8 +57,6 @@ def _dictionaries(rows: DataFrame, folder: str | None) -> tuple[DataFrame, DataF
     size = seen.agg(F.coalesce(F.sum(F.octet_length("hex") + 64), F.lit(0))).first()[0]
     if size > DICTIONARY_BYTES:
         return None
-    # A small dictionary is cheaper to make again for each reader than to write.
-    keep = materialize if size > SMALL_DICTIONARY else lambda df: df
 
     def of(field: str) -> DataFrame:
         values = seen.where(F.col("field") == field).select(F.col("hex").alias(f"_hex_{field}"))
@@ -73,7 +70,10 @@ def _dictionaries(rows: DataFrame, folder: str | None) -> tuple[DataFrame, DataF
         # A value may be stored twice, by two jobs at once.
         return spark.read.parquet(known).join(values, f"_hex_{field}", "left_semi").dropDuplicates([f"_hex_{field}"])
 
-    return keep(of("path")), keep(of("ua"))
+    # Written, so that a filter on a label is a filter on a table and not on all the expressions that make it.
+    made = materialize(of("path").unionByName(of("ua"), allowMissingColumns=True))
+    return (made.where("_hex_path IS NOT NULL").select("_hex_path", "path", "path_class"),
+            made.where("_hex_ua IS NOT NULL").select("_hex_ua", "ua", "scanner_family", "user_agent_family"))
 
 
 def sanitize_events(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
@@ -216,34 +216,40 @@ def hits_by_class(clean: DataFrame) -> DataFrame:
 def traffic_summary(clean: DataFrame, approximate: bool = False) -> DataFrame:
     """Totals and distinct counts.
 
-    Exact distincts first reduce to distinct values per column (partial aggregation), so a value
-    that makes up a third of the rows leaves each task once.
+    Rows are first summed per address, path and agent, so what multiplies rows by the number of distinct counts
+    works on groups.
     """
+    columns = (("remote_addr", "unique_ips"), ("path", "unique_paths"), ("ua", "unique_user_agents"))
     if approximate:
-        distinct = [F.approx_count_distinct(c).alias(a) for c, a in
-                    (("remote_addr", "unique_ips"), ("path", "unique_paths"),
-                     ("ua", "unique_user_agents"))]
-    else:
-        distinct = [F.count_distinct(c).alias(a) for c, a in
-                    (("remote_addr", "unique_ips"), ("path", "unique_paths"),
-                     ("ua", "unique_user_agents"))]
-    return clean.agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("total_events"),
-                     *distinct, F.min("timestamp").alias("first_seen"),
-                     F.max("timestamp").alias("last_seen"))
+        return _totals(clean, [F.approx_count_distinct(c).alias(a) for c, a in columns])
+    groups = clean.groupBy("remote_addr", "path", "ua").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("count").alias("count"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum("count").alias("total_events"),
+                      *[F.count_distinct(c).alias(a) for c, a in columns],
+                      F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
+
+
+def _totals(clean: DataFrame, distinct: list) -> DataFrame:
+    return clean.agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("total_events"), *distinct,
+                     F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
 
 
 def class_scanner_cube(clean: DataFrame) -> DataFrame:
+    """Hits with subtotals; the cube is made of sums per combination, not of rows."""
     dims = ["path_class", "scanner", "status_bucket"]
-    with_scanner = clean.withColumn("scanner", F.coalesce("scanner_family", F.lit("none")))
-    return (with_scanner.cube(*dims).agg(F.sum("count").alias("hits"),
-                                         F.grouping_id(*dims).cast("bigint").alias("level"))
+    sums = clean.withColumn("scanner", F.coalesce("scanner_family", F.lit("none"))).groupBy(*dims).agg(F.sum("count").alias("hits"))
+    return (sums.cube(*dims).agg(F.sum("hits").alias("hits"),
+                                 F.grouping_id(*dims).cast("bigint").alias("level"))
             .select(*[F.coalesce(d, F.lit("(all)")).alias(d) for d in dims], "level", "hits"))
 
 
-def status_distribution(clean: DataFrame) -> DataFrame:
-    """Share of each status bucket per class; the window sees at most 33 x 5 rows."""
-    counts = clean.groupBy("path_class", "status_bucket").agg(F.sum("count").alias("hits"))
-    total = F.sum("hits").over(Window.partitionBy("path_class"))
+def status_distribution(clean: DataFrame, by: str = "path_class") -> DataFrame:
+    """Share of each status bucket per class, or per another column such as the source.
+
+    Totals are sums of sums and meet their parts by value, so a busy source is a few rows.
+    """
+    counts = clean.groupBy(by, "status_bucket").agg(F.sum("count").alias("hits"))
+    total = F.sum("hits").over(Window.partitionBy(by))
     return counts.withColumn("share", F.round(F.col("hits") / total, 6))
 
 

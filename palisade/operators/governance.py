@@ -190,9 +190,9 @@ def exception_suppress(findings: DataFrame, exceptions: DataFrame, as_of: str) -
 def validation_rollup(validated: DataFrame, states: DataFrame) -> DataFrame:
     checked = validated.agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"),
                             F.count_if(~F.col("valid")).alias("invalid"))
-    aged = states.agg(F.count_if(F.col("state") == "expired").alias("expired"),
-                      F.count_if(F.col("state") == "expiring").alias("expiring"))
-    return checked.withColumns({c: aged.select(c).scalar() for c in ("expired", "expiring")})
+    aged = states.agg(F.struct(F.count_if(F.col("state") == "expired").alias("expired"),
+                               F.count_if(F.col("state") == "expiring").alias("expiring")).alias("aged"))
+    return checked.withColumn("_aged", aged.scalar()).select("total", "valid", "invalid", "_aged.expired", "_aged.expiring")
 
 
 # --- findings ----------------------------------------------------------------------------------

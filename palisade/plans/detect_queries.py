@@ -38,6 +38,9 @@ WHERE probes >= 2"""))
 add("brute_force", lambda s, d: D.hashed(D.brute_force(clean(s, d)), SALT), O.over_sanitized(f"""
 SELECT strftime(time_bucket(INTERVAL 5 MINUTES, ts), {_ISO}) AS slot, {_ADDR}, CAST(sum(count) AS BIGINT) AS requests FROM sanitized
 WHERE regexp_matches(path, '(?i)(login|signin|auth|session|xmlrpc)') GROUP BY 1, remote_addr HAVING sum(count) > 5"""))
+add("status_distribution_by_source", lambda s, d: D.hashed(E.status_distribution(clean(s, d), "remote_addr"), SALT), O.over_sanitized(f"""
+SELECT sha256(concat('{SALT}', remote_addr)) AS remote_addr, status_bucket, hits, round(CAST(hits AS DOUBLE) / CAST(sum(hits) OVER (PARTITION BY remote_addr) AS DOUBLE), 6) AS share
+FROM (SELECT remote_addr, status_bucket, CAST(sum(count) AS BIGINT) AS hits FROM sanitized GROUP BY 1, 2) x"""))
 
 
 def _sequence(name, seconds, steps):

@@ -184,14 +184,22 @@ add("per_feed_cap", lambda s, d: Fd.per_feed_cap(view(s, d, "custom_lines").with
 def feed_rollup(spark, d):
     polls = view(spark, d, "indicators").groupBy("source").agg(F.count(F.lit(1)).alias("indicators_count"))
     results = polls.select(F.col("source").alias("feed"), F.when(F.col("source") == "lab_feed", F.lit("error"))
-                           .otherwise(F.lit("success")).alias("status"), "indicators_count")
-    return Fd.feed_rollup(results)
+                           .otherwise(F.lit("success")).alias("status"), "indicators_count", F.lit(0).cast("bigint").alias("rejected"))
+    # A feed of one JSON document per page; every seventh document was cut short on its way.
+    whole = F.to_json(F.struct(F.lit("ok").alias("query_status"), F.array(F.struct(
+        F.col("url").alias("ioc_value"), F.lit("url").alias("ioc_type"), F.lit(80).alias("confidence_level"))).alias("data")))
+    docs = table(spark, d, "pages").select(F.when(F.col("page_id") % 7 == 0, F.substring(whole, 1, 30)).otherwise(whole).alias("value"))
+    landed = Fd.parse_ioc_mixed(docs).agg(F.count(F.lit(1)).alias("indicators_count"))
+    polled = Fd.rejected(docs, Fd.IOCS).select(F.lit("page_feed").alias("feed"), F.lit("success").alias("status"), "rejected").withColumn(
+        "indicators_count", landed.scalar())
+    return Fd.feed_rollup(results.unionByName(polled))
 
 
 add("feed_rollup", feed_rollup, with_views("""
 SELECT coalesce(feed, '(total)') AS feed, count(*) FILTER (WHERE ok) AS polled, count(*) FILTER (WHERE NOT ok) AS skipped,
-  CAST(coalesce(sum(n) FILTER (WHERE ok), 0) AS BIGINT) AS indicators
-FROM (SELECT source AS feed, source <> 'lab_feed' AS ok, count(*) AS n FROM indicators GROUP BY 1, 2) x GROUP BY ROLLUP (feed)""", "indicators"))
+  CAST(coalesce(sum(n) FILTER (WHERE ok), 0) AS BIGINT) AS indicators, CAST(sum(bad) AS BIGINT) AS rejected
+FROM (SELECT source AS feed, source <> 'lab_feed' AS ok, count(*) AS n, 0 AS bad FROM indicators GROUP BY 1, 2
+  UNION ALL SELECT 'page_feed', true, count(*) FILTER (WHERE page_id % 7 <> 0), count(*) FILTER (WHERE page_id % 7 = 0) FROM pages) x GROUP BY ROLLUP (feed)""", "indicators"))
 
 add("sanitize_indicator", lambda s, d: table(s, d, "documents").select(
         "doc_id", S.sanitize_indicator(F.col("text")).alias("value"),

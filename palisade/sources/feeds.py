@@ -200,9 +200,15 @@ def read_feed(spark: SparkSession, feed: str, path: str, cap: int | None = None)
 
 
 def feed_rollup(results: DataFrame) -> DataFrame:
-    """Poll results (feed, status, indicators array) to counts per feed and in total."""
+    """Poll results (feed, status, indicators_count, rejected) to counts per feed and in total.
+
+    ``rejected`` counts the documents of a poll that did not parse; a table without it has none.
+    """
     ok = F.col("status") == "success"
+    if "rejected" not in results.columns:
+        results = results.withColumn("rejected", F.lit(0).cast("bigint"))
     return results.rollup("feed").agg(
+        F.sum("rejected").alias("rejected"),
         F.count_if(ok).alias("polled"), F.count_if(~ok).alias("skipped"),
         F.coalesce(F.sum(F.when(ok, F.col("indicators_count"))), F.lit(0)).alias("indicators")
     ).withColumn("feed", F.coalesce("feed", F.lit("(total)")))
