@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from palisade.llm import queries, simhash
-from palisade.llm.common import materialize, table
+from palisade.llm.common import materialize, shared_folder, table
 
 
 def canon(value):
@@ -38,6 +38,29 @@ def test_one_row_per_document(spark, sf, name):
         assert sorted(r.doc_id for r in rows) == sorted(ids)
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
+def test_the_language_stage_keeps_clashing_columns(spark, sf):
+    docs = table(spark, sf, "documents").limit(120).selectExpr("*", "'p' AS prediction", "'r' AS row", "1 AS c0")
+    out = corpus_pipeline.language(spark, docs, sf)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all((r.prediction, r.row, r.c0) == ("p", "r", 1) for r in rows)
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
