@@ -92,10 +92,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = records.filter("record_type = 'response'").select(
         F.col("record_id").alias("target"), F.col("page_id").alias("target_page"), F.col("bytes").alias("target_bytes")
     )
-    return records.join(responses, F.col("refers_to_id") == F.col("target"), "left").select(
+    # Only revisits refer to a record; a join of all records would send every response to the task of the null key.
+    revisits = records.filter("record_type = 'revisit'").join(responses, F.col("refers_to_id") == F.col("target"), "left").select(
         "page_id", F.coalesce("bytes", "target_bytes").alias("payload_bytes"), "payload_digest", "record_type",
         F.col("target_page").alias("refers_to"),
     )
+    return records.filter("record_type <> 'revisit'").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"),
+    ).unionByName(revisits)
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
