@@ -11,7 +11,7 @@ from palisade.operators import ioc as I
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import view, with_views
 from palisade.plans.log_queries import access, clean
-from palisade.session import table
+from palisade.session import new_folder, table
 from palisade.sources import access_log as A
 from palisade.sources import feeds as Fd
 
@@ -65,6 +65,18 @@ add("read_access_log", lambda s, d: A.parse_access_log(view(s, d, "log_lines")).
       {_log(3)} AS method, {_log(4)} AS path, CAST({_log(5)} AS BIGINT) AS status,
       CASE {_log(6)} WHEN '-' THEN 0 ELSE CAST({_log(6)} AS BIGINT) END AS bytes, {_log(7)} AS referer, {_log(8)} AS user_agent
       FROM log_lines WHERE value NOT LIKE 'garbage%'""", "log_lines"))
+
+
+def read_access_log_files(spark, d):
+    """The lines as plain files in order, read back by the reader."""
+    folder = new_folder(spark, "logs")
+    (view(spark, d, "log_lines").repartitionByRange(16, "ord").sortWithinPartitions("ord").select("value")
+     .write.option("compression", "gzip").text(folder))
+    return A.read_access_log(spark, folder).select("ord", "value")
+
+
+add("read_access_log_files", read_access_log_files,
+    with_views("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, value FROM log_lines", "log_lines"))
 add("access_log_rejects", lambda s, d: A.parse_counts(A.parse_access_log(view(s, d, "log_lines"))),
     with_views("""SELECT count(*) AS lines, count(*) FILTER (WHERE value NOT LIKE 'garbage%') AS parsed,
       count(*) FILTER (WHERE value LIKE 'garbage%') AS skipped FROM log_lines""", "log_lines"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import sanitize as S
+from palisade.session import materialize
 
 COMBINED = (r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (.*?)(?: HTTP/[0-9.]+)?" (\d{3}) (\d+|-) '
             r'"([^"]*)" "([^"]*)"')
@@ -15,20 +16,49 @@ EVENT = ("event_id string, timestamp_bucket string, path_class string, scanner_f
          "status_bucket string, count bigint")
 
 
+#: Blocks of files whose offsets are broadcast: about 64 MB in a table keyed by one number.
+BROADCAST_BLOCKS = 1_000_000
+
+
+def _placed(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a file scan with their file, their block of it, and their rank in the scan."""
+    return rows.select(*columns, F.col("_metadata.file_path").alias("log_source"),
+                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+
+
+def in_file_order(placed: DataFrame, most: int = BROADCAST_BLOCKS) -> DataFrame:
+    """``ord`` from 0 by file name, then place in the file, for rows that ``_placed`` made.
+
+    The rows are landed below the shared folder first: a later scan may cut the files in other places and pack the
+    pieces otherwise, as that follows the number of cores, so ranks are only ever compared within the one scan that
+    was written.  Blocks are then counted, their counts summed per range of blocks and over the ranges (one row per
+    shuffle task), and each row adds its block's offset.  The offsets are broadcast up to ``most`` blocks, keyed by a
+    hash that was found to be free of collisions; beyond, rows meet them by file and block.
+    """
+    keys = ["log_source", "_block"]
+    landed = materialize(placed)
+    blocks = materialize(landed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                         .repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    before = blocks.groupBy("_range").agg(F.sum("_n").alias("_rows")).select(
+        "_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_past"))
+    inside = F.sum("_n").over(Window.partitionBy("_range").orderBy(*keys)) - F.col("_n")
+    offsets = blocks.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(
+        *keys, (F.col("_past") + F.col("_inside") - F.col("_first")).alias("_shift"))
+    mark = F.xxhash64(*keys).alias("_mark")
+    size = blocks.select(mark).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_mark").alias("marks")).first()
+    if size.n <= most and size.n == size.marks:
+        met = landed.withColumn("_mark", mark).join(F.broadcast(offsets.select(mark, "_shift")), "_mark").drop("_mark")
+    else:
+        met = landed.join(offsets, keys)
+    return met.withColumn("ord", F.col("_shift") + F.col("_at")).drop("_block", "_at", "_shift")
+
+
 def read_access_log(spark: SparkSession, *paths: str) -> DataFrame:
     """Plain and .gz logs; ``ord`` counts lines from 0 in order of file name, then place in the file.
 
-    A line's place within its block of the file is its distance from the block's first row; the lines
-    before a block come from one count per block.  No line is sorted or moved.
+    Lines are read from the files once and written below the shared folder; they are neither sorted nor shuffled.
     """
-    rows = spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("log_source"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    blocks = rows.groupBy("log_source", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("log_source", "_block")) - F.col("_n")
-    offsets = blocks.select("log_source", "_block", "_first", before.alias("_before"))
-    return rows.join(offsets, ["log_source", "_block"]).select(
-        "value", "log_source", (F.col("_before") + F.col("_at") - F.col("_first")).alias("ord"))
+    return in_file_order(_placed(spark.read.text(list(paths)), "value"))
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:
@@ -57,10 +87,14 @@ def parse_counts(parsed: DataFrame) -> DataFrame:
                       F.count_if(~F.col("parsed")).alias("skipped"))
 
 
-def read_parsed_events(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of parsed rows; anything but an array of objects fails the read."""
-    rows = (spark.read.schema(PARSED).option("multiLine", True).option("mode", "FAILFAST").json(path))
-    return with_defaults(rows)
+def read_parsed_events(spark: SparkSession, *paths: str) -> DataFrame:
+    """JSON arrays of parsed rows; anything but an array of objects fails the read.
+
+    ``ord`` counts rows from 0 in order of file name, then place in the array.  An array has no place where it could
+    be cut without reading it, so one file is one task: large inputs come as many files.
+    """
+    rows = spark.read.schema(PARSED).option("multiLine", True).option("mode", "FAILFAST").json(list(paths))
+    return with_defaults(in_file_order(_placed(rows, *rows.columns)).drop("log_source"))
 
 
 def parse_parsed_events(docs: DataFrame) -> DataFrame:

@@ -157,6 +157,26 @@ def test_lines_are_numbered_in_file_order(spark, tmp_path):
     assert [r.value for r in rows] == [f"{n} line {i}" for n in ("a.log", "b.log") for i in range(3000)]
 
 
+def test_lines_meet_their_blocks_without_a_shuffle(spark, tmp_path):
+    for name in ("b.log", "a.log", "c.log"):
+        (tmp_path / name).write_text("".join(f"{name} line {i}\n" for i in range(50)) if name != "c.log" else "")
+    rows = A.read_access_log(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    wide = A.in_file_order(A._placed(spark.read.text(str(tmp_path)), "value"), most=0)
+    assert sorted(map(tuple, wide.select("ord", "value").collect())) == sorted(map(tuple, rows.select("ord", "value").collect()))
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.log").write_text("")
+    assert A.read_access_log(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_parsed_events_are_numbered_over_files(spark, tmp_path):
+    for name, first in (("b.json", 3), ("a.json", 0)):
+        (tmp_path / name).write_text("[" + ",".join(f'{{"method": "GET", "bytes": {first + i}}}' for i in range(3)) + "]")
+    rows = A.read_parsed_events(spark, str(tmp_path)).collect()
+    assert sorted((r.ord, r.bytes) for r in rows) == [(i, i) for i in range(6)]
+
+
 def test_logs_become_accepted_events(spark, tmp_path):
     line = '203.0.113.7 - - [01/Jan/2024:00:00:0{} +0000] "GET {} HTTP/1.1" 404 10 "-" "zgrab/0.x"'
     (tmp_path / "x.log").write_text("\n".join([line.format(i % 10, p) for i, p in enumerate(["/.env"] * 15 + ["/.env.local"] * 10)] + ["no log line"]))
