@@ -41,7 +41,7 @@ def burst_detect(clean: DataFrame, seconds: int = 2, at_least: int = 3) -> DataF
             .select("ord", "remote_addr", "path_class", "probes"))
 
 
-def sequence_probe(clean: DataFrame, seconds: int, steps: tuple[str, ...]) -> DataFrame:
+def sequence_probe(clean: DataFrame, seconds: int = 60, steps: tuple[str, ...] = ("health", "env", "info")) -> DataFrame:
     """Requests that complete an ordered sequence of path parts by one source within ``seconds``.
 
     Other requests may lie between the steps.  For each step, a request that holds it carries the latest start of a

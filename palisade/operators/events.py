@@ -213,25 +213,42 @@ def hits_by_class(clean: DataFrame) -> DataFrame:
     return hits_by_label(clean, "path_class")
 
 
+#: What is counted distinct, and the name of the count.
+DISTINCT = {"remote_addr": "unique_ips", "path": "unique_paths", "ua": "unique_user_agents"}
+
+
 def traffic_summary(clean: DataFrame, approximate: bool = False) -> DataFrame:
-    """Totals and distinct counts.
+    """Totals and distinct counts; the approximate ones are within about one percent.
 
     Rows are first summed per address, path and agent, so what multiplies rows by the number of distinct counts
     works on groups.
     """
-    columns = (("remote_addr", "unique_ips"), ("path", "unique_paths"), ("ua", "unique_user_agents"))
     if approximate:
-        return _totals(clean, [F.approx_count_distinct(c).alias(a) for c, a in columns])
-    groups = clean.groupBy("remote_addr", "path", "ua").agg(
+        return summary_of(daily_sketches(clean))
+    groups = clean.groupBy(*DISTINCT).agg(
         F.count(F.lit(1)).alias("n"), F.sum("count").alias("count"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum("count").alias("total_events"),
-                      *[F.count_distinct(c).alias(a) for c, a in columns],
+                      *[F.count_distinct(c).alias(a) for c, a in DISTINCT.items()],
                       F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
 
 
-def _totals(clean: DataFrame, distinct: list) -> DataFrame:
-    return clean.agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("total_events"), *distinct,
-                     F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+def daily_sketches(clean: DataFrame, lg_k: int = 14) -> DataFrame:
+    """Sums of each day with a sketch per distinct count (at most 16 kB each at ``lg_k`` 14), for ``summary_of``.
+
+    A day's rows may come in any number of parts, each sketched by itself.  Rows without a time are of day `unknown`.
+    """
+    day = F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("unknown")).alias("dt")
+    return clean.groupBy(day).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("count").alias("total_events"), F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"), *[F.hll_sketch_agg(c, lg_k).alias(a) for c, a in DISTINCT.items()])
+
+
+def summary_of(sketches: DataFrame, *by: str) -> DataFrame:
+    """The summary over any rows of ``daily_sketches``, per ``by`` where given, without reading the events again."""
+    return sketches.groupBy(*by).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("total_events").alias("total_events"),
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(a)), F.lit(0)).alias(a) for a in DISTINCT.values()],
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def class_scanner_cube(clean: DataFrame) -> DataFrame:

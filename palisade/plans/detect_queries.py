@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.functions import catalog as C
+from palisade.functions import sanitize as S
 from palisade.operators import aging as G
 from palisade.operators import detect as D
 from palisade.operators import events as E
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import view, with_views
 from palisade.plans.log_queries import DEDUP, clean
-from palisade.session import materialize, new_folder
+from palisade.session import materialize, new_folder, table
 from palisade.sinks import batches as B
 from palisade.sinks import outputs as K
 from palisade.sinks.outputs import with_day
@@ -58,6 +59,32 @@ _sequence("sequence_probe", 14400, ("login", "env", "api"))
 _sequence("sequence_probe_long", 86400, ("index", "login", "env", "git"))
 
 
+# Each event as a scanner's run of requests: (seconds after the event, path).
+RUN = ((0, "/health"), (1, "/.env"), (2, "/.env.bak"), (3, "/.git/config"), (4, "/static/a.css"), (5, "/info.php"))
+
+
+def scanner_runs(spark, d):
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at"), F.lit(path).alias("path")) for k, (at, path) in enumerate(RUN)])
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", F.inline(steps)).where("k <> 1 OR event_id % 3 > 0")
+    return rows.select((F.col("event_id") * 10 + F.col("k")).alias("ord"), "path", S.classify_path("path").alias("path_class"),
+                       F.concat(F.lit("203.0.113."), F.col("user_id").cast("string")).alias("remote_addr"),
+                       (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("at"))).alias("ts"))
+
+
+_RUNS = f"""(SELECT event_id * 10 + k AS ord, concat('203.0.113.', CAST(user_id AS VARCHAR)) AS remote_addr, path, ts + late * INTERVAL 1 SECOND AS ts,
+  {O.first_match('path', C.PATH_CLASSES, "'unknown'")} AS path_class
+  FROM events, (VALUES {', '.join(f"({k}, {at}, '{path}')" for k, (at, path) in enumerate(RUN))}) v(k, late, path) WHERE k <> 1 OR event_id % 3 > 0)"""
+add("burst_detect_default", lambda s, d: D.hashed(D.burst_detect(scanner_runs(s, d)), SALT), f"""
+SELECT ord, {_ADDR}, path_class, probes FROM (SELECT *, count(*) OVER (PARTITION BY remote_addr, path_class ORDER BY ts
+  RANGE BETWEEN INTERVAL 2 SECONDS PRECEDING AND CURRENT ROW) AS probes FROM {_RUNS} r WHERE path_class <> 'unknown') x
+WHERE probes >= 3""")
+add("sequence_probe_default", lambda s, d: D.hashed(D.sequence_probe(scanner_runs(s, d)), SALT), f"""
+SELECT DISTINCT c.ord, sha256(concat('{SALT}', c.remote_addr)) AS remote_addr, c.path AS last_path
+FROM {_RUNS} c JOIN {_RUNS} b ON b.remote_addr = c.remote_addr AND contains(b.path, 'env') AND (b.ts, b.ord) < (c.ts, c.ord)
+JOIN {_RUNS} a ON a.remote_addr = b.remote_addr AND contains(a.path, 'health') AND (a.ts, a.ord) < (b.ts, b.ord)
+WHERE contains(c.path, 'info') AND epoch_us(c.ts) - epoch_us(a.ts) <= 60000000 AND c.ts - b.ts <= INTERVAL 60 SECONDS""")
+
+
 def _anomaly(series, keys, factor, floor):
     k = ", ".join(keys)
     return f"""SELECT strftime(hour, {_ISO}) AS hour, {k}, hits, round(m, 4) AS mean FROM (

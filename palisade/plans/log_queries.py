@@ -9,6 +9,8 @@ from palisade.functions import sanitize as S
 from palisade.operators import events as E
 from palisade.plans import oracle as O
 from palisade.plans.fixtures import view, with_views
+from palisade.session import new_folder
+from palisade.sinks import batches as B
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -215,6 +217,24 @@ add("traffic_summary", lambda s, d: E.traffic_summary(clean(s, d)), O.over_sanit
 SELECT count(*) AS rows, CAST(sum(count) AS BIGINT) AS total_events, count(DISTINCT remote_addr) AS unique_ips,
   count(DISTINCT path) AS unique_paths, count(DISTINCT ua) AS unique_user_agents,
   min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM sanitized"""))
+
+
+def traffic_summary_folded(spark, d):
+    """Day sketches landed in two batches and folded, beside the exact counts that they must be close to."""
+    rows, folder = clean(spark, d), new_folder(spark, "sketches")
+    for n in (0, 1):
+        B.write_batch(E.daily_sketches(rows.where(f"ord % 2 = {n}")), n, folder, ["dt"])
+    folded = E.summary_of(B.read_batches(spark, folder))
+    counts = list(E.DISTINCT.values())
+    exact = E.traffic_summary(rows).select(*[c(x).alias(f"exact_{x}") for x in counts])
+    both = folded.unionByName(exact, allowMissingColumns=True).groupBy().agg(*[F.max(x).alias(x) for x in [*folded.columns, *exact.columns]])
+    return both.select("rows", "total_events", "first_seen", "last_seen", *[
+        (F.abs(c(x) - c(f"exact_{x}")) <= 0.03 * c(f"exact_{x}")).alias(f"{x}_close") for x in counts])
+
+
+add("traffic_summary_folded", traffic_summary_folded, O.over_sanitized("""
+SELECT count(*) AS rows, CAST(sum(count) AS BIGINT) AS total_events, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+  true AS unique_ips_close, true AS unique_paths_close, true AS unique_user_agents_close FROM sanitized"""))
 add("class_scanner_cube", lambda s, d: E.class_scanner_cube(clean(s, d)), O.over_sanitized("""
 SELECT coalesce(path_class, '(all)') AS path_class, coalesce(scanner, '(all)') AS scanner,
   coalesce(status_bucket, '(all)') AS status_bucket, CAST(grouping(path_class, scanner, status_bucket) AS BIGINT) AS level,

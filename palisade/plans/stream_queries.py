@@ -38,7 +38,7 @@ GROUP BY w, remote_addr, path_class HAVING count(*) >= 2"""))
 add("stream_sessions", lambda s, d: hashed(R.sessions(clean(s, d), "60 minutes"), SALT), O.over_sanitized(f"""
 SELECT strftime(date_trunc('second', min(ts)), {_ISO}) AS start, strftime(date_trunc('second', max(ts) + INTERVAL 60 MINUTES), {_ISO}) AS "end", {_ADDR},
   count(*) AS requests, CAST(sum(count) AS BIGINT) AS hits FROM (
-  SELECT *, sum(CASE WHEN ts >= prev + INTERVAL 60 MINUTES OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY remote_addr ORDER BY ts) AS s FROM (
+  SELECT *, sum(CASE WHEN ts > prev + INTERVAL 60 MINUTES OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY remote_addr ORDER BY ts) AS s FROM (
     SELECT *, lag(ts) OVER (PARTITION BY remote_addr ORDER BY ts) AS prev FROM sanitized) a) b GROUP BY remote_addr, s"""))
 add("stream_ioc", lambda s, d: hashed(R.ioc_hits(clean(s, d), view(s, d, "indicators")), SALT), O.over_sanitized(f"""
 SELECT ord, {_ADDR}, path_class, count FROM sanitized WHERE remote_addr IN (SELECT split_part(value, ':', 1) FROM indicators WHERE type = 'ip')""", "indicators"))

@@ -29,10 +29,12 @@ def build_session(app: str = "palisade", cpus: int | str = "*", **conf: str) ->
 # Hour buckets and dates are defined in UTC.  Classification compiles to methods the JVM refuses to
 # optimise above 8000 bytes; below that limit Spark splits them into small ones (2x faster here).
 # Its long CASE columns also make constraint inference cost half a minute of planning per join.
+# A stream of sessions merges those of each task before its shuffle, so a busy source moves as few rows.
 REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palisade.operators.events import daily_sketches
 from palisade.operators.ioc import address_part
 from palisade.session import materialize
 from palisade.sinks.batches import delete, names, write_batch
@@ -48,10 +49,28 @@ def burst(clean: DataFrame, size: str = "2 seconds", slide: str = "1 second", at
 
 
 def sessions(clean: DataFrame, gap: str = "10 minutes", delay: str = "30 minutes") -> DataFrame:
-    return (watermarked(clean, delay).groupBy(F.session_window("ts", gap).alias("w"), "remote_addr")
-            .agg(F.count(F.lit(1)).alias("requests"), F.sum("count").alias("hits"))
-            .select(F.date_format("w.start", ISO).alias("start"), F.date_format("w.end", ISO).alias("end"),
-                    "remote_addr", "requests", "hits"))
+    """Requests of one source with no more than ``gap`` between them; a session ends ``gap`` after its last request.
+
+    A batch is first summed per source and slot of ``gap`` length.  Rows of one slot always belong together, so a
+    source that holds most of the rows meets its task as one row per slot.  A stream merges the sessions of each task
+    before they are shuffled (a setting that ``pin`` makes).  Rows without a time are in no session.
+    """
+    if clean.isStreaming:
+        return (watermarked(clean, delay).groupBy(F.session_window("ts", gap).alias("w"), "remote_addr")
+                .agg(F.count(F.lit(1)).alias("requests"), F.sum("count").alias("hits"))
+                .select(F.date_format("w.start", ISO).alias("start"), F.date_format("w.end", ISO).alias("end"),
+                        "remote_addr", "requests", "hits"))
+    width = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {gap}"))
+    micros = F.unix_micros("ts")
+    slots = clean.where("ts IS NOT NULL").groupBy("remote_addr", F.floor(micros / width).alias("_slot")).agg(
+        F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count(F.lit(1)).alias("requests"), F.sum("count").alias("hits"))
+    order = Window.partitionBy("remote_addr").orderBy("_slot")
+    opens = F.coalesce(F.col("_first") > F.lag("_last").over(order) + width, F.lit(True))
+    return (slots.withColumn("_opens", opens.cast("int")).withColumn("_session", F.sum("_opens").over(order))
+            .groupBy("remote_addr", "_session").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+                                                    F.sum("requests").alias("requests"), F.sum("hits").alias("hits"))
+            .select(F.date_format(F.timestamp_micros("_first"), ISO).alias("start"),
+                    F.date_format(F.timestamp_micros(F.col("_last") + width), ISO).alias("end"), "remote_addr", "requests", "hits"))
 
 
 def ioc_hits(clean: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -70,6 +89,12 @@ def drop_replays(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
     return rows.dropDuplicates(REPLAY_KEY)
 
 
+def stream_traffic(clean: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Sums and sketches of each day, one row per day and micro-batch, committed once; ``summary_of`` folds them."""
+    return (clean.writeStream.foreachBatch(lambda batch, n: write_batch(daily_sketches(batch), n, folder, ["dt"]))
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 # --- temporary rules ---------------------------------------------------------------------------
 
 def ttl_hours(kind: Column, profile: Column) -> Column:

@@ -124,6 +124,43 @@ def test_stream_equals_batch(spark, with_sentinel, name, job):
     assert run(spark, with_sentinel, job, name) == {tuple(r) for r in job(with_sentinel[0]).collect()}
 
 
+def test_sessions_of_a_batch_are_those_of_the_built_in_window(spark):
+    # Whole seconds around the gap, so that requests exactly one gap apart occur; one source holds half of the rows.
+    rows = spark.range(6000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN '1.1.1.1' ELSE concat('2.2.2.', cast(id % 40 as string)) END AS remote_addr", "id % 5 AS count",
+        "timestamp_seconds(-2000000 + pmod(xxhash64(id), 4000000)) AS ts", "id")
+    rows = rows.selectExpr("* except (ts, id)", "CASE WHEN id % 97 > 0 THEN ts END AS ts")
+    for gap in ("10 seconds", "700 seconds", "1 hour"):
+        built_in = (rows.groupBy(F.session_window("ts", gap).alias("w"), "remote_addr")
+                    .agg(F.count(F.lit(1)).alias("requests"), F.sum("count").alias("hits"))
+                    .select(F.date_format("w.start", R.ISO), F.date_format("w.end", R.ISO), "remote_addr", "requests", "hits"))
+        assert sorted(map(tuple, R.sessions(rows, gap).collect())) == sorted(map(tuple, built_in.collect()))
+
+
+def test_requests_one_gap_apart(spark):
+    rows = spark.createDataFrame([("a", 1, t) for t in (0, 11, 21, 32, 32)], "remote_addr string, count bigint, s bigint").selectExpr(
+        "*", "timestamp_seconds(s) AS ts")
+    assert sorted((r.start[-2:], r.end[-2:], r.requests) for r in R.sessions(rows, "10 seconds").collect()) == [
+        ("00", "10", 1), ("11", "31", 2), ("32", "42", 2)]
+
+
+def test_day_sketches_fold_to_the_summary(spark, landed, tmp_path):
+    rows = E.sanitize_events(landed[0]).select("ord", "ts", "timestamp", "count", *E.DISTINCT)
+    exact, near = E.traffic_summary(rows).first(), E.traffic_summary(rows, approximate=True).first()
+    assert near.asDict().keys() == exact.asDict().keys()
+    for name, value in exact.asDict().items():
+        assert abs(near[name] - value) <= 0.03 * value if name in E.DISTINCT.values() else near[name] == value
+    source, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for part in (0, 1):
+        rows.where(f"ord % 2 = {part}").coalesce(1).write.mode("append").parquet(source)
+        R.stream_traffic(spark.readStream.schema(rows.schema).parquet(source), out, ck).awaitTermination()
+    assert E.summary_of(B.read_batches(spark, out)).first() == near
+    by_day = {r.dt: r.rows for r in E.summary_of(B.read_batches(spark, out).withColumn("dt", F.col("dt").cast("string")), "dt").collect()}
+    assert by_day == {r.dt: r["count"] for r in rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("dt")).count().collect()}
+    empty = E.traffic_summary(rows.where("false"), approximate=True).first()
+    assert (empty.rows, empty.unique_ips) == (0, 0)
+
+
 def test_stream_ioc_and_dedup(spark, sf, with_sentinel):
     indicators = fixtures.view(spark, sf, "indicators")
     job = lambda df: R.ioc_hits(E.sanitize_events(df), indicators)
