@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import small_batches
+from palisade.llm.common import materialize, small_batches
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -252,17 +252,21 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
 
 def training_sample(docs: DataFrame, train: Column, train_rows: int, id_col: str, text_col: str, label_col: str):
-    """At most `train_rows` texts per language, the first by hash; the languages themselves are a closed set."""
+    """At most `train_rows` texts per language, the first by hash; the languages themselves are a closed set.
+
+    The hashes are chosen by themselves, repeated ones once; only the texts of chosen hashes leave their tasks.
+    """
     rows = docs.filter(train & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")
     )
-    languages = [r[0] for r in rows.select("label").distinct().collect()]
-    texts, labels = [], []
-    for language in sorted(languages):
-        for r in rows.filter(F.col("label") == language).orderBy("h", "text").limit(train_rows).collect():
-            texts.append(r["text"])
-            labels.append(language)
-    return texts, labels
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    chosen = rows.select("label", "h").distinct().withColumn("at", first).filter(F.col("at") <= train_rows).drop("at")
+    # At most train_rows rows per language on either side.
+    found = rows.join(F.broadcast(materialize(chosen, "language-sample")), ["label", "h"]).groupBy("label", "h").agg(
+        F.min("text").alias("text")
+    )
+    sample = sorted((r["label"], r["h"], r["text"]) for r in found.collect())
+    return [text for _, _, text in sample], [label for label, _, _ in sample]
 
 
 def identify(

@@ -149,6 +149,16 @@ def test_language_tables(spark, sf):
     assert {r.prediction.lang for r in nothing.collect()} == {"und"}
 
 
+def test_the_sample_is_the_first_texts_by_hash(spark):
+    rows = [(i, f"text number {i}", "en" if i % 3 else "de") for i in range(300)] + [(7, "text number 7", "en")] * 400 + [(1, None, "en"), (2, "x", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    texts, labels = language_id.training_sample(table, F.col("doc_id") != 5, 20, "doc_id", "text", "lang")
+    hashed = table.where("doc_id <> 5 AND lang IS NOT NULL AND text IS NOT NULL").selectExpr("lang", "xxhash64(doc_id, text) h", "text").distinct().collect()
+    expected = [sorted((r.h, r.text) for r in hashed if r.lang == lang)[:20] for lang in ("de", "en")]
+    assert texts == [t for part in expected for _, t in part] and labels == ["de"] * 20 + ["en"] * 20
+    assert language_id.training_sample(table, F.col("doc_id") < 0, 20, "doc_id", "text", "lang") == ([], [])
+
+
 # ---- quality --------------------------------------------------------------------------------------------------
 
 
