@@ -74,6 +74,19 @@ def test_counts_and_cache(spark):
     assert counted([]) == []
 
 
+def test_common_texts_and_both_ways_to_the_missing(spark, monkeypatch):
+    rows = [(i, "the same words" if i % 3 == 0 else f"text {i % 1500}" if i % 7 else None) for i in range(6000)]
+    library = plain()
+    expected = sorted((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for few in (0, 10_000):
+        cache = new_folder(spark, "test-cache")
+        counts = token_counts.token_counts(frame(spark, rows).repartition(5), cache, JSON, few_misses=few)
+        assert sorted(map(tuple, counts.collect())) == expected
+        assert token_counts.read_cache(spark, cache).count() == len({t or "" for _, t in rows})
+    monkeypatch.setattr(token_counts, "_counted", lambda path: pytest.fail("a warm cache encodes nothing"))
+    assert sorted(map(tuple, token_counts.token_counts(frame(spark, rows), cache, JSON).collect())) == expected
+
+
 def test_cache_is_kept_per_tokenizer(spark):
     cache = new_folder(spark, "test-cache")
     token_counts.token_counts(frame(spark, [(1, "two words")]), cache, JSON).collect()
