@@ -36,6 +36,8 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Words kept by a worker; beyond it the memory is emptied and filled anew, which changes no result.
 MEMO_WORDS = 600_000
+#: Slices of a language's hashes among which the first are chosen.
+SLICES = 64
 
 
 #: Marks that are no part of a word.
@@ -259,8 +261,11 @@ def training_sample(docs: DataFrame, train: Column, train_rows: int, id_col: str
     rows = docs.filter(train & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")
     )
-    first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = rows.select("label", "h").distinct().withColumn("at", first).filter(F.col("at") <= train_rows).drop("at")
+    # A language may hold most rows: the first of each of its slices, then the first of those.
+    chosen = rows.select("label", "h").distinct()
+    for part in (["label", F.pmod("h", F.lit(SLICES))], ["label"]):
+        first = F.row_number().over(Window.partitionBy(*part).orderBy("h"))
+        chosen = chosen.withColumn("at", first).filter(F.col("at") <= train_rows).drop("at")
     # At most train_rows rows per language on either side.
     found = rows.join(F.broadcast(materialize(chosen, "language-sample")), ["label", "h"]).groupBy("label", "h").agg(
         F.min("text").alias("text")
