@@ -23,6 +23,14 @@ DENY = r"\breturn\s+(403|404|444)\b|\bdeny\s+all\b"
 BLOCKING = r"\breturn\s+404\b|\bdeny\s+all\b"
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the files: both sides are shuffled and merged, neither goes to the driver.
+
+    Paths and names repeat, so a table whose files look small enough to be broadcast is many times as large in memory.
+    """
+    return df.hint("merge")
+
+
 def without_comments(text: Column) -> Column:
     """Comment lines go, and comments that follow white space."""
     return F.regexp_replace(F.regexp_replace(text, r"(?m)^[ \t]*#.*\n?", ""), r"(?m)[ \t]+#.*$", "")
@@ -159,18 +167,21 @@ def line_diff(files: DataFrame, backup: str, proposed: str) -> DataFrame:
 
 
 def snapshot_churn(files: DataFrame) -> DataFrame:
-    """Lines added and removed between consecutive snapshots, counted as multisets."""
+    """Lines added and removed between consecutive snapshots, counted as multisets.
+
+    Each text meets its place among the snapshots before it is cut into lines.
+    """
     from pyspark.sql import Window
     order = Window.partitionBy("host", "path").orderBy("snapshot_id")
-    steps = files.select("host", "path", "snapshot_id").distinct().withColumn(
-        "_next", F.lead("snapshot_id").over(order))
-    signed = (_lines(files).join(steps, ["host", "path", "snapshot_id"])
-              .select("host", "path", "line", F.inline(F.array(
-                  F.struct(F.col("snapshot_id").alias("to"), F.lit(1).alias("n")),
+    key = ["host", "path", "snapshot_id"]
+    steps = files.select(*key).dropna().distinct().withColumns(
+        {"_first": F.lag("snapshot_id").over(order).isNull(), "_next": F.lead("snapshot_id").over(order)})
+    signed = (files.select(*key, "text").join(sorted_side(steps), key)
+              .select("host", "path", F.split("text", "\n").alias("_lines"), F.inline(F.array(
+                  F.struct(F.when(~F.col("_first"), F.col("snapshot_id")).alias("to"), F.lit(1).alias("n")),
                   F.struct(F.col("_next").alias("to"), F.lit(-1).alias("n")))))
               .where("to IS NOT NULL"))
-    firsts = files.groupBy("host", "path").agg(F.min("snapshot_id").alias("to"))
-    moved = (signed.join(firsts, ["host", "path", "to"], "left_anti")
+    moved = (signed.select("host", "path", "to", F.explode("_lines").alias("line"), "n")
              .groupBy("host", "path", "to", "line").agg(F.sum("n").alias("n")))
     return moved.groupBy("host", "path", F.col("to").alias("snapshot_id")).agg(
         F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("added"),
