@@ -83,7 +83,7 @@ def rules_removed(parsed: DataFrame, backup: str, proposed: str) -> DataFrame:
     keys = parsed.select("host", "path", "snapshot_id", F.explode(_blocking_keys("raw_locs")).alias("pattern"))
     old = keys.where(F.col("snapshot_id") == backup).drop("snapshot_id")
     new = keys.where(F.col("snapshot_id") == proposed).drop("snapshot_id")
-    return old.join(new, ["host", "path", "pattern"], "left_anti")
+    return old.join(sorted_side(new), ["host", "path", "pattern"], "left_anti")
 
 
 def inv_additive(pairs: DataFrame) -> DataFrame:
@@ -370,12 +370,12 @@ def resolve_includes(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges to files that exist.  Globs meet the files of their own folder by equality."""
     corpus = files.select("host", "snapshot_id", F.col("path").alias("included"))
     plain = edges.where("NOT is_glob").join(
-        corpus, (corpus.host == edges.host) & (corpus.snapshot_id == edges.snapshot_id)
+        sorted_side(corpus), (corpus.host == edges.host) & (corpus.snapshot_id == edges.snapshot_id)
         & (corpus.included == edges.target), "left_semi").withColumn("included", F.col("target"))
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(
         "target", r"([.+^$(){}|\\])", r"\\$1"), r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
     globs = (edges.where("is_glob").withColumns({"_dir": _dir(F.col("target")), "_rx": rx})
-             .join(corpus.withColumn("_dir", _dir(F.col("included"))), ["host", "snapshot_id", "_dir"])
+             .join(sorted_side(corpus.withColumn("_dir", _dir(F.col("included")))), ["host", "snapshot_id", "_dir"])
              .where(F.regexp_like("included", F.col("_rx"))))
     cols = ["host", "snapshot_id", "includer", "target", "included"]
     return plain.select(*cols).unionByName(globs.select(*cols)).distinct()
@@ -387,7 +387,7 @@ def compat_includes(files: DataFrame) -> DataFrame:
     edges = include_edges(files)
     key = ["host", "snapshot_id", "includer", "target"]
     resolved = materialize(resolve_includes(edges, files))
-    lost = edges.join(resolved.select(*key).distinct(), key, "left_anti").select(
+    lost = edges.join(sorted_side(resolved.select(*key).distinct()), key, "left_anti").select(
         *key[:3], (~F.col("is_glob")).alias("_bad"), F.col("target").alias("_issue"))
     outside = edges.where(~F.col("target").startswith(ROOT)).select(
         *key[:3], F.lit(False).alias("_bad"), F.concat(F.lit("outside: "), "target").alias("_issue"))
@@ -397,7 +397,7 @@ def compat_includes(files: DataFrame) -> DataFrame:
         F.bool_or("_bad").alias("_bad"), F.array_sort(F.collect_set("_issue")).alias("_issues"))
     status = (F.when(F.col("_bad"), F.lit("fail")).when(F.col("_issues").isNotNull(), F.lit("warn"))
               .otherwise(F.lit("pass")))
-    return (files.select(*ID).join(found.withColumnRenamed("includer", "path"), ["host", "snapshot_id", "path"], "left")
+    return (files.select(*ID).join(sorted_side(found.withColumnRenamed("includer", "path")), ["host", "snapshot_id", "path"], "left")
             .select(*ID, F.lit("include_integrity").alias("check_name"), status.alias("status"),
                     F.coalesce(F.array_join("_issues", "; "), F.lit("")).alias("detail")))
 
@@ -410,7 +410,7 @@ def _ends(single: DataFrame, steps: int) -> DataFrame:
     ends = single
     for _ in range(steps):
         on = ends.select(*GRAPH, F.col("a").alias("t"), F.col("t").alias("_t"))
-        ends = materialize(ends.join(on, [*GRAPH, "t"], "left").select(*GRAPH, "a", F.coalesce("_t", "t").alias("t")))
+        ends = materialize(ends.join(sorted_side(on), [*GRAPH, "t"], "left").select(*GRAPH, "a", F.coalesce("_t", "t").alias("t")))
     return ends
 
 
@@ -428,12 +428,12 @@ def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     onward = single.select(*GRAPH, F.col("a").alias("t"))
     has_more = out.select(*GRAPH, F.col("a").alias("t"))
     # 2^steps is more than any chain: who still is at a file with one include goes round in a ring.
-    ringed = materialize(ends.join(onward, [*GRAPH, "t"], "left_semi"))
-    dead = ends.join(has_more, [*GRAPH, "t"], "left_anti")
+    ringed = materialize(ends.join(sorted_side(onward), [*GRAPH, "t"], "left_semi"))
+    dead = ends.join(sorted_side(has_more), [*GRAPH, "t"], "left_anti")
     gone = dead.select(*GRAPH, "a").unionByName(ringed.select(*GRAPH, "a"))
-    left = edges.join(gone, [*GRAPH, "a"], "left_anti")
+    left = edges.join(sorted_side(gone), [*GRAPH, "a"], "left_anti")
     heads = left.select(*GRAPH, F.col("a").alias("b")).distinct()
-    return materialize(left.join(heads, [*GRAPH, "b"], "left_semi").select(*GRAPH, "a", "b")), ringed.select(*GRAPH, F.col("t").alias("file")).distinct()
+    return materialize(left.join(sorted_side(heads), [*GRAPH, "b"], "left_semi").select(*GRAPH, "a", "b")), ringed.select(*GRAPH, F.col("t").alias("file")).distinct()
 
 
 def cycle_files(resolved: DataFrame) -> DataFrame:
@@ -472,9 +472,9 @@ def _closure(edges: DataFrame) -> DataFrame:
     level = 1
     while not frontier.isEmpty():
         level += 1
-        reached = (frontier.where("root <> file").join(step, [*GRAPH, "file"])
+        reached = (frontier.where("root <> file").join(sorted_side(step), [*GRAPH, "file"])
                    .select(*GRAPH, "root", F.col("_next").alias("file"), F.lit(level).cast("bigint").alias("depth")).distinct())
-        frontier = materialize(reached.join(out, pair, "left_anti").select(*pair, "depth"))
+        frontier = materialize(reached.join(sorted_side(out), pair, "left_anti").select(*pair, "depth"))
         out = out.unionByName(frontier)
     return out
 
@@ -528,14 +528,14 @@ def blast_radius(files: DataFrame) -> DataFrame:
     edges = (resolve_includes(include_edges(files), files)
              .where(~F.col("includer").rlike(r"(^|/)nginx\.conf$"))
              .select("host", "snapshot_id", "includer", F.col("included").alias("path")).distinct())
-    users = (edges.join(counts, ["host", "snapshot_id", "includer"]).groupBy("host", "snapshot_id", "path")
+    users = (edges.join(sorted_side(counts), ["host", "snapshot_id", "includer"]).groupBy("host", "snapshot_id", "path")
              .agg(F.sum("_blocks").alias("_using"), F.count(F.lit(1)).alias("_includers")))
     bare = without_hash(F.col("text"))
     own = files.select(*ID, change_type(F.col("text")).alias("change_type"),
                        is_http_level(F.col("text")).alias("_http"),
                        server_block_count(F.col("text")).alias("_own"),
                        bare.rlike(r"(?m)^\s*location\s+[^{]*\{").alias("_loc"))
-    j = own.join(users, ["host", "snapshot_id", "path"], "left")
+    j = own.join(sorted_side(users), ["host", "snapshot_id", "path"], "left")
     top = F.col("path").rlike(r"(^|/)nginx\.conf$") | F.col("_http")
     upstream = F.col("change_type") == "add_upstream_block"
     label = (F.when(top, F.lit("global-http"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.session import pin, table
+from palisade.session import pin, spread, table
 
 AS_OF = "2001-08-01"
 TABLES = [
@@ -545,6 +545,12 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "upstream_errors": (UPSTREAM_ERRORS, ()),
 }
 
+# Views whose rows grow into texts that are parsed: their table, and how many of its rows one task writes out.
+TEXT_ROWS = {
+    "recipe_records": ("part", 10_000),
+    "step_recipes": ("part", 10_000),
+}
+
 
 def view_sql(name: str) -> list[tuple[str, str]]:
     """The view and what it builds on, in order of definition."""
@@ -570,8 +576,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Run an adapter view on Spark over the given tables."""
     pin(spark)
     used = " ".join(sql for _, sql in view_sql(name))
+    grown, rows = TEXT_ROWS.get(name, (None, 0))
     for base in TABLES:
         if base in used:
-            table(spark, sf_dir, base).createOrReplaceTempView(base)
+            given = table(spark, sf_dir, base)
+            (spread(given, rows) if base == grown else given).createOrReplaceTempView(base)
     sql = with_views(f"SELECT * FROM {name}", name)
     return spark.sql(sql.replace("unnest(list_value(", "explode(array("))

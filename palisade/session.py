@@ -74,3 +74,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows, dealt evenly to as many tasks as they need with some `rows` each.
+
+    A file may be one row group, which one task reads however large it is; few rows stay where they are.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df

@@ -142,8 +142,11 @@ def item_maps(items: str) -> Column:
 
 
 def key_values(records: DataFrame, key: str) -> DataFrame:
-    """One row per (record, key)."""
-    return records.select(key, F.explode("entries").alias("e")).select(
+    """One row per (record, key).
+
+    The outer form keeps Spark from asking first, in a filter that parses every text once more, which have entries.
+    """
+    return records.select(key, F.explode_outer("entries").alias("e")).where("e IS NOT NULL").select(
         key, "e.key", "e.kind", F.when(F.col("e.kind") == "list", F.array_join("e.items", ","))
         .otherwise(F.col("e.value")).alias("value"))
 

@@ -20,6 +20,20 @@ def tasks_of(spark, folder, name):
     return rows.count(), rows.select(F.spark_partition_id().alias("task")).distinct().count()
 
 
+@pytest.mark.parametrize("name", ["recipe_records", "step_recipes"])
+def test_recipes_are_dealt_to_tasks(spark, tmp_path, name):
+    one_group(spark.range(25_000).selectExpr("id AS p_partkey", "'a part' AS p_name"), tmp_path, "part")
+    assert tasks_of(spark, tmp_path, name) == (25_000, 3)
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    texts = [(1, "---\nname: a\nsteps: [x, y]\n---\n"), (2, "none"), (3, None), (4, "---\n---")]
+    spark.createDataFrame(texts, "ord bigint, text string").write.parquet(f"{tmp_path}/records")
+    read = R.key_values(R.parse_frontmatter(spark.read.parquet(f"{tmp_path}/records")), "ord")
+    assert {tuple(r) for r in read.collect()} == {(1, "name", "string", "a"), (1, "steps", "list", "x,y")}
+    assert "Filter ((size(" not in plan(read)
+
+
 def stored(spark, folder, rows):
     """A table of files whose size is known, and small enough to be broadcast."""
     spark.createDataFrame(rows, FILES).write.parquet(f"{folder}/files.parquet")
@@ -43,3 +57,11 @@ def test_churn_of_snapshots_is_not_broadcast(spark, tmp_path):
     got = {(r.path, r.snapshot_id): (r.added, r.removed) for r in churn.collect()}
     assert got == {("a", "s2"): (1, 2), ("a", "s3"): (0, 2), ("a", "s4"): (1, 0), ("c", "s2"): (0, 1)}
     assert "Broadcast" not in plan(K.snapshot_churn(files))
+
+
+def test_includes_are_not_broadcast(spark, tmp_path):
+    files = stored(spark, tmp_path, [conf(N + "a", "s", "include b;\ninclude d/*;\n"), conf(N + "b", "s", ""), conf(N + "d/x", "s", "include b;\n")])
+    got = {(r.root[len(N):], r.file[len(N):]): r.depth for r in K.include_expand(files).collect()}
+    assert got == {("a", "b"): 1, ("a", "d/x"): 1, ("d/x", "b"): 1}
+    for df in (K.resolve_includes(K.include_edges(files), files), K.compat_includes(files), K.blast_radius(files)):
+        assert "Broadcast" not in plan(df)
