@@ -666,5 +666,5 @@ def deploy_gate(checks: DataFrame, overall: DataFrame, profile: str, by_path: di
             bad = bad.unionByName(targets.join(rows.select(key).distinct(), key, "left_semi")
                                   .select("host", "path", F.lit(reason).alias("reason")))
     reasons = bad.distinct().groupBy("host", "path").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"))
-    return (targets.join(reasons, ["host", "path"], "left")
+    return (targets.join(sorted_side(reasons), ["host", "path"], "left")
             .select("host", "path", F.col("reasons").isNotNull().alias("blocked"), F.coalesce("reasons", F.lit("")).alias("reasons")))

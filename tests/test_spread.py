@@ -65,3 +65,12 @@ def test_includes_are_not_broadcast(spark, tmp_path):
     assert got == {("a", "b"): 1, ("a", "d/x"): 1, ("d/x", "b"): 1}
     for df in (K.resolve_includes(K.include_edges(files), files), K.compat_includes(files), K.blast_radius(files)):
         assert "Broadcast" not in plan(df)
+
+
+def test_gate_meets_its_reasons_without_broadcast(spark, tmp_path):
+    files = stored(spark, tmp_path, [conf("a", "s", ""), conf("b", "s", "")])
+    checks = files.select("host", "path", F.lit("tls_floor").alias("check_name"), F.when(F.col("path") == "a", "fail").otherwise("pass").alias("status"))
+    overall = files.select("host", "path", F.lit("edge-public").alias("profile"), F.lit("pass").alias("overall"))
+    gate = K.deploy_gate(checks, overall, "edge-public", {}, {})
+    assert {r.path: (r.blocked, r.reasons) for r in gate.collect()} == {"a": (True, "invariant:tls_floor"), "b": (False, "")}
+    assert "Broadcast" not in plan(gate)
