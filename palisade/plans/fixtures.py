@@ -549,6 +549,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 TEXT_ROWS = {
     "recipe_records": ("part", 10_000),
     "step_recipes": ("part", 10_000),
+    "exception_records": ("orders", 50_000),
+    "finding_records": ("orders", 50_000),
+    "learning_records": ("events", 50_000),
 }
 
 

@@ -26,6 +26,13 @@ def test_recipes_are_dealt_to_tasks(spark, tmp_path, name):
     assert tasks_of(spark, tmp_path, name) == (25_000, 3)
 
 
+@pytest.mark.parametrize("name", ["exception_records", "finding_records"])
+def test_records_are_dealt_to_tasks(spark, tmp_path, name):
+    one_group(spark.range(120_000).selectExpr(
+        "id AS o_orderkey", "id % 100 AS o_custkey", "DATE '1995-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority"), tmp_path, "orders")
+    assert tasks_of(spark, tmp_path, name) == (120_000, 3)
+
+
 def test_records_are_parsed_once(spark, tmp_path):
     texts = [(1, "---\nname: a\nsteps: [x, y]\n---\n"), (2, "none"), (3, None), (4, "---\n---")]
     spark.createDataFrame(texts, "ord bigint, text string").write.parquet(f"{tmp_path}/records")
