@@ -547,6 +547,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 
 # Views whose rows grow into texts that are parsed: their table, and how many of its rows one task writes out.
 TEXT_ROWS = {
+    "config_files": ("supplier", 1_000),
     "recipe_records": ("part", 10_000),
     "step_recipes": ("part", 10_000),
     "exception_records": ("orders", 50_000),

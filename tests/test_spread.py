@@ -41,6 +41,12 @@ def test_records_are_parsed_once(spark, tmp_path):
     assert "Filter ((size(" not in plan(read)
 
 
+def test_config_files_are_dealt_to_tasks(spark, tmp_path):
+    one_group(spark.range(2_500).selectExpr("id AS s_suppkey"), tmp_path, "supplier")
+    one_group(spark.range(1), tmp_path, "events")  # named in a text of the view, not read
+    assert tasks_of(spark, tmp_path, "config_files")[1] == 3
+
+
 def stored(spark, folder, rows):
     """A table of files whose size is known, and small enough to be broadcast."""
     spark.createDataFrame(rows, FILES).write.parquet(f"{folder}/files.parquet")
