@@ -159,7 +159,7 @@ def _lines(files: DataFrame) -> DataFrame:
 
 def line_diff(files: DataFrame, backup: str, proposed: str) -> DataFrame:
     """Lines only one of two snapshots has, from one aggregation over both."""
-    flags = _lines(files).groupBy("host", "path", "line").agg(
+    flags = _lines(files.where(F.col("snapshot_id").isin(backup, proposed))).groupBy("host", "path", "line").agg(
         F.bool_or(F.col("snapshot_id") == backup).alias("_old"),
         F.bool_or(F.col("snapshot_id") == proposed).alias("_new"))
     return flags.where("_old <> _new").select(

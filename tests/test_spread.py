@@ -87,3 +87,10 @@ def test_gate_meets_its_reasons_without_broadcast(spark, tmp_path):
     gate = K.deploy_gate(checks, overall, "edge-public", {}, {})
     assert {r.path: (r.blocked, r.reasons) for r in gate.collect()} == {"a": (True, "invariant:tls_floor"), "b": (False, "")}
     assert "Broadcast" not in plan(gate)
+
+
+def test_diff_reads_lines_of_two_snapshots_only(spark, tmp_path):
+    files = stored(spark, tmp_path, [conf("a", "s1", "x\ny"), conf("a", "s2", "y\nz"), conf("a", "s0", "old"), conf("a", None, "none")])
+    diff = K.line_diff(files, "s1", "s2")
+    assert {(r.line, r.side) for r in diff.collect()} == {("x", "removed"), ("z", "added")}
+    assert "IN (s1,s2)" in plan(diff)
