@@ -8,10 +8,11 @@ training never saw are equally likely.  The end of a text is a symbol; byte 255,
 for it and for what lies before a text.
 
 A pretrained model is counted over all training texts.  No task holds it whole: texts lie in blocks of bounded
-size; a block asks for the different (context, symbol) strings it holds, dealt by a hash of the context into
-buckets whose number grows with the input; a bucket's counts are summed over all blocks, some dozens of blocks at
-a time; the answers go back to the block, where a text's code length is summed.  Requests, answers and texts
-travel as packed arrays.  Since symbols in a longer context are a part of those in its suffix, exclusion takes from
+size, which also end where they hold many different words or strings; a block asks for the different (context,
+symbol) strings it holds, dealt by a hash of the context into buckets whose number grows with the input; a bucket's
+counts are summed over all blocks, some dozens of blocks at a time; the answers go back to the block with what was
+asked, where a text's code length is summed, a slice of the block at a time.  Requests, answers and texts travel as
+packed arrays.  Since symbols in a longer context are a part of those in its suffix, exclusion takes from
 a context's total just the sum that belongs to its child, which is kept with each child.
 
 `adaptive` scores each text by itself, with a trie that learns along the text.
@@ -38,13 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import blocks, materialize, small_batches, whole
+from palisade.llm.common import materialize, small_batches, whole
 
 END = 255
 #: The end of a text among the words; no word holds a line break.
 END_WORD = b"\n"
 #: Bytes after which a text is cut at the next white space, bytes of a block, and bytes worked on at once.
-CHUNK, BLOCK, SLICE = 1 << 20, 32_000_000, 4_000_000
+CHUNK, BLOCK, SLICE = 1 << 20, 32_000_000, 2_000_000
+#: Different words and strings after which a block ends, and bytes that a part of a text counts besides its own.
+BLOCK_WORDS, BLOCK_STRINGS, PART_BYTES = 500_000, 4_000_000, 64
 #: Bytes of text per bucket of the model, and blocks whose requests meet in one task.
 BUCKET_BYTES, FAN_IN = 16_000_000, 64
 ALPHABET = 256
@@ -96,11 +99,18 @@ def _slices(rows: Iterable, size: Callable) -> Iterator[list]:
         yield part
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Places in sorted numbers where a new one begins."""
+    return np.flatnonzero(np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]]))
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([n for _, n in parts])
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(at, counts, len(unique)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = _starts(keys)
+    counts = np.concatenate([n for _, n in parts])[order]
+    return keys[at], (np.add.reduceat(counts, at) if len(at) else counts).astype(np.int64)
 
 
 # ---- packed columns -----------------------------------------------------------------------------------------
@@ -136,7 +146,7 @@ def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
 def _dealt(grams: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) of sorted strings; places keep their order."""
     own = _bucket_of(grams, buckets)
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own.astype(np.min_scalar_type(buckets)), kind="stable")
     ends = np.cumsum(np.bincount(own, minlength=buckets))
     for bucket in range(buckets):
         at = order[ends[bucket - 1] if bucket else 0:ends[bucket]]
@@ -144,11 +154,14 @@ def _dealt(grams: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
             yield bucket, at
 
 
-def _dealt_words(words: set[bytes], buckets: int) -> list[list[bytes]]:
+def _dealt_words(words: Iterable[bytes], buckets: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, its words, sorted)."""
     out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for word in sorted(words):
+    for word in words:
         out[zlib.crc32(word) % buckets].append(word)
-    return out
+    for bucket, some in enumerate(out):
+        if some:
+            yield bucket, sorted(some)
 
 
 REQUESTS = "block bigint, texts binary, bucket bigint, g binary, g_n binary, w binary, w_n binary"
@@ -165,46 +178,75 @@ def _strings(parts: list[Part], order: int) -> tuple[np.ndarray, np.ndarray]:
     for learn in (True, False):
         chosen = [(p[5], p[6], p[3]) for p in parts if p[4] == learn]
         if chosen:
-            keys, counts = np.unique(symbols(chosen, order)[0], return_counts=True)
-            found.append((keys, counts if learn else np.zeros_like(counts)))
-    return _merge(found)
+            codes = np.sort(symbols(chosen, order)[0])
+            at = _starts(codes)
+            found.append((codes[at], np.diff(at, append=len(codes)) if learn else np.zeros_like(at)))
+    return found[0] if len(found) == 1 else _merge(found)
+
+
+def _parts(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[Part]:
+    for batch in batches:
+        for key, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "train", "content")), strict=True):
+            cut = _chunks(text.encode().lower())
+            for at, (before, data) in enumerate(zip([b"", *cut[:-1]], cut, strict=True)):
+                yield key, mark, at, at == len(cut) - 1, train, before[-order:] if order else b"", data
+
+
+def _size(part: Part) -> int:
+    return len(part[6]) + PART_BYTES
+
+
+class _Block:
+    """What the slices of a block hold: strings and words with their counts in training parts."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.bytes = 0
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words = Counter({END_WORD: 0})
+
+    def add(self, parts: list[Part]) -> None:
+        self.bytes += sum(map(_size, parts))
+        self.grams.append(_strings(parts, self.order))
+        # The first is what was merged before; the rest are merged into it when they have become as many.
+        if sum(len(k) for k, _ in self.grams[1:]) > len(self.grams[0][0]) + SLICE:
+            self.grams = [_merge(self.grams)]
+        for p in parts:
+            if p[4]:
+                self.words.update(p[6].split())
+                self.words[END_WORD] += p[3]
+            else:
+                self.words.update({w: 0 for w in p[6].split() if w not in self.words})
+
+    def full(self) -> bool:
+        return self.bytes >= BLOCK or len(self.words) >= BLOCK_WORDS or len(self.grams[0][0]) >= BLOCK_STRINGS
+
+    def requests(self, number: int, buckets: int) -> pa.RecordBatch:
+        keys, counts = _merge(self.grams)
+        self.grams = []
+        asked = [{"block": number, "bucket": bucket, "g": _pack(keys[at]), "g_n": _pack(counts[at].astype(np.float64))}
+                 for bucket, at in _dealt(keys, buckets)]
+        asked += [{"block": number, "bucket": bucket, "w": _pack_words(some),
+                   "w_n": _pack(np.array([self.words[w] for w in some], np.float64))}
+                  for bucket, some in _dealt_words(self.words, buckets)]
+        return pa.RecordBatch.from_pylist(asked, _REQUEST_FIELDS)
 
 
 def _requests(order: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of texts, a compressed row per slice; then per bucket the strings and words the block holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in blocks(batches, "content", BLOCK):
-            number += 1
-            grams, words, wanted = [], Counter(), {END_WORD}
-            parts = (
-                (key, mark, at, at == len(cut) - 1, train, before[-order:] if order else b"", data)
-                for key, mark, train, text in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "train", "content")), strict=True)
-                for cut in [_chunks(text.encode().lower())]
-                for at, (before, data) in enumerate(zip([b"", *cut[:-1]], cut, strict=True))
+        number, block = TaskContext.get().partitionId() << 32, _Block(order)
+        for own in _slices(_parts(batches, order), _size):
+            block.add(own)
+            yield pa.RecordBatch.from_pylist(
+                [{"block": number, "texts": zstandard.ZstdCompressor(level=1).compress(pickle.dumps(own))}], _REQUEST_FIELDS
             )
-            for own in _slices(parts, lambda p: len(p[6])):
-                grams.append(_strings(own, order))
-                for p in own:
-                    if p[4]:
-                        words.update(p[6].split())
-                        words[END_WORD] += p[3]
-                    else:
-                        wanted.update(p[6].split())
-                yield pa.RecordBatch.from_pylist(
-                    [{"block": number, "texts": zstandard.ZstdCompressor(level=1).compress(pickle.dumps(own))}], _REQUEST_FIELDS
-                )
-            if not grams:
-                continue
-            keys, counts = _merge(grams)
-            asked = [{"block": number, "bucket": bucket, "g": _pack(keys[at]), "g_n": _pack(counts[at].astype(np.float64))}
-                     for bucket, at in _dealt(keys, buckets)]
-            for bucket, some in enumerate(_dealt_words(wanted | words.keys(), buckets)):
-                if some:
-                    asked.append({"block": number, "bucket": bucket, "w": _pack_words(some),
-                                  "w_n": _pack(np.array([words[w] for w in some], np.float64))})
-            yield pa.RecordBatch.from_pylist(asked, _REQUEST_FIELDS)
+            if block.full():
+                yield block.requests(number, buckets)
+                number, block = number + 1, _Block(order)
+        if block.grams:
+            yield block.requests(number, buckets)
 
     return run
 
@@ -256,12 +298,12 @@ def _packed_values(table: pa.Table) -> pa.Table:
                      "g_v": pa.array([_pack(values[order])], pa.binary())})
 
 
-ANSWERS = "to_block bigint, bucket bigint, g_v binary, w_n binary"
-_ANSWER_FIELDS = pa.schema([("to_block", pa.int64()), ("bucket", pa.int64()), ("g_v", pa.binary()), ("w_n", pa.binary())])
+ANSWERS = "to_block bigint, g binary, g_v binary, w binary, w_n binary"
+_ANSWER_FIELDS = pa.schema([("to_block", pa.int64()), ("g", pa.binary()), ("g_v", pa.binary()), ("w", pa.binary()), ("w_n", pa.binary())])
 
 
 def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Values for the requests of some blocks to one bucket, in the order of each request."""
+    """The requests of some blocks to one bucket with their values."""
     values, counts = (np.zeros(0, np.int64), np.zeros(0)), {}
     for r in known.to_pylist():
         if r["g"]:
@@ -270,7 +312,7 @@ def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
             counts = dict(zip(_unpack_words(r["w"]), _unpack(r["w_n"], np.float64).tolist(), strict=True))
     out = []
     for r in asked.to_pylist():
-        row = {"to_block": r["block"], "bucket": r["bucket"]}
+        row = {"to_block": r["block"], "g": r["g"], "w": r["w"]}
         if r["g"]:
             row["g_v"] = _pack(values[1][np.searchsorted(values[0], _unpack(r["g"], np.int64))])
         if r["w"]:
@@ -353,16 +395,22 @@ def string_values(grams: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def _lookup(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Places of codes in sorted keys that hold them all: a hash table, and a search where two keys share a slot."""
-    bits = min(24, max(10, int(len(keys)).bit_length() + 3))
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
-    def slot(values: np.ndarray) -> np.ndarray:
-        return (values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """A hash table of sorted keys: the place of one key of each slot."""
+    bits = min(24, max(10, int(len(keys)).bit_length() + 2))
     table = np.zeros(1 << bits, np.int32)
-    table[slot(keys)] = np.arange(len(keys), dtype=np.int32)
-    at = table[slot(codes)]
+    table[_slots(keys, bits)] = np.arange(len(keys), dtype=np.int32)
+    return table
+
+
+def _lookup(keys: np.ndarray, codes: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Places of codes in sorted keys that hold them all: a hash table, and a search where two keys share a slot."""
+    table = _places(keys) if table is None else table
+    at = table[_slots(codes, len(table).bit_length() - 1)]
     wrong = np.flatnonzero(keys[at] != codes)
     at[wrong] = np.searchsorted(keys, codes[wrong])
     return at
@@ -375,45 +423,41 @@ _SCORED = pa.schema([
 SCORED = "id bigint, mark bigint, part int, last boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _scorer(order: int, buckets: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scorer(order: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     base = math.log10(denominator)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answered = {(r["bucket"], name): r[name] for r in answers.to_pylist() for name in ("g_v", "w_n") if r[name]}
-        packed = texts.column("texts").to_pylist()
-        opened = lambda data: pickle.loads(zstandard.ZstdDecompressor().decompress(data))  # noqa: E731,S301  own bytes
-        keys, words = [], {END_WORD}
-        for data in packed:
-            own = opened(data)
-            keys.append(np.unique(symbols([(p[5], p[6], p[3]) for p in own], order)[0]))
-            for p in own:
-                words.update(p[6].split())
-        keys = np.unique(np.concatenate(keys))
-        values = np.empty(len(keys))
-        for bucket, at in _dealt(keys, buckets):
-            values[at] = _unpack(answered[bucket, "g_v"], np.float64)
-        counts: dict[bytes, float] = {}
-        for bucket, some in enumerate(_dealt_words(words, buckets)):
-            if some:
-                counts.update(zip(some, _unpack(answered[bucket, "w_n"], np.float64).tolist(), strict=True))
-        logs = {w: math.log10(c + 1) for w, c in counts.items()}
+        grams, logs = [], {}
+        for g, g_v, w, w_n in zip(*(answers.column(c) for c in ("g", "g_v", "w", "w_n")), strict=True):
+            if g.is_valid:
+                grams.append((_unpack(g.as_py(), np.int64), _unpack(g_v.as_py(), np.float64)))
+            if w.is_valid:
+                different, at = np.unique(_unpack(w_n.as_py(), np.float64), return_inverse=True)
+                values = [math.log10(c + 1) for c in different.tolist()]
+                logs.update(zip(_unpack_words(w.as_py()), map(values.__getitem__, at.tolist()), strict=True))
+        keys = np.concatenate([k for k, _ in grams])
+        values = np.concatenate([v for _, v in grams])
+        grams.clear()
+        at = np.argsort(keys)
+        keys, values = keys[at], values[at]
+        table = _places(keys)
         out = []
-        for data in packed:
-            own = opened(data)
+        for data in texts.column("texts"):
+            own = pickle.loads(zstandard.ZstdDecompressor().decompress(data.as_py()))  # noqa: S301  own bytes
             codes, lengths = symbols([(p[5], p[6], p[3]) for p in own], order)
-            ends = np.concatenate([[0.0], np.cumsum(values[_lookup(keys, codes)])]) if len(codes) else np.zeros(1)
-            stops = np.cumsum(lengths)
-            scores = ends[stops] - ends[stops - lengths]
-            for (key, mark, part, last, _, _, text), score in zip(own, scores.tolist(), strict=True):
-                tokens = text.split()
-                if last:
-                    tokens.append(END_WORD)
-                out.append({
-                    "id": key, "mark": mark, "part": part, "last": last, "n_tokens": len(tokens),
-                    "n_known": sum(counts[w] > 0 for w in tokens),
-                    "base_score": math.fsum(map(logs.__getitem__, tokens)) - base * len(tokens), "score": score,
-                })
-        return pa.Table.from_pylist(out, _SCORED)
+            # Every part has a symbol: the end, or the bytes before a cut.
+            scores = np.add.reduceat(values[_lookup(keys, codes, table)], np.cumsum(lengths) - lengths)
+            known, bases, counts = [], [], []
+            for p in own:
+                chances = list(map(logs.__getitem__, p[6].split()))
+                if p[3]:
+                    chances.append(logs[END_WORD])
+                counts.append(len(chances))
+                known.append(len(chances) - chances.count(0.0))  # log10(0 + 1): not known
+                bases.append(math.fsum(chances) - base * len(chances))
+            columns = [*([p[i] for p in own] for i in range(4)), counts, known, bases, scores]
+            out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORED, strict=True)], schema=_SCORED))
+        return pa.concat_tables(out)
 
     return run
 
@@ -455,7 +499,7 @@ def score(docs: DataFrame, train: Column, order: int = 5, id_col: str = "doc_id"
     answers = grouped.groupBy("bucket", "part").cogroup(known.groupBy("of", "for_part")).applyInArrow(_answered, ANSWERS)
     scored = materialize(
         texts.groupBy("block").cogroup(answers.groupBy("to_block")).applyInArrow(
-            _scorer(order, buckets, tokens + kinds + 1), SCORED
+            _scorer(order, tokens + kinds + 1), SCORED
         ),
         "ppm-scored",
     )

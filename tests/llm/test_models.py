@@ -3,10 +3,14 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +93,55 @@ def test_lookup_with_shared_slots():
     assert (keys[ppm._lookup(keys, codes)] == codes).all()
 
 
+def by_blocks(monkeypatch, texts, order=5, buckets=4):
+    """Sums per text by blocks alone, with made-up chances; the sums of all requests; blocks; most bytes held at once."""
+    monkeypatch.setattr(ppm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batches = [pa.RecordBatch.from_pydict({"id": [i], "mark": [i], "train": [i % 7 > 0], "content": [t]}) for i, t in enumerate(texts)]
+    tracemalloc.start()
+    made = pa.Table.from_batches(ppm._requests(order, buckets)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    asked = made.filter(pc.is_valid(made["bucket"])).drop_columns(["texts"])
+    model = {b: ppm._merged(asked.filter(pc.equal(asked["bucket"], b))).to_pylist()[0] for b in range(buckets)}
+    counts = dict(pair for m in model.values() for pair in zip(ppm._unpack_words(m["w"]), ppm._unpack(m["w_n"], np.float64).tolist(), strict=True))
+    strings = [ppm._unpack(m[c], k).tobytes() for m in model.values() for c, k in (("g", np.int64), ("g_n", np.float64))]
+    known = {b: pa.Table.from_pylist([{**m, "g_v": ppm._pack(-(ppm._unpack(m["g"], np.int64) % 1000 / 8))}]) for b, m in model.items()}
+    sums = {}
+    numbers = sorted(set(made["block"].to_pylist()))
+    for number in numbers:
+        own = made.filter(pc.equal(made["block"], number))
+        answers = pa.concat_tables(
+            ppm._answered(own.filter(pc.equal(own["bucket"], b)).drop_columns(["texts"]), known[b]) for b in range(buckets)
+        )
+        held = own.filter(pc.is_valid(own["texts"])).select(["block", "texts"])
+        tracemalloc.reset_peak()
+        for r in ppm._scorer(order, 1000)(held, answers).to_pylist():
+            sums.setdefault(r["id"], np.zeros(4))
+            sums[r["id"]] += [r["n_tokens"], r["n_known"], r["base_score"], r["score"]]
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    return np.array([sums[i] for i in range(len(texts))]), (counts, strings), len(numbers), peak
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK": 900}, {"BLOCK_WORDS": 5}, {"BLOCK_STRINGS": 40}, {"SLICE": 1, "BLOCK": 1}])
+def test_scores_do_not_depend_on_blocks(monkeypatch, limits):
+    texts = [*(t or "" for _, t in DOCS), "long text of many words " * 20, "other words here " * 9, "unseen"]
+    expected, model, n, _ = by_blocks(monkeypatch, texts)
+    assert n == 1
+    for name, value in {"CHUNK": 100, "SLICE": 300, **limits}.items():
+        monkeypatch.setattr(ppm, name, value)
+    found, same_model, n, _ = by_blocks(monkeypatch, texts)
+    assert n > 2 and np.allclose(found, expected, rtol=1e-12) and same_model == model
+
+
+def test_memory_of_a_block(monkeypatch):
+    """8 MB of text are counted and scored a slice at a time."""
+    rng = np.random.default_rng(5)
+    words = [bytes(w).decode() for w in rng.integers(97, 123, (200, 6), dtype=np.uint8)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 1000)) for _ in range(1200)]
+    sums, _, n, peak = by_blocks(monkeypatch, texts)
+    assert n == 1 and (sums[:, 0] == 1001).all() and peak < 80e6
+
+
 # ---- languages ------------------------------------------------------------------------------------------------
 
 
