@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 from array import array
 
@@ -141,6 +142,57 @@ def test_viterbi_finds_the_best_segmentation():
         assert own.viterbi(word)[1] == best
 
 
+def odd_texts(seed, n=200):
+    rng = random.Random(seed)
+    texts = ["", " ", "  ", "\n", "▁", "a▁▁b", "\0", "x\0y", " lead", "trail  ", "梦" * 40, "ab" * 90, "one two one two"]
+    return texts + ["".join(rng.choice("theare ▁\n梦😀é中国\x7fñ., ") for _ in range(rng.randint(0, 90))) for _ in range(n)]
+
+
+def walked_by_word(own, text):
+    text = own.library.normalize(text) if text else ""
+    words = re.findall("▁+[^▁]*|[^▁]+", text) if own.by_words else [text]
+    found = [own.viterbi(word) for word in words]
+    return b"".join(ids for ids, _ in found), sum(score for _, score in found)
+
+
+def test_short_words_are_not_walked_one_by_one(monkeypatch):
+    own, texts = pieces.PieceModel(MODEL), odd_texts(5)
+    expected = [walked_by_word(own, text) for text in texts]
+    walk, walked = own.viterbi, []
+    monkeypatch.setattr(own, "viterbi", lambda word: walked.append(word) or walk(word))
+    assert [own.encode(text) for text in texts] == expected
+    assert walked and all(len(word.encode()) > 64 for word in walked)
+    monkeypatch.setattr(pieces, "CHUNK_WORDS", 7)
+    assert own.encode_all(texts) == expected
+    assert [own.decode(ids) for ids, _ in expected] == own.decode_all([ids for ids, _ in expected])
+
+
+def test_words_together_equal_single_walks_at_ties_and_without_byte_pieces(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(MODEL, "rb") as file:
+        model.ParseFromString(file.read())
+    for piece in model.pieces:
+        piece.score = -1.0 - len(piece.piece) % 2
+    path = tmp_path / "ties.model"
+    path.write_bytes(model.SerializeToString())
+    for by_words, with_bytes in [(True, True), (True, False), (False, True)]:
+        own, texts = pieces.PieceModel(str(path)), odd_texts(6, 80)
+        own.by_words = by_words
+        if not with_bytes:
+            own.bytes.clear()
+        assert own.encode_all(texts) == [walked_by_word(own, text) for text in texts]
+
+
+def test_texts_are_taken_in_groups_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(pieces, "GROUP_SIZE", 5)
+    assert list(pieces._groups(["", "abc", "de", "f", "longer than five", "", "g"])) == [
+        ["", "abc", "de"], ["f"], ["longer than five"], ["", "g"]
+    ]
+    assert list(pieces._groups([])) == []
+
+
 def test_encode_and_decode_tables(spark):
     docs = frame(spark, [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (4, " lead"), (5, "é 😀 " * 3000)])
     encoded = pieces.encode(docs, MODEL)
